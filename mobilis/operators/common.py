@@ -53,3 +53,11 @@ def one_row_per_key(df: DataFrame, keys: list[str]) -> DataFrame:
     return (df.groupBy(*keys).agg(F.min(F.struct(*others)).alias("_r"))
               .select(*keys, *[F.col(f"_r.{c}").alias(c) for c in others])
               .select(*df.columns))
+
+
+def join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on the tenant keys; frames without keys are joined on a constant."""
+    if keys:
+        return left.join(right, keys, how)
+    return (left.withColumn("_g", F.lit(0)).join(right.withColumn("_g", F.lit(0)), ["_g"], how)
+                .drop("_g"))

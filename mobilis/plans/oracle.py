@@ -143,6 +143,161 @@ SQL["headways"] = q(
     "arrival_total_seconds, service_id, prev_arrival, headway_seconds FROM headways")
 
 
+# ---------------------------------------------------------------- summaries
+_LABEL = ("coalesce(CASE WHEN trim(CAST(route_long_name AS VARCHAR)) <> '' THEN CAST(route_long_name AS VARCHAR) END, "
+          "CASE WHEN trim(CAST(route_short_name AS VARCHAR)) <> '' THEN CAST(route_short_name AS VARCHAR) END, "
+          "CAST(route_id AS VARCHAR))")
+_NAME = ("coalesce(CASE WHEN CAST(route_long_name AS VARCHAR) <> '' THEN CAST(route_long_name AS VARCHAR) END, "
+         "CASE WHEN CAST(route_short_name AS VARCHAR) <> '' THEN CAST(route_short_name AS VARCHAR) END, "
+         "'Route ' || CAST(route_id AS VARCHAR))")
+
+_SUMS = f""",
+rsum AS (
+  SELECT city, count(*) AS total_routes, avg(num_trips) AS avg_trips_per_route,
+    CAST(quantile_cont(num_trips, 0.5) AS DOUBLE) AS median_trips_per_route,
+    avg(num_stops) AS avg_stops_per_route, CAST(sum(total_stop_events) AS BIGINT) AS total_stop_events,
+    first(route_id ORDER BY num_trips DESC, route_id) AS busiest_route_id, max(num_trips) AS busiest_route_trips,
+    count_if(num_trips > {K.HIGH_FREQUENCY_TRIPS}) AS high_frequency,
+    count_if(num_trips >= {K.LOW_FREQUENCY_TRIPS} AND num_trips <= {K.HIGH_FREQUENCY_TRIPS}) AS medium_frequency,
+    count_if(num_trips < {K.LOW_FREQUENCY_TRIPS}) AS low_frequency
+  FROM route_stats GROUP BY city),
+hmin AS (SELECT city, CAST(headway_seconds AS DOUBLE) / 60.0e0 AS m FROM headways),
+hsum AS (
+  SELECT city, avg(m) AS avg_headway_min, quantile_cont(m, 0.5) AS median_headway_min,
+    stddev_samp(m) AS std_headway_min, min(m) AS min_headway_min, max(m) AS max_headway_min,
+    quantile_cont(m, 0.95) AS p95_headway_min, quantile_cont(m, 0.05) AS p05_headway_min,
+    count(*) AS total_headways_analyzed,
+    count_if(m <= {K.ON_TIME_HEADWAY_MIN}) / count(*) * 100 AS on_time_percentage,
+    count_if(m <= {K.HIGH_FREQ_HEADWAY_MIN}) / count(*) * 100 AS high_frequency_percentage
+  FROM hmin GROUP BY city),
+hp AS (
+  SELECT city, arrival_hour, CAST(sum(hourly_trips) AS BIGINT) AS hourly_trips,
+    CAST(sum(hourly_stop_events) AS BIGINT) AS hourly_stop_events
+  FROM hourly_service GROUP BY city, arrival_hour),
+sprof AS (
+  SELECT city, first(arrival_hour ORDER BY hourly_trips DESC, arrival_hour) AS peak_hour,
+    max(hourly_trips) AS peak_hour_trips, first(arrival_hour ORDER BY hourly_trips, arrival_hour) AS off_peak_hour,
+    count(DISTINCT arrival_hour) AS total_service_hours,
+    CAST(24 - count(DISTINCT arrival_hour) FILTER (WHERE hourly_trips > 0 AND arrival_hour BETWEEN 0 AND 23)
+         AS INTEGER) AS n_service_gaps
+  FROM hp GROUP BY city),
+ssum AS (
+  SELECT city, count(*) AS total_stops_analyzed, avg(num_routes) AS avg_routes_per_stop,
+    max(num_routes) AS max_routes_per_stop, count_if(num_routes >= {K.HUB_MIN_ROUTES}) AS major_hubs,
+    min(avg_lat) AS lat_min, max(avg_lat) AS lat_max, min(avg_lon) AS lon_min, max(avg_lon) AS lon_max
+  FROM spatial_stats GROUP BY city),
+assess AS (
+  SELECT city, 0 AS overall_score,
+    concat_ws('|',
+      CASE WHEN total_routes IS NOT NULL AND avg_trips_per_route > {K.STRENGTH_TRIPS_PER_ROUTE}
+           THEN '{K.TEXT_HIGH_FREQUENCY}' END,
+      CASE WHEN avg_headway_min < {K.STRENGTH_HEADWAY_MIN} THEN '{K.TEXT_GOOD_HEADWAY}' END) AS key_strengths,
+    concat_ws('|',
+      CASE WHEN total_routes IS NOT NULL AND NOT coalesce(avg_trips_per_route > {K.STRENGTH_TRIPS_PER_ROUTE}, false)
+           THEN '{K.TEXT_RAISE_FREQUENCY}' END,
+      CASE WHEN NOT coalesce(avg_headway_min < {K.STRENGTH_HEADWAY_MIN}, false)
+           THEN '{K.TEXT_IMPROVE_HEADWAY}' END) AS improvement_areas,
+    total_routes, total_stop_events AS total_trips_estimate
+  FROM (SELECT city, total_routes, avg_trips_per_route, total_stop_events FROM rsum)
+  FULL OUTER JOIN (SELECT city, avg_headway_min FROM hsum) USING (city)),
+freq AS (SELECT city, arrival_hour, count(*) AS n FROM hourly_service GROUP BY city, arrival_hour),
+hmode AS (SELECT city, first(arrival_hour ORDER BY n DESC, arrival_hour) AS arrival_hour FROM freq GROUP BY city),
+at_peak AS (
+  SELECT city, route_id, CAST(sum(hourly_trips) AS BIGINT) AS hourly_trips
+  FROM hourly_service JOIN hmode USING (city, arrival_hour) GROUP BY city, route_id),
+ra AS (
+  SELECT *, hourly_trips / num_stops AS service_intensity FROM route_stats LEFT JOIN at_peak USING (city, route_id)),
+med AS (
+  SELECT city, quantile_cont(num_stops, 0.5) AS ms, quantile_cont(service_intensity, 0.5) AS mi
+  FROM ra GROUP BY city),
+gap AS (
+  SELECT *, row_number() OVER (PARTITION BY city ORDER BY num_stops DESC, route_id) AS rank
+  FROM ra JOIN med USING (city) WHERE num_stops > ms AND service_intensity < mi)
+"""
+
+
+def qs(body: str) -> str:
+    return _BASE + _SUMS + body
+
+
+def _r(cols: str) -> str:
+    return ", ".join(f"round({c}, {D}) AS {c}" for c in cols.split())
+
+
+SQL["route_summary"] = qs(
+    f"SELECT city, total_routes, {_r('avg_trips_per_route median_trips_per_route avg_stops_per_route')}, "
+    f"total_stop_events, busiest_route_id, busiest_route_trips, high_frequency, medium_frequency, "
+    f"low_frequency FROM rsum")
+SQL["headway_summary"] = qs(
+    f"SELECT city, {_r('avg_headway_min median_headway_min std_headway_min min_headway_min max_headway_min')}, "
+    f"{_r('p95_headway_min p05_headway_min')}, total_headways_analyzed, "
+    f"{_r('on_time_percentage high_frequency_percentage')} FROM hsum")
+SQL["service_profile"] = qs("SELECT * FROM sprof")
+SQL["hourly_profile_series"] = qs("SELECT * FROM hp")
+SQL["service_gaps"] = qs(
+    "SELECT c.city, CAST(t.hour AS INTEGER) AS hour FROM (SELECT DISTINCT city FROM hourly_service) c "
+    "CROSS JOIN range(0, 24) t(hour) WHERE NOT EXISTS (SELECT 1 FROM hp WHERE hp.city = c.city "
+    "AND hp.arrival_hour = t.hour AND hp.hourly_trips > 0)")
+SQL["stop_summary"] = qs(
+    f"SELECT city, total_stops_analyzed, {_r('avg_routes_per_stop')}, max_routes_per_stop, major_hubs, "
+    f"{_r('lat_min lat_max lon_min lon_max')} FROM ssum")
+SQL["city_assessment"] = qs("SELECT * FROM assess")
+SQL["city_analysis"] = qs(
+    f"SELECT city, total_routes, {_r('avg_trips_per_route median_trips_per_route avg_stops_per_route')}, "
+    f"total_stop_events, busiest_route_id, busiest_route_trips, high_frequency, medium_frequency, low_frequency, "
+    f"{_r('avg_headway_min median_headway_min std_headway_min min_headway_min max_headway_min')}, "
+    f"{_r('p95_headway_min p05_headway_min')}, total_headways_analyzed, "
+    f"{_r('on_time_percentage high_frequency_percentage')}, "
+    f"peak_hour, peak_hour_trips, off_peak_hour, total_service_hours, n_service_gaps, "
+    f"total_stops_analyzed, {_r('avg_routes_per_stop')}, max_routes_per_stop, major_hubs, "
+    f"{_r('lat_min lat_max lon_min lon_max')}, overall_score, key_strengths, improvement_areas, "
+    f"total_trips_estimate "
+    f"FROM rsum FULL JOIN hsum USING (city) FULL JOIN sprof USING (city) FULL JOIN ssum USING (city) "
+    f"FULL JOIN (SELECT * EXCLUDE (total_routes) FROM assess) USING (city)")
+SQL["transit_city_comparison"] = qs(
+    f"SELECT city, coalesce(routes, 0) AS routes, round(coalesce(avg_headway_min, 0.0), {D}) AS avg_headway_min, "
+    f"coalesce(stops, 0) AS stops, coalesce(peak_hour_trips, 0) AS peak_hour_trips FROM "
+    f"(SELECT city, count(*) AS routes FROM route_stats GROUP BY city) "
+    f"FULL JOIN (SELECT city, avg(headway_seconds) / 60 AS avg_headway_min FROM headways GROUP BY city) USING (city) "
+    f"FULL JOIN (SELECT city, count(*) AS stops FROM spatial_stats GROUP BY city) USING (city) "
+    f"FULL JOIN (SELECT city, max(hourly_trips) AS peak_hour_trips FROM hourly_service GROUP BY city) USING (city)")
+SQL["record_count_comparison"] = qs("SELECT city, count(*) AS records FROM events GROUP BY city")
+SQL["total_routes_rollup"] = qs(
+    "SELECT CAST(sum(coalesce(total_routes, 0)) AS BIGINT) AS total_routes, count(*) AS cities FROM assess")
+SQL["route_frequency_mix"] = qs(
+    f"SELECT city, bucket, count(*) AS routes, round(count(*) / any_value(n) * 100, {D}) AS share_pct FROM ("
+    f"SELECT city, CASE WHEN num_trips < {K.LOW_FREQUENCY_TRIPS} THEN 'low' "
+    f"WHEN num_trips <= {K.HIGH_FREQUENCY_TRIPS} THEN 'medium' ELSE 'high' END AS bucket, "
+    f"count(*) OVER (PARTITION BY city) AS n FROM route_stats) GROUP BY city, bucket")
+
+# ---------------------------------------------------------------- top-k
+def _topk(src: str, order: str, k: int, cols: str) -> str:
+    return qs(f"SELECT {cols} FROM (SELECT *, CAST(row_number() OVER (PARTITION BY city ORDER BY {order}) "
+              f"AS INTEGER) AS rank FROM {src}) WHERE rank <= {k}")
+
+
+SQL["busiest_routes"] = _topk("route_stats", "num_trips DESC, route_id", 20,
+                              f"city, rank, route_id, {_NAME} AS route_name, num_trips")
+SQL["top_routes"] = _topk("route_stats", "num_trips DESC, route_id", 10,
+                          f"city, rank, route_id, {_LABEL} AS route_label, num_trips")
+SQL["least_used_routes"] = _topk("route_stats", "num_trips, route_id", 10,
+                                 f"city, rank, route_id, {_LABEL} AS route_label, num_trips")
+SQL["transfer_points"] = _topk("spatial_stats", "num_routes DESC, stop_id", 10,
+                               "city, rank, stop_id, substring(stop_name, 1, 20) AS stop_label, num_routes")
+SQL["busiest_route"] = qs("SELECT city, busiest_route_id AS route_id, busiest_route_trips AS num_trips FROM rsum")
+SQL["peak_hour"] = qs("SELECT city, peak_hour, peak_hour_trips, off_peak_hour FROM sprof")
+SQL["demand_service_gap"] = qs(
+    f"SELECT city, CAST(rank AS INTEGER) AS rank, route_id, {_LABEL} AS route_label, num_stops, num_trips, "
+    f"hourly_trips, round(service_intensity, {D}) AS service_intensity FROM gap WHERE rank <= 10")
+SQL["underserved_vs_average"] = qs(
+    f"SELECT city, round(u, {D}) AS underserved_intensity, round(a, {D}) AS city_average_intensity FROM "
+    f"(SELECT city, avg(service_intensity) AS u FROM gap WHERE rank <= 5 GROUP BY city) "
+    f"JOIN (SELECT city, avg(service_intensity) AS a FROM ra GROUP BY city) USING (city)")
+SQL["route_label"] = qs(f"SELECT city, route_id, {_LABEL} AS route_label FROM route_stats")
+SQL["route_name_map"] = qs(f"SELECT city, route_id, {_NAME} AS route_name FROM routes_c")
+SQL["stop_label"] = qs("SELECT city, stop_id, substring(stop_name, 1, 20) AS stop_label FROM spatial_stats")
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 

@@ -10,7 +10,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
+from mobilis.functions.labels import route_label, route_name, stop_label
 from mobilis.operators import clean as C
+from mobilis.operators import summaries as S
+from mobilis.operators import topk as X
 from mobilis.operators import transit as T
 from mobilis.plans.common import rounded
 from mobilis.sources import bindings as B
@@ -90,5 +95,149 @@ def q_headways(spark, sf):
         "arrival_total_seconds", "service_id", "prev_arrival", "headway_seconds")
 
 
+# ---------------------------------------------------------------- summaries
+def metrics_of(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    return T.transit_metrics(events_of(spark, sf))
+
+
+def _strings(df: DataFrame, *cols: str) -> DataFrame:
+    """Arrays of texts as one '|'-joined string (flat values for the oracle)."""
+    return df.withColumns({c: F.concat_ws("|", c) for c in cols})
+
+
+@register("route_summary")
+def q_route_summary(spark, sf):
+    return rounded(S.route_summary(metrics_of(spark, sf)["route_stats"]))
+
+
+@register("headway_summary")
+def q_headway_summary(spark, sf):
+    return rounded(S.headway_summary(metrics_of(spark, sf)["headways"]))
+
+
+@register("service_profile")
+def q_service_profile(spark, sf):
+    sp = S.service_profile(metrics_of(spark, sf)["hourly_service"])
+    return sp.select("city", "peak_hour", "peak_hour_trips", "off_peak_hour", "total_service_hours",
+                     F.size("service_gaps").alias("n_service_gaps"))
+
+
+@register("hourly_profile_series")
+def q_hourly_profile_series(spark, sf):
+    return S.hourly_profile(metrics_of(spark, sf)["hourly_service"])
+
+
+@register("service_gaps")
+def q_service_gaps(spark, sf):
+    return S.service_gaps(metrics_of(spark, sf)["hourly_service"])
+
+
+@register("stop_summary")
+def q_stop_summary(spark, sf):
+    return rounded(S.stop_summary(metrics_of(spark, sf)["spatial_stats"]))
+
+
+@register("city_assessment")
+def q_city_assessment(spark, sf):
+    m = metrics_of(spark, sf)
+    a = S.city_assessment(S.route_summary(m["route_stats"]), S.headway_summary(m["headways"]))
+    return _strings(a, "key_strengths", "improvement_areas")
+
+
+@register("city_analysis")
+def q_city_analysis(spark, sf):
+    m = metrics_of(spark, sf)
+    ca = S.city_analysis(m["route_stats"], m["headways"], m["hourly_service"], m["spatial_stats"])
+    ca = _strings(ca, "key_strengths", "improvement_areas")
+    return rounded(ca.withColumn("n_service_gaps", F.size("service_gaps"))
+                     .drop("service_gaps", "daily_trip_pattern"))
+
+
+@register("transit_city_comparison")
+def q_transit_city_comparison(spark, sf):
+    m = metrics_of(spark, sf)
+    return rounded(S.transit_city_comparison(m["route_stats"], m["headways"], m["spatial_stats"],
+                                             m["hourly_service"]))
+
+
+@register("record_count_comparison")
+def q_record_count_comparison(spark, sf):
+    return S.record_counts(events_of(spark, sf))
+
+
+@register("total_routes_rollup")
+def q_total_routes_rollup(spark, sf):
+    m = metrics_of(spark, sf)
+    a = S.city_assessment(S.route_summary(m["route_stats"]), S.headway_summary(m["headways"]))
+    return S.total_routes_rollup(a)
+
+
+@register("route_frequency_mix")
+def q_route_frequency_mix(spark, sf):
+    return rounded(S.route_frequency_mix(metrics_of(spark, sf)["route_stats"]))
+
+
+# ---------------------------------------------------------------- top-k
+@register("busiest_routes")
+def q_busiest_routes(spark, sf):
+    return X.busiest_routes(metrics_of(spark, sf)["route_stats"])
+
+
+@register("top_routes")
+def q_top_routes(spark, sf):
+    return X.top_routes(metrics_of(spark, sf)["route_stats"])
+
+
+@register("least_used_routes")
+def q_least_used_routes(spark, sf):
+    return X.least_used_routes(metrics_of(spark, sf)["route_stats"])
+
+
+@register("transfer_points")
+def q_transfer_points(spark, sf):
+    return X.transfer_points(metrics_of(spark, sf)["spatial_stats"])
+
+
+@register("busiest_route")
+def q_busiest_route(spark, sf):
+    return X.busiest_route(metrics_of(spark, sf)["route_stats"])
+
+
+@register("peak_hour")
+def q_peak_hour(spark, sf):
+    sp = S.service_profile(metrics_of(spark, sf)["hourly_service"])
+    return sp.select("city", "peak_hour", "peak_hour_trips", "off_peak_hour")
+
+
+@register("demand_service_gap")
+def q_demand_service_gap(spark, sf):
+    m = metrics_of(spark, sf)
+    return rounded(X.demand_service_gap(m["route_stats"], m["hourly_service"]))
+
+
+@register("underserved_vs_average")
+def q_underserved_vs_average(spark, sf):
+    m = metrics_of(spark, sf)
+    return rounded(X.underserved_vs_average(m["route_stats"], m["hourly_service"]))
+
+
+@register("route_label")
+def q_route_label(spark, sf):
+    rs = metrics_of(spark, sf)["route_stats"]
+    return rs.select("city", "route_id", route_label().alias("route_label"))
+
+
+@register("route_name_map")
+def q_route_name_map(spark, sf):
+    r = C.clean_routes(B.view(spark, sf, "routes"))
+    return r.select("city", "route_id", route_name().alias("route_name"))
+
+
+@register("stop_label")
+def q_stop_label(spark, sf):
+    sp = metrics_of(spark, sf)["spatial_stats"]
+    return sp.select("city", "stop_id", stop_label().alias("stop_label"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
