@@ -81,13 +81,14 @@ rides_t AS (
   FROM rides),
 rides_p AS (
   SELECT *, CASE WHEN distance_km = 0 THEN NULL ELSE fare / distance_km END AS fare_per_km,
-    CASE WHEN duration_mins = 0 THEN NULL ELSE distance_km / (duration_mins / 60.0) END AS speed_kmh
+    CASE WHEN duration_mins = 0 THEN NULL ELSE distance_km / (duration_mins / 60.0e0) END AS speed_kmh
   FROM rides_t
   WHERE distance_km > {K.RIDE_KM_RANGE[0]} AND distance_km < {K.RIDE_KM_RANGE[1]}
     AND fare > {K.RIDE_FARE_RANGE[0]} AND fare < {K.RIDE_FARE_RANGE[1]}
     AND duration_mins > {K.RIDE_MIN_RANGE[0]} AND duration_mins < {K.RIDE_MIN_RANGE[1]}),
 ride_feat AS (
-  SELECT city, CAST(hour("timestamp") AS INTEGER) AS hour_of_day,
+  SELECT ride_id, city, CAST(hour("timestamp") AS INTEGER) AS hour_of_day,
+    CAST(dayofweek("timestamp") + 1 AS INTEGER) AS day_of_week,
     CASE WHEN dayofweek("timestamp") IN (0, 6) THEN 1 ELSE 0 END AS is_weekend,
     CASE WHEN {_peak('hour("timestamp")')} THEN 1 ELSE 0 END AS is_peak_hour,
     CASE WHEN distance_km > 0 THEN fare / distance_km ELSE fare END AS fare_per_km,
@@ -95,15 +96,15 @@ ride_feat AS (
   FROM rides WHERE hour("timestamp") IS NOT NULL),
 ride_features AS (
   SELECT city, hour_of_day, is_weekend,
-    coalesce(avg(fare), 0.0) AS avg_fare, coalesce(avg(fare_per_km), 0.0) AS avg_price_per_km,
+    coalesce(avg(fare), 0.0e0) AS avg_fare, coalesce(avg(fare_per_km), 0.0e0) AS avg_price_per_km,
     avg(surge_multiplier) AS avg_surge_multiplier,
-    coalesce(stddev_samp(surge_multiplier), 0.0) AS std_surge_multiplier,
-    count(*) AS ride_count, coalesce(avg(distance_km), 0.0) AS avg_distance_km,
-    coalesce(avg(duration_mins), 0.0) AS avg_duration_mins
+    coalesce(stddev_samp(surge_multiplier), 0.0e0) AS std_surge_multiplier,
+    count(*) AS ride_count, coalesce(avg(distance_km), 0.0e0) AS avg_distance_km,
+    coalesce(avg(duration_mins), 0.0e0) AS avg_duration_mins
   FROM ride_feat GROUP BY city, hour_of_day, is_weekend),
 modeling AS (
   SELECT *, CASE WHEN {_peak('hour_of_day')} THEN 1 ELSE 0 END AS is_peak_hour,
-    CASE WHEN {_peak('hour_of_day')} THEN ride_count * {K.PEAK_DEMAND_WEIGHT} ELSE CAST(ride_count AS DOUBLE) END
+    CASE WHEN {_peak('hour_of_day')} THEN ride_count * {K.PEAK_DEMAND_WEIGHT}e0 ELSE CAST(ride_count AS DOUBLE) END
       AS demand_index
   FROM ride_features)
 """
@@ -298,6 +299,183 @@ SQL["route_name_map"] = qs(f"SELECT city, route_id, {_NAME} AS route_name FROM r
 SQL["stop_label"] = qs("SELECT city, stop_id, substring(stop_name, 1, 20) AS stop_label FROM spatial_stats")
 
 
+# ---------------------------------------------------------------- rides
+def _rr(cols: str, src: str = "") -> str:
+    return _r(cols)
+
+
+SQL["ride_time_features"] = q("SELECT ride_id, city, hour, day_of_week, is_weekend, is_peak_hour FROM rides_t")
+SQL["ride_ratios"] = q(
+    f"SELECT ride_id, {_r('fare_per_km speed_kmh')} FROM (SELECT ride_id, "
+    f"CASE WHEN distance_km = 0 THEN NULL ELSE fare / distance_km END AS fare_per_km, "
+    f"CASE WHEN duration_mins = 0 THEN NULL ELSE distance_km / (duration_mins / 60.0e0) END AS speed_kmh "
+    f"FROM rides)")
+SQL["ride_outlier_filter"] = q(
+    f"SELECT ride_id, city, service, {_r('distance_km fare duration_mins fare_per_km speed_kmh')} FROM rides_p")
+SQL["ride_feature_columns"] = q(
+    f"SELECT ride_id, city, hour_of_day, day_of_week, is_weekend, is_peak_hour, {_r('fare_per_km')} FROM ride_feat")
+SQL["ride_price_by_type"] = q(
+    f"SELECT city, service, vehicle_type, round(avg(fare), {D}) AS avg_fare, "
+    f"round(avg(fare_per_km), {D}) AS avg_fare_per_km, round(avg(surge_multiplier), {D}) AS avg_surge, "
+    f"count(*) AS ride_count FROM rides_p GROUP BY city, service, vehicle_type")
+SQL["ride_distance_by_type"] = q(
+    f"SELECT city, service, vehicle_type, round(avg(distance_km), {D}) AS avg_distance, "
+    f"round(avg(duration_mins), {D}) AS avg_duration, round(stddev_samp(distance_km), {D}) AS std_distance "
+    f"FROM rides_p GROUP BY city, service, vehicle_type")
+SQL["service_popularity"] = q(
+    f"SELECT city, service, count(*) AS total_rides, round(avg(fare), {D}) AS avg_fare "
+    f"FROM rides_p GROUP BY city, service")
+SQL["hourly_surge"] = q(
+    f"SELECT city, hour, service, round(avg(surge_multiplier), {D}) AS avg_surge FROM rides_p "
+    f"GROUP BY city, hour, service")
+
+
+def _split(flag: str, on: str, off: str) -> str:
+    return q(f"SELECT city, service, round(avg(surge_multiplier) FILTER (WHERE {flag} = 1), {D}) AS {on}, "
+             f"round(avg(surge_multiplier) FILTER (WHERE {flag} = 0), {D}) AS {off} FROM rides_p "
+             f"GROUP BY city, service HAVING count_if({flag} = 1) > 0 AND count_if({flag} = 0) > 0")
+
+
+SQL["peak_vs_offpeak"] = _split("is_peak_hour", "avg_peak_surge", "avg_non_peak_surge")
+SQL["weekend_vs_weekday"] = _split("is_weekend", "avg_weekend_surge", "avg_weekday_surge")
+SQL["ride_comparison_projection"] = q(
+    f"SELECT city, service, vehicle_type, {_r('fare distance_km duration_mins surge_multiplier')}, hour, "
+    f"is_weekend FROM rides_p")
+_FEAT = ("avg_fare avg_price_per_km avg_surge_multiplier std_surge_multiplier avg_distance_km "
+         "avg_duration_mins")
+SQL["ride_features"] = q(f"SELECT city, hour_of_day, is_weekend, {_r(_FEAT)}, ride_count FROM ride_features")
+SQL["union_cities"] = SQL["ride_features"]
+SQL["fill_feature_nulls"] = q(
+    f"SELECT city, hour_of_day, is_weekend, "
+    f"{_r('std_surge_multiplier avg_price_per_km avg_fare avg_distance_km avg_duration_mins')} FROM ride_features")
+SQL["modeling_dataset"] = q(
+    f"SELECT city, hour_of_day, is_weekend, {_r(_FEAT)}, ride_count, is_peak_hour, {_r('demand_index')} "
+    f"FROM modeling")
+SQL["demand_index"] = q(
+    f"SELECT city, hour_of_day, is_weekend, ride_count, is_peak_hour, {_r('demand_index')} FROM modeling")
+SQL["concat_tagged"] = q(f"SELECT service, {_r('fare distance_km surge_multiplier')}, city FROM rides")
+SQL["simple_ride_dataset"] = q(
+    f"SELECT {_r('surge_multiplier')}, hour_of_day, is_weekend, is_peak_hour, "
+    f"{_r('fare distance_km duration_mins fare_per_km')}, city FROM ride_feat")
+SQL["surge_label"] = q(
+    f"SELECT city, hour_of_day, is_weekend, {_r('avg_surge_multiplier')}, "
+    f"CASE WHEN avg_surge_multiplier > {K.HIGH_SURGE_THRESHOLD}e0 THEN 1 ELSE 0 END AS high_surge, "
+    f"CASE WHEN avg_surge_multiplier > {K.HIGH_SURGE_THRESHOLD}e0 THEN 1.0e0 ELSE 0.0e0 END AS label FROM modeling")
+_CITY_STATS = (
+    f"SELECT city, count(*) AS total_rides, round(avg(fare), {D}) AS avg_fare, "
+    f"round(avg(distance_km), {D}) AS avg_distance, round(avg(duration_mins), {D}) AS avg_duration, "
+    f"round(avg(surge_multiplier), {D}) AS avg_surge, count(DISTINCT service) AS services, "
+    f"count(DISTINCT vehicle_type) AS vehicle_types FROM rides GROUP BY city")
+SQL["city_ride_stats"] = q(_CITY_STATS)
+SQL["ride_count_check"] = q("SELECT city, count(*) AS rides FROM rides GROUP BY city")
+
+
+def _pricing() -> str:
+    cols, having = [], []
+    for c in CITIES:
+        cols.append(f"round(avg(fare) FILTER (WHERE city = '{c}'), {D}) AS {c}_avg_fare")
+        cols.append(f"round(avg(CASE WHEN distance_km = 0 THEN NULL ELSE fare / distance_km END) "
+                    f"FILTER (WHERE city = '{c}'), {D}) AS {c}_fare_per_km")
+        having.append(f"count(*) FILTER (WHERE city = '{c}') > 0")
+    return f"SELECT service, {', '.join(cols)} FROM rides GROUP BY service HAVING {' AND '.join(having)}"
+
+
+SERVICES = list(dict.fromkeys(t[0] for t in K.TARIFF))
+SQL["cross_city_pricing"] = q(_pricing())
+SQL["fare_pivot"] = q(
+    "SELECT city, " + ", ".join(f"round(avg(fare) FILTER (WHERE service = '{v}'), {D}) AS {v}" for v in SERVICES)
+    + " FROM rides GROUP BY city")
+SQL["service_mix_pivot"] = q(
+    "SELECT city, " + ", ".join(f"nullif(count(*) FILTER (WHERE service = '{v}'), 0) AS {v}" for v in SERVICES)
+    + " FROM rides GROUP BY city")
+SQL["fare_distance_points"] = q(f"SELECT city, service, {_r('distance_km fare')} FROM rides")
+SQL["model_city_summary"] = q(
+    f"SELECT city, round(avg(avg_surge_multiplier), {D}) AS avg_surge_multiplier, "
+    f"CAST(sum(ride_count) AS BIGINT) AS ride_count FROM modeling GROUP BY city")
+SQL["ride_comparison"] = q(
+    f"SELECT s.*, p.shared_services FROM ({_CITY_STATS}) s CROSS JOIN "
+    f"(SELECT count(*) AS shared_services FROM ({_pricing()})) p")
+
+
+# ---------------------------------------------------------------- scoring
+def _hav(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
+    a = (f"(pow(sin((radians({lat2}) - radians({lat1})) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) "
+         f"* pow(sin((radians({lon2}) - radians({lon1})) / 2), 2))")
+    return f"({K.EARTH_RADIUS_KM}e0 * (2 * atan2(sqrt({a}), sqrt(1 - {a}))))"
+
+
+def _lit(x: float) -> str:
+    return f"{float(x)!r}e0" if "e" not in repr(float(x)) else repr(float(x))
+
+
+_HOUR = 'hour("timestamp")'
+_WD = '(isodow("timestamp") - 1)'
+_BAND = (f"CASE WHEN {_peak(_HOUR)} THEN {_lit(K.PEAK_SURGE)} "
+         f"WHEN {_HOUR} >= {K.LUNCH_BAND[0]} AND {_HOUR} <= {K.LUNCH_BAND[1]} THEN {_lit(K.LUNCH_SURGE)} "
+         f"WHEN {_HOUR} >= {K.LATE_NIGHT_FROM} OR {_HOUR} <= {K.LATE_NIGHT_TO} THEN {_lit(K.LATE_NIGHT_SURGE)} "
+         f"ELSE 0.0e0 END")
+_WEEKEND = (f"CASE WHEN {_WD} >= 5 THEN {_lit(K.WEEKEND_SURGE)} WHEN {_WD} = 4 AND {_HOUR} >= "
+            f"{K.FRIDAY_EVENING_FROM} THEN {_lit(K.FRIDAY_EVENING_SURGE)} ELSE 0.0e0 END")
+_SEASON = (f"CASE WHEN month(\"timestamp\") BETWEEN {K.MONSOON_MONTHS[0]} AND {K.MONSOON_MONTHS[1]} "
+           f"THEN {_lit(K.MONSOON_SURGE)} ELSE 0.0e0 END")
+_AREAS = ", ".join(f"('{c}', {_lit(a)}, {_lit(o)}, {_lit(r)}, {_lit(m)})" for c, a, o, r, m in K.SURGE_AREAS)
+_FEST = ", ".join(f"({m}, {d}, {_lit(add)})" for m, days, add in K.FESTIVAL_DATES for d in days)
+_CMON = ", ".join(f"('{c}', {m}, {_lit(add)})" for c, m, add in K.CITY_MONTH_SURGE)
+_TARIFF = ", ".join(f"('{s_}', '{v}', {_lit(b)}, {_lit(k)}, {_lit(mi)}, {_lit(f)})"
+                    for s_, v, b, k, mi, f in K.TARIFF)
+
+_SCORE = f""",
+areas AS (SELECT * FROM (VALUES {_AREAS}) t(a_city, a_lat, a_lon, a_radius, a_mult)),
+fest AS (SELECT * FROM (VALUES {_FEST}) t(f_month, f_day, festival_surge)),
+cmon AS (SELECT * FROM (VALUES {_CMON}) t(cm_city, cm_month, city_month_surge)),
+tariff AS (SELECT * FROM (VALUES {_TARIFF}) t(t_service, t_vehicle, base, per_km, per_min, booking_fee)),
+area_s AS (
+  SELECT ride_id, coalesce(sum(CASE WHEN d <= a_radius THEN a_mult * (1.0e0 - d / a_radius) ELSE 0.0e0 END), 0.0e0)
+    AS area_surge
+  FROM (SELECT r.ride_id, a.a_radius, a.a_mult, {_hav('r.start_lat', 'r.start_lon', 'a.a_lat', 'a.a_lon')} AS d
+        FROM rides r LEFT JOIN areas a ON r.city = a.a_city)
+  GROUP BY ride_id),
+cal_s AS (
+  SELECT r.ride_id, coalesce(f.festival_surge, 0.0e0) + coalesce(c.city_month_surge, 0.0e0) AS calendar_surge
+  FROM rides r
+  LEFT JOIN fest f ON month(r."timestamp") = f.f_month AND day(r."timestamp") = f.f_day
+  LEFT JOIN cmon c ON r.city = c.cm_city AND month(r."timestamp") = c.cm_month),
+parts AS (
+  SELECT r.ride_id, {_BAND} AS time_band_surge, {_WEEKEND} AS weekend_surge, {_SEASON} AS season_surge,
+    cal_s.calendar_surge, area_s.area_surge
+  FROM rides r JOIN cal_s USING (ride_id) JOIN area_s USING (ride_id))
+"""
+
+
+def qsc(body: str) -> str:
+    return _BASE + _SCORE + body
+
+
+SQL["haversine_km"] = q(f"SELECT ride_id, round({_hav('start_lat', 'start_lon', 'end_lat', 'end_lon')}, {D}) "
+                        f"AS straight_km FROM rides")
+SQL["estimated_duration"] = q(
+    f"SELECT ride_id, round_even(greatest({_lit(K.MIN_TRIP_MINUTES)}, "
+    f"{_hav('start_lat', 'start_lon', 'end_lat', 'end_lon')} / {_lit(K.URBAN_SPEED_KMH)} * 60.0e0 * 1.5e0), 0) "
+    f"AS est_duration_mins FROM rides")
+SQL["time_band_surge"] = q(f"SELECT ride_id, {_BAND} AS time_band_surge FROM rides")
+SQL["weekend_surge"] = q(f"SELECT ride_id, {_WEEKEND} AS weekend_surge FROM rides")
+SQL["season_surge"] = q(f"SELECT ride_id, {_SEASON} AS season_surge FROM rides")
+SQL["area_surge"] = qsc(f"SELECT ride_id, round(area_surge, {D}) AS area_surge FROM area_s")
+SQL["calendar_surge"] = qsc(f"SELECT ride_id, round(calendar_surge, {D}) AS calendar_surge FROM cal_s")
+SQL["surge_multiplier"] = qsc(
+    f"SELECT ride_id, round(greatest({_lit(K.SURGE_MIN)}, least({_lit(K.SURGE_MAX)}, 1.0e0 + time_band_surge "
+    f"+ weekend_surge + calendar_surge + area_surge + season_surge)), {D}) AS surge_score FROM parts")
+SQL["tariff_fare"] = qsc(
+    f"SELECT ride_id, service, vehicle_type, round(CASE WHEN t_service IS NULL THEN 0.0e0 ELSE "
+    f"round_even((base + per_km * distance_km + per_min * duration_mins + booking_fee) * surge_multiplier / 10, 0) "
+    f"* 10 END, {D}) AS tariff_fare FROM rides LEFT JOIN tariff ON service = t_service AND vehicle_type = t_vehicle")
+_RP = _peak(_HOUR, K.RECORD_PEAK_BANDS)
+SQL["ride_demand_struct"] = q(
+    f"SELECT ride_id, CAST({_HOUR} AS INTEGER) AS hour_of_day, CAST({_WD} AS INTEGER) AS day_of_week, "
+    f"CASE WHEN {_RP} THEN 1 ELSE 0 END AS is_peak_hour, CASE WHEN {_WD} >= 5 THEN 1 ELSE 0 END AS is_weekend "
+    f"FROM rides")
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 

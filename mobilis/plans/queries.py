@@ -13,6 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mobilis.functions.labels import route_label, route_name, stop_label
+from mobilis.functions.rides import ride_time_features
+from mobilis.functions.surge import estimated_duration, season_surge, time_band_surge, weekend_surge
+from mobilis.operators import rides as R
+from mobilis.operators import scoring as P
 from mobilis.operators import clean as C
 from mobilis.operators import summaries as S
 from mobilis.operators import topk as X
@@ -239,5 +243,213 @@ def q_stop_label(spark, sf):
     return sp.select("city", "stop_id", stop_label().alias("stop_label"))
 
 
+# ---------------------------------------------------------------- rides
+def rides_of(spark: SparkSession, sf: str) -> DataFrame:
+    return B.rides(spark, sf)
+
+
+def prepared_of(spark: SparkSession, sf: str) -> DataFrame:
+    return R.preprocess_rides(rides_of(spark, sf))
+
+
+@register("ride_time_features")
+def q_ride_time_features(spark, sf):
+    return ride_time_features(rides_of(spark, sf)).select(
+        "ride_id", "city", "hour", "day_of_week", "is_weekend", "is_peak_hour")
+
+
+@register("ride_ratios")
+def q_ride_ratios(spark, sf):
+    return rounded(R.ride_ratios(rides_of(spark, sf)).select("ride_id", "fare_per_km", "speed_kmh"))
+
+
+@register("ride_outlier_filter")
+def q_ride_outlier_filter(spark, sf):
+    return rounded(prepared_of(spark, sf).select("ride_id", "city", "service", "distance_km", "fare",
+                                                 "duration_mins", "fare_per_km", "speed_kmh"))
+
+
+@register("ride_feature_columns")
+def q_ride_feature_columns(spark, sf):
+    return rounded(R.ride_feature_columns(rides_of(spark, sf)).select(
+        "ride_id", "city", "hour_of_day", "day_of_week", "is_weekend", "is_peak_hour", "fare_per_km"))
+
+
+@register("ride_price_by_type")
+def q_ride_price_by_type(spark, sf):
+    return rounded(R.ride_price_by_type(prepared_of(spark, sf)))
+
+
+@register("ride_distance_by_type")
+def q_ride_distance_by_type(spark, sf):
+    return rounded(R.ride_distance_by_type(prepared_of(spark, sf)))
+
+
+@register("service_popularity")
+def q_service_popularity(spark, sf):
+    return rounded(R.service_popularity(prepared_of(spark, sf)))
+
+
+@register("hourly_surge")
+def q_hourly_surge(spark, sf):
+    return rounded(R.hourly_surge(prepared_of(spark, sf)))
+
+
+@register("peak_vs_offpeak")
+def q_peak_vs_offpeak(spark, sf):
+    return rounded(R.peak_vs_offpeak(prepared_of(spark, sf)))
+
+
+@register("weekend_vs_weekday")
+def q_weekend_vs_weekday(spark, sf):
+    return rounded(R.weekend_vs_weekday(prepared_of(spark, sf)))
+
+
+@register("ride_comparison_projection")
+def q_ride_comparison_projection(spark, sf):
+    return rounded(R.ride_comparison_projection(prepared_of(spark, sf)))
+
+
+@register("ride_features")
+def q_ride_features(spark, sf):
+    return rounded(R.ride_features(rides_of(spark, sf)))
+
+
+@register("fill_feature_nulls")
+def q_fill_feature_nulls(spark, sf):
+    f = R.ride_features(rides_of(spark, sf))
+    return rounded(f.select("city", "hour_of_day", "is_weekend", *R.FEATURE_FILL))
+
+
+@register("modeling_dataset")
+def q_modeling_dataset(spark, sf):
+    return rounded(R.modeling_dataset(rides_of(spark, sf)))
+
+
+@register("demand_index")
+def q_demand_index(spark, sf):
+    m = R.modeling_dataset(rides_of(spark, sf))
+    return rounded(m.select("city", "hour_of_day", "is_weekend", "ride_count", "is_peak_hour", "demand_index"))
+
+
+@register("union_cities")
+def q_union_cities(spark, sf):
+    r = rides_of(spark, sf)
+    per_city = [R.ride_features(r.where(F.col("city") == c)) for c in B.CITIES]
+    return rounded(R.union_cities(per_city))
+
+
+@register("concat_tagged")
+def q_concat_tagged(spark, sf):
+    r = rides_of(spark, sf)
+    frames = {c: r.where(F.col("city") == c).select("service", "fare", "distance_km", "surge_multiplier")
+              for c in B.CITIES}
+    return rounded(R.concat_tagged(frames))
+
+
+@register("simple_ride_dataset")
+def q_simple_ride_dataset(spark, sf):
+    return rounded(R.simple_ride_dataset(rides_of(spark, sf)))
+
+
+@register("surge_label")
+def q_surge_label(spark, sf):
+    m = R.surge_label(R.modeling_dataset(rides_of(spark, sf)), "classification")
+    return rounded(m.select("city", "hour_of_day", "is_weekend", "avg_surge_multiplier", "high_surge", "label"))
+
+
+@register("city_ride_stats")
+def q_city_ride_stats(spark, sf):
+    return rounded(R.city_ride_stats(rides_of(spark, sf)))
+
+
+@register("ride_count_check")
+def q_ride_count_check(spark, sf):
+    return S.record_counts(rides_of(spark, sf)).withColumnRenamed("records", "rides")
+
+
+@register("cross_city_pricing")
+def q_cross_city_pricing(spark, sf):
+    return rounded(R.cross_city_pricing(rides_of(spark, sf), B.CITIES))
+
+
+@register("fare_pivot")
+def q_fare_pivot(spark, sf):
+    return rounded(R.fare_pivot(rides_of(spark, sf)))
+
+
+@register("service_mix_pivot")
+def q_service_mix_pivot(spark, sf):
+    return R.service_mix_pivot(rides_of(spark, sf))
+
+
+@register("fare_distance_points")
+def q_fare_distance_points(spark, sf):
+    return rounded(R.fare_distance_points(rides_of(spark, sf)))
+
+
+@register("model_city_summary")
+def q_model_city_summary(spark, sf):
+    return rounded(R.model_city_summary(R.modeling_dataset(rides_of(spark, sf))))
+
+
+@register("ride_comparison")
+def q_ride_comparison(spark, sf):
+    return rounded(R.ride_comparison(rides_of(spark, sf), B.CITIES))
+
+
+# ---------------------------------------------------------------- scoring
+@register("haversine_km")
+def q_haversine_km(spark, sf):
+    return rounded(P.straight_distance(rides_of(spark, sf)).select("ride_id", "straight_km"))
+
+
+@register("estimated_duration")
+def q_estimated_duration(spark, sf):
+    s = P.straight_distance(rides_of(spark, sf))
+    return s.select("ride_id", estimated_duration("straight_km", 1.5).alias("est_duration_mins"))
+
+
+@register("time_band_surge")
+def q_time_band_surge(spark, sf):
+    return rides_of(spark, sf).select("ride_id", time_band_surge("timestamp").alias("time_band_surge"))
+
+
+@register("weekend_surge")
+def q_weekend_surge(spark, sf):
+    return rides_of(spark, sf).select("ride_id", weekend_surge("timestamp").alias("weekend_surge"))
+
+
+@register("season_surge")
+def q_season_surge(spark, sf):
+    return rides_of(spark, sf).select("ride_id", season_surge("timestamp").alias("season_surge"))
+
+
+@register("area_surge")
+def q_area_surge(spark, sf):
+    return rounded(P.area_surge(rides_of(spark, sf)).select("ride_id", "area_surge"))
+
+
+@register("calendar_surge")
+def q_calendar_surge(spark, sf):
+    return rounded(P.calendar_surge(rides_of(spark, sf)).select("ride_id", "calendar_surge"))
+
+
+@register("surge_multiplier")
+def q_surge_multiplier(spark, sf):
+    return rounded(P.surge_multiplier(rides_of(spark, sf)).select("ride_id", "surge_score"))
+
+
+@register("tariff_fare")
+def q_tariff_fare(spark, sf):
+    return rounded(P.tariff_fare(rides_of(spark, sf)).select("ride_id", "service", "vehicle_type", "tariff_fare"))
+
+
+@register("ride_demand_struct")
+def q_ride_demand_struct(spark, sf):
+    d = P.ride_demand_struct(rides_of(spark, sf))
+    return d.select("ride_id", "demand_features.*")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
