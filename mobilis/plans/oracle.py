@@ -476,6 +476,89 @@ SQL["ride_demand_struct"] = q(
     f"FROM rides")
 
 
+# ---------------------------------------------------------------- profile
+from mobilis.sources.bindings import PROFILE_NUMERIC, PROFILE_TEXT, PROFILE_VIEWS, PROFILE_WIDTH  # noqa: E402
+
+
+def _qcol(c: str) -> str:
+    return f'"{c}"'
+
+
+def _union_all(parts: list[str]) -> str:
+    return " UNION ALL ".join(f"({p})" for p in parts)
+
+
+SQL["profile_table"] = q(_union_all([
+    f"SELECT '{t}' AS table_name, count(*) AS n_rows, {PROFILE_WIDTH[t]} AS n_columns, "
+    f"count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {t})) AS duplicates FROM {t}"
+    for t in PROFILE_VIEWS]))
+SQL["table_size_comparison"] = q(_union_all([
+    f"SELECT '{t}' AS table_name, count(*) AS n_rows, {PROFILE_WIDTH[t]} AS n_columns FROM {t}"
+    for t in PROFILE_VIEWS]))
+
+
+def _num(c: str) -> str:
+    return f"CAST({_qcol(c)} AS DOUBLE)"
+
+
+SQL["numeric_stats"] = q(_union_all([
+    f"SELECT '{t}' AS table_name, '{c}' AS column_name, count({_num(c)}) AS n, "
+    f"round(avg({_num(c)}), {D}) AS mean, round(stddev_samp({_num(c)}), {D}) AS std, "
+    f"round(min({_num(c)}), {D}) AS min_value, round(quantile_cont({_num(c)}, 0.25), {D}) AS q25, "
+    f"round(quantile_cont({_num(c)}, 0.5), {D}) AS q50, round(quantile_cont({_num(c)}, 0.75), {D}) AS q75, "
+    f"round(max({_num(c)}), {D}) AS max_value FROM {t}"
+    for t in PROFILE_VIEWS for c in PROFILE_NUMERIC[t]]))
+
+_ALL_COLS = {
+    "stop_times": ["city", "trip_id", "stop_id", "stop_sequence", "arrival_time"],
+    "trips": ["city", "trip_id", "route_id", "service_id"],
+    "routes": ["city", "route_id", "route_short_name", "route_long_name"],
+    "stops": ["city", "stop_id", "stop_name", "stop_lat", "stop_lon"],
+    "rides": ["ride_id", "city", "timestamp", "service", "vehicle_type", "start_lat", "start_lon", "end_lat",
+              "end_lon", "distance_km", "duration_mins", "surge_multiplier", "fare"],
+}
+
+
+def _miss(t: str, c: str) -> str:
+    floating = c in PROFILE_NUMERIC[t] and c not in ("trip_id", "stop_id", "stop_sequence", "route_id", "ride_id")
+    test = f"{_qcol(c)} IS NULL" + (f" OR isnan({_qcol(c)})" if floating else "")
+    return (f"SELECT '{t}' AS table_name, '{c}' AS column_name, count_if({test}) AS missing, "
+            f"round(count_if({test}) / count(*) * 100, {D}) AS missing_pct FROM {t}")
+
+
+SQL["missing_values"] = q(f"SELECT * FROM ({_union_all([_miss(t, c) for t in PROFILE_VIEWS for c in _ALL_COLS[t]])}) "
+                          f"WHERE missing > 0")
+
+
+def _issues(t: str, c: str) -> list[str]:
+    v = _num(c)
+    fence = (f"(SELECT q1 - 1.5e0 * (q3 - q1) AS lo, q3 + 1.5e0 * (q3 - q1) AS hi FROM "
+             f"(SELECT quantile_cont({v}, 0.25) AS q1, quantile_cont({v}, 0.75) AS q3 FROM {t}))")
+    zero_ok = "false" if c.lower() in K.WEEKDAY_COLUMNS else "true"
+    return [
+        f"SELECT '{t}' AS table_name, '{c}' AS column_name, 'negative_values' AS issue, count_if({v} < 0) AS count "
+        f"FROM {t}",
+        f"SELECT '{t}' AS table_name, '{c}' AS column_name, 'zero_values' AS issue, "
+        f"count_if({v} = 0 AND {zero_ok}) AS count FROM {t}",
+        f"SELECT '{t}' AS table_name, '{c}' AS column_name, 'outliers' AS issue, "
+        f"count_if({v} < f.lo OR {v} > f.hi) AS count FROM {t}, {fence} f",
+    ]
+
+
+_ISSUES = _union_all([p for t in PROFILE_VIEWS for c in PROFILE_NUMERIC[t] for p in _issues(t, c)])
+for _key, _name in [("quality_negative", "negative_values"), ("quality_zero", "zero_values"),
+                    ("quality_outliers", "outliers")]:
+    SQL[_key] = q(f"SELECT * FROM ({_ISSUES}) WHERE count > 0 AND issue = '{_name}'")
+
+SQL["top_categories"] = q(
+    "SELECT table_name, column_name, value, count, CAST(rank AS INTEGER) AS rank FROM ("
+    "SELECT *, row_number() OVER (PARTITION BY table_name, column_name ORDER BY count DESC, value) AS rank FROM ("
+    + _union_all([f"SELECT '{t}' AS table_name, '{c}' AS column_name, CAST({_qcol(c)} AS VARCHAR) AS value, "
+                  f"count(*) AS count FROM {t} WHERE {_qcol(c)} IS NOT NULL GROUP BY {_qcol(c)}"
+                  for t in PROFILE_VIEWS for c in PROFILE_TEXT[t][:5]])
+    + ")) WHERE rank <= 10")
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 

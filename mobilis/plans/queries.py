@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from mobilis.functions.labels import route_label, route_name, stop_label
 from mobilis.functions.rides import ride_time_features
 from mobilis.functions.surge import estimated_duration, season_surge, time_band_surge, weekend_surge
+from mobilis.operators import profile as PR
 from mobilis.operators import rides as R
 from mobilis.operators import scoring as P
 from mobilis.operators import clean as C
@@ -451,5 +452,51 @@ def q_ride_demand_struct(spark, sf):
     return d.select("ride_id", "demand_features.*")
 
 
+# ---------------------------------------------------------------- profile
+@register("profile_table")
+def q_profile_table(spark, sf):
+    return PR.profile_tables(B.profile_views(spark, sf))
+
+
+@register("table_size_comparison")
+def q_table_size_comparison(spark, sf):
+    return PR.table_size_comparison(B.profile_views(spark, sf))
+
+
+@register("numeric_stats")
+def q_numeric_stats(spark, sf):
+    return rounded(PR.numeric_stats(B.profile_views(spark, sf)))
+
+
+@register("missing_values")
+def q_missing_values(spark, sf):
+    return rounded(PR.missing_values(B.profile_views(spark, sf)))
+
+
+def _issue(spark, sf, issue):
+    q = PR.quality_issues(B.profile_views(spark, sf))
+    return q.where(F.col("issue") == issue)
+
+
+@register("quality_negative")
+def q_quality_negative(spark, sf):
+    return _issue(spark, sf, "negative_values")
+
+
+@register("quality_zero")
+def q_quality_zero(spark, sf):
+    return _issue(spark, sf, "zero_values")
+
+
+@register("quality_outliers")
+def q_quality_outliers(spark, sf):
+    return _issue(spark, sf, "outliers")
+
+
+@register("top_categories")
+def q_top_categories(spark, sf):
+    return PR.top_categories(B.profile_views(spark, sf))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)

@@ -152,3 +152,29 @@ def transit_feed(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 def rides(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "rides")
+
+
+# Column roles of the views, as the profile sees them (numeric, then text),
+# for building the oracle SQL; tests check they agree with the Spark schema.
+PROFILE_VIEWS = ["stop_times", "trips", "routes", "stops", "rides"]
+PROFILE_NUMERIC = {
+    "stop_times": ["trip_id", "stop_id", "stop_sequence"],
+    "trips": ["trip_id", "route_id"],
+    "routes": ["route_id"],
+    "stops": ["stop_id", "stop_lat", "stop_lon"],
+    "rides": ["ride_id", "start_lat", "start_lon", "end_lat", "end_lon", "distance_km", "duration_mins",
+              "surge_multiplier", "fare"],
+}
+PROFILE_TEXT = {
+    "stop_times": ["city", "arrival_time"],
+    "trips": ["city", "service_id"],
+    "routes": ["city", "route_short_name", "route_long_name"],
+    "stops": ["city", "stop_name"],
+    "rides": ["city", "service", "vehicle_type"],
+}
+PROFILE_WIDTH = {"stop_times": 5, "trips": 4, "routes": 4, "stops": 5, "rides": 13}
+
+
+def profile_views(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The feed as a city would ship it: every view the metrics read."""
+    return {n: view(spark, sf_dir, n) for n in PROFILE_VIEWS}
