@@ -559,6 +559,49 @@ SQL["top_categories"] = q(
     + ")) WHERE rank <= 10")
 
 
+# ---------------------------------------------------------------- distributions
+def _hist(src: str, bins: int, cdf: bool = False) -> str:
+    """numpy-rule histogram of ``src`` (columns city, v) with every bin listed."""
+    edge = (lambda i: f"(CASE WHEN ({i}) >= {bins} THEN _hi ELSE ({i}) * _step + _lo END)")
+    i1 = f"least(CAST(floor((v - _lo) * (CAST({bins} AS DOUBLE) / (_hi - _lo))) AS INTEGER), {bins - 1})"
+    body = (
+        f"SELECT city, bin, round({edge('bin')}, {D}) AS bin_start, round({edge('bin + 1')}, {D}) AS bin_end, "
+        f"coalesce(cnt, 0) AS count FROM ("
+        f"SELECT city, _lo, _hi, _step, CAST(b.bin AS INTEGER) AS bin FROM rng CROSS JOIN range(0, {bins}) b(bin)) g "
+        f"LEFT JOIN (SELECT city, CASE WHEN v < {edge('i1')} THEN i1 - 1 "
+        f"WHEN v >= {edge('i1 + 1')} AND i1 <> {bins - 1} THEN i1 + 1 ELSE i1 END AS bin, count(*) AS cnt "
+        f"FROM (SELECT city, v, _lo, _hi, _step, {i1} AS i1 FROM data JOIN rng USING (city)) GROUP BY ALL) c "
+        f"USING (city, bin)")
+    rng = ("SELECT city, CASE WHEN mn = mx THEN mn - 0.5e0 ELSE mn END AS _lo, "
+           "CASE WHEN mn = mx THEN mx + 0.5e0 ELSE mx END AS _hi, "
+           f"(CASE WHEN mn = mx THEN mx + 0.5e0 ELSE mx END - CASE WHEN mn = mx THEN mn - 0.5e0 ELSE mn END) "
+           f"/ CAST({bins} AS DOUBLE) AS _step "
+           "FROM (SELECT city, min(v) AS mn, max(v) AS mx FROM data GROUP BY city)")
+    sql = qs(f", data AS ({src}), rng AS ({rng}), hist AS ({body}) ")
+    if cdf:
+        return sql + (f"SELECT *, round(sum(count) OVER (PARTITION BY city ORDER BY bin ROWS BETWEEN UNBOUNDED "
+                      f"PRECEDING AND CURRENT ROW) / sum(count) OVER (PARTITION BY city), {D}) AS cumulative_share "
+                      f"FROM hist")
+    return sql + "SELECT * FROM hist"
+
+
+_HW = "SELECT city, v FROM (SELECT city, CAST(headway_seconds AS DOUBLE) / 60.0e0 AS v FROM headways) WHERE v < 60.0e0"
+SQL["trips_histogram"] = _hist("SELECT city, CAST(num_trips AS DOUBLE) AS v FROM route_stats", 30)
+SQL["stops_histogram"] = _hist("SELECT city, CAST(num_stops AS DOUBLE) AS v FROM route_stats", 30)
+SQL["routes_per_stop_histogram"] = _hist("SELECT city, CAST(num_routes AS DOUBLE) AS v FROM spatial_stats", 20)
+SQL["headway_histogram"] = _hist(_HW, 50)
+SQL["headway_cdf"] = _hist(_HW, 50, cdf=True)
+SQL["headway_box"] = qs(
+    f", hw AS ({_HW}), qq AS (SELECT city, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS median, "
+    f"quantile_cont(v, 0.75) AS q3 FROM hw GROUP BY city) "
+    f"SELECT city, round(q1, {D}) AS q1, round(median, {D}) AS median, round(q3, {D}) AS q3, "
+    f"round(q3 - q1, {D}) AS iqr, "
+    f"round(min(v) FILTER (WHERE v >= q1 - 1.5e0 * (q3 - q1) AND v <= q3 + 1.5e0 * (q3 - q1)), {D}) AS whisker_low, "
+    f"round(max(v) FILTER (WHERE v >= q1 - 1.5e0 * (q3 - q1) AND v <= q3 + 1.5e0 * (q3 - q1)), {D}) AS whisker_high, "
+    f"count_if(NOT (v >= q1 - 1.5e0 * (q3 - q1) AND v <= q3 + 1.5e0 * (q3 - q1))) AS outliers "
+    f"FROM hw JOIN qq USING (city) GROUP BY city, q1, median, q3")
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from mobilis.functions.labels import route_label, route_name, stop_label
 from mobilis.functions.rides import ride_time_features
 from mobilis.functions.surge import estimated_duration, season_surge, time_band_surge, weekend_surge
+from mobilis.operators import distribution as DI
 from mobilis.operators import profile as PR
 from mobilis.operators import rides as R
 from mobilis.operators import scoring as P
@@ -498,5 +499,36 @@ def q_top_categories(spark, sf):
     return PR.top_categories(B.profile_views(spark, sf))
 
 
+# ---------------------------------------------------------------- distributions
+@register("trips_histogram")
+def q_trips_histogram(spark, sf):
+    return rounded(DI.trips_histogram(metrics_of(spark, sf)["route_stats"]))
+
+
+@register("stops_histogram")
+def q_stops_histogram(spark, sf):
+    return rounded(DI.stops_histogram(metrics_of(spark, sf)["route_stats"]))
+
+
+@register("routes_per_stop_histogram")
+def q_routes_per_stop_histogram(spark, sf):
+    return rounded(DI.routes_per_stop_histogram(metrics_of(spark, sf)["spatial_stats"]))
+
+
+@register("headway_histogram")
+def q_headway_histogram(spark, sf):
+    return rounded(DI.headway_histogram(metrics_of(spark, sf)["headways"]))
+
+
+@register("headway_cdf")
+def q_headway_cdf(spark, sf):
+    return rounded(DI.headway_cdf(metrics_of(spark, sf)["headways"]))
+
+
+@register("headway_box")
+def q_headway_box(spark, sf):
+    return rounded(DI.headway_box(metrics_of(spark, sf)["headways"]))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
