@@ -145,7 +145,9 @@ def top_categories(tables: dict[str, DataFrame], k: int = 10, max_columns: int =
 
 def table_size_comparison(tables: dict[str, DataFrame]) -> DataFrame:
     """Rows and columns per table (file bytes come from ``sources.feeds.feed_inventory``)."""
-    return profile_tables(tables).select("table_name", "n_rows", "n_columns")
+    return _union([df.agg(F.count(F.lit(1)).alias("n_rows")).select(
+        F.lit(t).alias("table_name"), "n_rows", F.lit(len(df.columns)).alias("n_columns"))
+        for t, df in tables.items()])
 
 
 def missing_matrix(tables: dict[str, DataFrame]) -> DataFrame:
@@ -170,3 +172,19 @@ def profile_city(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
         "quality_issues": quality_issues(tables),
         "top_categories": top_categories(tables),
     }
+
+
+def profile_typed(df: DataFrame) -> DataFrame:
+    """Type text columns for profiling the way a CSV profiler reads them.
+
+    A column is numeric (double) when every non-null value parses as a
+    number; an all-null column counts as numeric. One aggregate pass decides
+    for all columns at once.
+    """
+    text = text_columns(df)
+    if not text:
+        return df
+    checks = df.agg(*[F.count_if(F.col(c).isNotNull() & F.col(c).try_cast("double").isNull()).alias(c)
+                      for c in text]).first()
+    numeric = {c for c in text if checks[c] == 0}
+    return df.select(*[F.col(c).try_cast("double").alias(c) if c in numeric else F.col(c) for c in df.columns])

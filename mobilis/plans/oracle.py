@@ -602,6 +602,25 @@ SQL["headway_box"] = qs(
     f"FROM hw JOIN qq USING (city) GROUP BY city, q1, median, q3")
 
 
+# ---------------------------------------------------------------- store / reports
+_GIVEN = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
+SQL["table_stats"] = _union_all([f"SELECT '{t}' AS table_name, count(*) AS rows FROM {t}" for t in _GIVEN])
+SQL["read_table"] = q("SELECT * FROM stop_times WHERE city = 'delhi'")
+_TOP20 = (f"(SELECT city, rank, route_id, {_NAME} AS route_name, num_trips FROM (SELECT *, "
+          f"CAST(row_number() OVER (PARTITION BY city ORDER BY num_trips DESC, route_id) AS INTEGER) AS rank "
+          f"FROM route_stats) WHERE rank <= 20)")
+SQL["route_mapping_report"] = qs(f", top20 AS {_TOP20} " + " UNION ALL ".join([
+    "SELECT city, rank, 0 AS n, 'Route ID: ' || CAST(route_id AS VARCHAR) AS line FROM top20",
+    "SELECT city, rank, 1 AS n, 'Route Name: ' || route_name AS line FROM top20",
+    "SELECT city, rank, 2 AS n, 'Number of Trips: ' || CAST(num_trips AS VARCHAR) AS line FROM top20",
+    f"SELECT city, rank, 3 AS n, '{'-' * 30}' AS line FROM top20"]))
+SQL["executive_summary"] = qs(
+    "SELECT string_agg(city, ',' ORDER BY city) AS cities, CAST(sum(coalesce(total_routes, 0)) AS BIGINT) "
+    "AS total_routes, count(*) AS cities_analyzed, "
+    "(SELECT CAST(count(DISTINCT x) AS INTEGER) FROM (SELECT unnest(string_split(improvement_areas, '|')) AS x "
+    "FROM assess) WHERE x <> '') AS recommendations_provided FROM assess")
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 

@@ -16,7 +16,10 @@ from mobilis.functions.labels import route_label, route_name, stop_label
 from mobilis.functions.rides import ride_time_features
 from mobilis.functions.surge import estimated_duration, season_surge, time_band_surge, weekend_surge
 from mobilis.operators import distribution as DI
+from mobilis.operators import model as M
 from mobilis.operators import profile as PR
+from mobilis.operators import report as RP
+from mobilis.sources import tables as ST
 from mobilis.operators import rides as R
 from mobilis.operators import scoring as P
 from mobilis.operators import clean as C
@@ -530,5 +533,117 @@ def q_headway_box(spark, sf):
     return rounded(DI.headway_box(metrics_of(spark, sf)["headways"]))
 
 
+# ---------------------------------------------------------------- models (rows-only checks)
+_FITTED: dict = {}
+
+
+def fitted(spark: SparkSession, sf: str, problem_type: str):
+    """(train, test, models, feature names), trained once per session, data folder and problem type."""
+    key = (id(spark), sf, problem_type)
+    if key not in _FITTED:
+        modeling = R.modeling_dataset(rides_of(spark, sf))
+        train, test, _, cols = M.prepare_features(modeling, problem_type)
+        _FITTED[key] = (train, test, M.train_models(train, problem_type), cols)
+    return _FITTED[key]
+
+
+@register("split_data")
+def q_split_data(spark, sf):
+    train, test = M.split_data(R.modeling_dataset(rides_of(spark, sf)))
+    return (train.select(*M.KEY_COLUMNS, F.lit("train").alias("split"))
+            .unionByName(test.select(*M.KEY_COLUMNS, F.lit("test").alias("split"))))
+
+
+@register("prepare_features")
+def q_prepare_features(spark, sf):
+    train, test, _, _ = fitted(spark, sf, "regression")
+    return (M.feature_rows(train).withColumn("split", F.lit("train"))
+            .unionByName(M.feature_rows(test).withColumn("split", F.lit("test"))))
+
+
+def _trained(spark, sf, problem_type):
+    train, _, models, _ = fitted(spark, sf, problem_type)
+    n = train.count()
+    return spark.createDataFrame([(name, problem_type, n) for name in models],
+                                 "model string, problem_type string, train_rows bigint")
+
+
+@register("train_regression")
+def q_train_regression(spark, sf):
+    return _trained(spark, sf, "regression")
+
+
+@register("train_classification")
+def q_train_classification(spark, sf):
+    return _trained(spark, sf, "classification")
+
+
+@register("evaluate_regression")
+def q_evaluate_regression(spark, sf):
+    _, test, models, _ = fitted(spark, sf, "regression")
+    return M.evaluate_models(models, test, "regression")
+
+
+@register("evaluate_classification")
+def q_evaluate_classification(spark, sf):
+    _, test, models, _ = fitted(spark, sf, "classification")
+    return M.evaluate_models(models, test, "classification")
+
+
+@register("model_comparison")
+def q_model_comparison(spark, sf):
+    _, test, models, _ = fitted(spark, sf, "regression")
+    return M.model_comparison(M.evaluate_models(models, test, "regression"), "regression").drop("timestamp")
+
+
+@register("feature_importance")
+def q_feature_importance(spark, sf):
+    _, _, models, cols = fitted(spark, sf, "regression")
+    return M.feature_importance(models, cols)
+
+
+@register("model_insights")
+def q_model_insights(spark, sf):
+    _, _, models, cols = fitted(spark, sf, "regression")
+    ins = M.model_insights(R.modeling_dataset(rides_of(spark, sf)), M.feature_importance(models, cols),
+                           "regression")
+    return ins["top_features"]
+
+
+# ---------------------------------------------------------------- store / sink
+GIVEN_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
+
+
+@register("table_stats")
+def q_table_stats(spark, sf):
+    return ST.table_stats({t: B.read_table(spark, sf, t) for t in GIVEN_TABLES})
+
+
+@register("table_sample")
+def q_table_sample(spark, sf):
+    return ST.table_sample(B.read_table(spark, sf, "lineitem"), 5)
+
+
+@register("read_table")
+def q_read_table(spark, sf):
+    """Stored-table read pruned to one city: here the stop-time view of one city."""
+    return B.view(spark, sf, "stop_times").where(F.col("city") == "delhi")
+
+
+# ---------------------------------------------------------------- reports
+@register("route_mapping_report")
+def q_route_mapping_report(spark, sf):
+    return RP.route_mapping_report(metrics_of(spark, sf)["route_stats"])
+
+
+@register("executive_summary")
+def q_executive_summary(spark, sf):
+    m = metrics_of(spark, sf)
+    a = S.city_assessment(S.route_summary(m["route_stats"]), S.headway_summary(m["headways"]))
+    e = RP.executive_summary(a)
+    return e.select(F.concat_ws(",", "cities").alias("cities"), "total_routes", "cities_analyzed",
+                    "recommendations_provided")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
