@@ -68,9 +68,8 @@ def profile_report(city: str, profile: DataFrame, missing: DataFrame, issues: Da
                   .join(issues.select(t).distinct(), "table_name", "left_anti"),
         ]
     body = reduce(lambda a, b: a.unionByName(b), parts + flags)
-    title = spark.createDataFrame([(f"EDA Report - {city.upper()}",), ("=" * 50,)], "line string")
-    title = title.select(F.lit("").alias("table_name"), F.lit(-1).alias("section"),
-                         F.monotonically_increasing_id().cast("int").alias("n"), "line")
+    title = spark.createDataFrame([("", -1, 0, f"EDA Report - {city.upper()}"), ("", -1, 1, "=" * 50)],
+                                  "table_name string, section int, n int, line string")
     return title.unionByName(body)
 
 
