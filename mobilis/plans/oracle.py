@@ -9,7 +9,7 @@ transit metrics and the prepared ride tables. Doubles are rounded to
 from __future__ import annotations
 
 from mobilis import constants as K
-from mobilis.plans.common import DIGITS
+from mobilis.plans.common import DIGITS, NUDGE
 from mobilis.sources.bindings import CITIES, oracle_with
 
 D = DIGITS
@@ -46,7 +46,7 @@ st_b AS (
   FROM st_a),
 st_c AS (
   SELECT *, arrival_hour * 3600 + arrival_minute * 60 + arrival_second AS arrival_total_seconds FROM st_b),
-events AS (
+fact AS (
   SELECT * FROM st_c JOIN trips_c USING (city, trip_id) JOIN routes_c USING (city, route_id)
   JOIN stops_c USING (city, stop_id)),
 route_stats AS (
@@ -54,24 +54,24 @@ route_stats AS (
     count(DISTINCT trip_id) AS num_trips, count(DISTINCT stop_id) AS num_stops,
     count(*) AS total_stop_events, avg(arrival_hour) AS avg_service_hour,
     stddev_samp(arrival_hour) AS std_service_hour, count(DISTINCT service_id) AS num_services
-  FROM events GROUP BY city, route_id, route_short_name, route_long_name),
+  FROM fact GROUP BY city, route_id, route_short_name, route_long_name),
 hourly_service AS (
   SELECT city, route_id, arrival_hour, count(*) AS hourly_stop_events,
     count(DISTINCT trip_id) AS hourly_trips, count(DISTINCT stop_id) AS hourly_stops
-  FROM events GROUP BY city, route_id, arrival_hour),
+  FROM fact GROUP BY city, route_id, arrival_hour),
 spatial_stats AS (
   SELECT * FROM (
     SELECT city, stop_id, stop_name, count(DISTINCT route_id) AS num_routes,
       count(DISTINCT trip_id) AS num_trips, count(*) AS total_events,
       avg(stop_lat) AS avg_lat, avg(stop_lon) AS avg_lon
-    FROM events GROUP BY city, stop_id, stop_name)
+    FROM fact GROUP BY city, stop_id, stop_name)
   WHERE avg_lat IS NOT NULL AND avg_lon IS NOT NULL),
 headways AS (
   SELECT * FROM (
     SELECT *, arrival_total_seconds - prev_arrival AS headway_seconds FROM (
       SELECT *, lag(arrival_total_seconds) OVER (PARTITION BY city, route_id, stop_id
         ORDER BY arrival_total_seconds, trip_id, stop_sequence) AS prev_arrival
-      FROM events))
+      FROM fact))
   WHERE headway_seconds IS NOT NULL AND headway_seconds > 0 AND headway_seconds < {K.HEADWAY_MAX_SECONDS}),
 rides_t AS (
   SELECT *, CAST(hour("timestamp") AS INTEGER) AS hour,
@@ -130,7 +130,7 @@ SQL["parse_service_time"] = q(
 SQL["trip_stop_events"] = q(
     f"SELECT city, trip_id, stop_id, stop_sequence, arrival_time, arrival_hour, arrival_total_seconds, "
     f"route_id, service_id, route_short_name, route_long_name, stop_name, "
-    f"round(stop_lat, {D}) AS stop_lat, round(stop_lon, {D}) AS stop_lon FROM events")
+    f"round(stop_lat, {D}) AS stop_lat, round(stop_lon, {D}) AS stop_lon FROM fact")
 SQL["route_stats"] = q(
     f"SELECT city, route_id, route_short_name, route_long_name, num_trips, num_stops, total_stop_events, "
     f"round(avg_service_hour, {D}) AS avg_service_hour, round(std_service_hour, {D}) AS std_service_hour, "
@@ -262,7 +262,7 @@ SQL["transit_city_comparison"] = qs(
     f"FULL JOIN (SELECT city, avg(headway_seconds) / 60 AS avg_headway_min FROM headways GROUP BY city) USING (city) "
     f"FULL JOIN (SELECT city, count(*) AS stops FROM spatial_stats GROUP BY city) USING (city) "
     f"FULL JOIN (SELECT city, max(hourly_trips) AS peak_hour_trips FROM hourly_service GROUP BY city) USING (city)")
-SQL["record_count_comparison"] = qs("SELECT city, count(*) AS records FROM events GROUP BY city")
+SQL["record_count_comparison"] = qs("SELECT city, count(*) AS records FROM fact GROUP BY city")
 SQL["total_routes_rollup"] = qs(
     "SELECT CAST(sum(coalesce(total_routes, 0)) AS BIGINT) AS total_routes, count(*) AS cities FROM assess")
 SQL["route_frequency_mix"] = qs(
@@ -621,8 +621,35 @@ SQL["executive_summary"] = qs(
     "FROM assess) WHERE x <> '') AS recommendations_provided FROM assess")
 
 
+def _nudge_rounding(sql: str) -> str:
+    """round(x, DIGITS) -> round((x) + NUDGE, DIGITS), matching ``plans.common.rounded``."""
+    out, i, tail = [], 0, f", {D})"
+    while True:
+        j = sql.find("round(", i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        if j > 0 and (sql[j - 1].isalnum() or sql[j - 1] == "_"):
+            out.append(sql[i:j + 6])
+            i = j + 6
+            continue
+        depth, k = 1, j + 6
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            k += 1
+        call = sql[j:k]
+        if call.endswith(tail):
+            inner = _nudge_rounding(call[6:-len(tail)])
+            call = f"round(({inner}) + {NUDGE!r}, {D})"
+        else:
+            call = "round(" + _nudge_rounding(call[6:])
+        out.append(sql[i:j])
+        out.append(call)
+        i = k
+
+
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return {k: _nudge_rounding(v) for k, v in SQL.items()}
 
 
 __all__ = ["oracle_sql", "SQL", "CITIES"]
