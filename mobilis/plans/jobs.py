@@ -24,6 +24,30 @@ from mobilis.session import scratch_path
 from mobilis.sources import tables as ST
 
 
+# Order of each result table at the sink (ordering happens only when writing).
+SINK_ORDER = {
+    "route_stats": [("num_trips", False), ("route_id", True)],
+    "hourly_service": [("route_id", True), ("arrival_hour", True)],
+    "ride_price_by_type": [("service", True), ("vehicle_type", True)],
+    "service_popularity": [("total_rides", False), ("service", True)],
+    "hourly_surge": [("hour", True), ("service", True)],
+}
+
+
+def ordered(name: str, df: DataFrame) -> DataFrame:
+    """The result as written: sorted by its reporting order when it has one (per city)."""
+    spec = SINK_ORDER.get(name)
+    if not spec:
+        return df
+    cols = city_keys(df) + [c for c, _ in spec]
+    asc = [True] * len(city_keys(df)) + [a for _, a in spec]
+    return df.orderBy(*cols, ascending=asc)
+
+
+def write_ordered(results: dict[str, DataFrame], out_dir: str) -> None:
+    ST.write_results({k: ordered(k, v) for k, v in results.items()}, out_dir)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared checkpoint folder and read it back."""
     path = scratch_path(df.sparkSession, name)
@@ -35,7 +59,7 @@ def transit_job(feed: dict[str, DataFrame], out_dir: str, malformed: str = "midn
     """Clean, join the fact once, compute and write the metric and summary tables."""
     events = materialize(T.build_events(feed, malformed), "trip_stop_events")
     metrics = T.transit_metrics(events)
-    ST.write_results(metrics, out_dir)
+    write_ordered(metrics, out_dir)
     m = {k: v.sparkSession.read.parquet(f"{out_dir.rstrip('/')}/{k}") for k, v in metrics.items()}
     analysis = {
         "city_analysis": S.city_analysis(m["route_stats"], m["headways"], m["hourly_service"], m["spatial_stats"]),
@@ -80,7 +104,7 @@ def ride_job(rides: DataFrame, out_dir: str, cities: list[str]) -> dict[str, Dat
         "service_mix_pivot": R.service_mix_pivot(rides),
         "scored_rides": P.score_rides(rides),
     }
-    ST.write_results(results, out_dir)
+    write_ordered(results, out_dir)
     return results
 
 

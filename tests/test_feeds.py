@@ -114,3 +114,20 @@ def test_structure_checks(spark):
     rej = {r.column_name: r.rejects for r in feeds.cast_rejects(raw, __import__("mobilis.schemas").schemas
                                                                .FEED_SCHEMAS["stops"]).collect()}
     assert rej == {"stop_lat": 1, "stop_id": 0}
+
+
+def test_large_flag_defaults_and_matrices(spark, tmp_dir):
+    from mobilis.operators.rides import with_ride_defaults
+    path = os.path.join(FEEDS, "bangalore", "fare_attributes.txt")
+    _, large = feeds.read_feed_large(spark, path, "fare_attributes", threshold=59)
+    _, small = feeds.read_feed_large(spark, path, "fare_attributes", threshold=60)
+    assert large and not small
+    df = with_ride_defaults(spark.createDataFrame([("r1", 12.0)], "ride_id string, fare double")).first()
+    assert (df.fare, df.distance_km, df.duration_mins, df.surge_multiplier) == (12.0, 0.0, 0.0, 1.0)
+    t = _profile_inputs(spark, "bangalore", ["fare_attributes"])
+    mm = PR.missing_matrix(t).first()
+    assert mm.transfers == 100.0
+    qm = PR.quality_issue_matrix(t).first()
+    assert (qm.zero_values, qm.outliers) == (120, 4)
+    missing = feeds.read_feed(spark, os.path.join(tmp_dir, "absent.txt"), "routes")
+    assert missing.count() == 0 and "route_id" in missing.columns

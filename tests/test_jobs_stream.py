@@ -38,3 +38,23 @@ def test_ride_stream_matches_batch(spark, tmp_dir):
     got = spark.read.parquet(os.path.join(tmp_dir, "scored"))
     assert got.count() == preprocess_rides(rides).count()
     assert {"surge_score", "tariff_fare", "straight_km"} <= set(got.columns)
+
+
+def test_sink_order(spark):
+    from mobilis.operators import transit as T
+    rs = T.route_stats(T.build_events(B.transit_feed(spark, SF)))
+    rows = jobs.ordered("route_stats", rs).collect()
+    for city in B.CITIES:
+        trips = [r.num_trips for r in rows if r.city == city]
+        assert trips == sorted(trips, reverse=True)
+
+
+def test_model_job_saves_models(spark, tmp_dir):
+    from mobilis.operators.rides import modeling_dataset
+    from pyspark.ml.regression import RandomForestRegressionModel
+    out = jobs.model_job(modeling_dataset(B.rides(spark, "/root/testdata/sf0.01")), tmp_dir,
+                         os.path.join(tmp_dir, "models"))
+    assert out["model_comparison_regression"].count() == 9
+    m = RandomForestRegressionModel.load(os.path.join(tmp_dir, "models", "regression_randomforestregressor"))
+    assert m.getNumTrees == 50
+    assert spark.read.json(os.path.join(tmp_dir, "model_insights_regression_top_features")).count() == 5
