@@ -120,8 +120,17 @@ def stop_summary(spatial_stats: DataFrame) -> DataFrame:
 
 
 def _outer(frames: list[DataFrame], keys: list[str]) -> DataFrame:
-    """Full outer join of per-city rows on the city key (a constant key when global)."""
-    return reduce(lambda a, b: join_keys(a, b, keys, "full_outer"), frames)
+    """Side-by-side merge of one-row-per-city frames (the meaning of a full outer join on city).
+
+    The frames have disjoint value columns, so union them by name and keep,
+    per city and column, the single non-null value: one shuffle instead of a
+    join chain. ``max`` picks it deterministically.
+    """
+    cols = []
+    for f in frames:
+        cols += [c for c in f.columns if c not in keys and c not in cols]
+    u = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return u.groupBy(*keys).agg(*[F.max(c).alias(c) for c in cols])
 
 
 def city_assessment(route_sum: DataFrame, headway_sum: DataFrame) -> DataFrame:
@@ -198,5 +207,5 @@ def route_frequency_mix(route_stats: DataFrame) -> DataFrame:
                .when(t <= K.HIGH_FREQUENCY_TRIPS, F.lit("medium")).otherwise(F.lit("high")))
     counts = route_stats.groupBy(*keys, bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("routes"))
     totals = route_stats.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    j = _outer([counts, totals], keys)
+    j = join_keys(counts, totals, keys)
     return j.select(*keys, "bucket", "routes", (F.col("routes") / F.col("_n") * 100).alias("share_pct"))
