@@ -101,6 +101,9 @@ def test_import_city_and_transit_from_store(spark, tmp_dir):
     ST.import_city(spark, base, city, store)
     assert ST.read_table(spark, store, "trips", city).count() == 3
     assert ST.read_table(spark, store, "nope", city) is None
+    # the city filter prunes partitions at the scan
+    plan = ST.read_table(spark, store, "stop_times", city)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "testcity" in plan
 
 
 def test_structure_checks(spark):
