@@ -550,6 +550,11 @@ for _key, _name in [("quality_negative", "negative_values"), ("quality_zero", "z
                     ("quality_outliers", "outliers")]:
     SQL[_key] = q(f"SELECT * FROM ({_ISSUES}) WHERE count > 0 AND issue = '{_name}'")
 
+SQL["quality_issue_matrix"] = q(
+    f"SELECT table_name, CAST(sum(count) FILTER (WHERE issue = 'negative_values') AS BIGINT) AS negative_values, "
+    f"CAST(sum(count) FILTER (WHERE issue = 'zero_values') AS BIGINT) AS zero_values, "
+    f"CAST(sum(count) FILTER (WHERE issue = 'outliers') AS BIGINT) AS outliers "
+    f"FROM ({_ISSUES}) WHERE count > 0 GROUP BY table_name")
 SQL["top_categories"] = q(
     "SELECT table_name, column_name, value, count, CAST(rank AS INTEGER) AS rank FROM ("
     "SELECT *, row_number() OVER (PARTITION BY table_name, column_name ORDER BY count DESC, value) AS rank FROM ("

@@ -497,6 +497,11 @@ def q_quality_outliers(spark, sf):
     return _issue(spark, sf, "outliers")
 
 
+@register("quality_issue_matrix")
+def q_quality_issue_matrix(spark, sf):
+    return PR.quality_issue_matrix(B.profile_views(spark, sf))
+
+
 @register("top_categories")
 def q_top_categories(spark, sf):
     return PR.top_categories(B.profile_views(spark, sf))
