@@ -300,10 +300,6 @@ SQL["stop_label"] = qs("SELECT city, stop_id, substring(stop_name, 1, 20) AS sto
 
 
 # ---------------------------------------------------------------- rides
-def _rr(cols: str, src: str = "") -> str:
-    return _r(cols)
-
-
 SQL["ride_time_features"] = q("SELECT ride_id, city, hour, day_of_week, is_weekend, is_peak_hour FROM rides_t")
 SQL["ride_ratios"] = q(
     f"SELECT ride_id, {_r('fare_per_km speed_kmh')} FROM (SELECT ride_id, "

@@ -128,3 +128,12 @@ def test_label_fallback(spark):
     got = {r.route_id: (r.l, r.n) for r in df.select("route_id", route_label().alias("l"),
                                                      route_name().alias("n")).collect()}
     assert got["1"] == ("S", "  ") and got["2"] == ("2", "Route 2") and got["3"] == ("Long", "Long")
+
+
+def test_approx_distinct_option_close_to_exact(spark):
+    from mobilis.sources import bindings as B
+    ev = T.build_events(B.transit_feed(spark, "/root/testdata/sf0.001"))
+    exact = {(r.city, r.route_id): r.num_trips for r in T.route_stats(ev).collect()}
+    approx = {(r.city, r.route_id): r.num_trips for r in T.route_stats(ev, exact=False).collect()}
+    assert exact.keys() == approx.keys()
+    assert all(abs(approx[k] - exact[k]) <= max(2, 0.05 * exact[k]) for k in exact)
