@@ -310,6 +310,11 @@ SQL["ride_outlier_filter"] = q(
     f"SELECT ride_id, city, service, {_r('distance_km fare duration_mins fare_per_km speed_kmh')} FROM rides_p")
 SQL["ride_feature_columns"] = q(
     f"SELECT ride_id, city, hour_of_day, day_of_week, is_weekend, is_peak_hour, {_r('fare_per_km')} FROM ride_feat")
+SQL["ride_default_columns"] = q(
+    f"SELECT ride_id, round(fare, {D}) AS fare, 0.0e0 AS duration_mins, 1.0e0 AS surge_multiplier FROM rides")
+SQL["typed_or_string"] = q(
+    "SELECT city, CAST(trip_id AS VARCHAR) AS trip_id, CAST(stop_id AS VARCHAR) AS stop_id, "
+    "stop_sequence, arrival_time FROM stop_times")
 SQL["ride_price_by_type"] = q(
     f"SELECT city, service, vehicle_type, round(avg(fare), {D}) AS avg_fare, "
     f"round(avg(fare_per_km), {D}) AS avg_fare_per_km, round(avg(surge_multiplier), {D}) AS avg_surge, "

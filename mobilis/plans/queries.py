@@ -19,6 +19,8 @@ from mobilis.operators import distribution as DI
 from mobilis.operators import model as M
 from mobilis.operators import profile as PR
 from mobilis.operators import report as RP
+from mobilis.schemas import FEED_SCHEMAS
+from mobilis.sources import feeds as FD
 from mobilis.sources import tables as ST
 from mobilis.operators import rides as R
 from mobilis.operators import scoring as P
@@ -280,6 +282,21 @@ def q_ride_feature_columns(spark, sf):
         "ride_id", "city", "hour_of_day", "day_of_week", "is_weekend", "is_peak_hour", "fare_per_km"))
 
 
+@register("ride_default_columns")
+def q_ride_default_columns(spark, sf):
+    """Rides stored without duration and surge columns get the defaults (0.0 and 1.0)."""
+    r = R.with_ride_defaults(rides_of(spark, sf).drop("duration_mins", "surge_multiplier"))
+    return rounded(r.select("ride_id", "fare", "duration_mins", "surge_multiplier"))
+
+
+@register("typed_or_string")
+def q_typed_or_string(spark, sf):
+    """Stop times as text (as a CSV read gives them), cast by name to the feed schema."""
+    st = B.view(spark, sf, "stop_times")
+    text = st.select(*[F.col(c).cast("string").alias(c) for c in st.columns])
+    return FD.typed_or_string(text, FEED_SCHEMAS["stop_times"])
+
+
 @register("ride_price_by_type")
 def q_ride_price_by_type(spark, sf):
     return rounded(R.ride_price_by_type(prepared_of(spark, sf)))
@@ -502,6 +519,12 @@ def q_quality_issue_matrix(spark, sf):
     return PR.quality_issue_matrix(B.profile_views(spark, sf))
 
 
+@register("profile_report")
+def q_profile_report(spark, sf):
+    t = B.profile_views(spark, sf)
+    return RP.profile_report("bindings", PR.profile_tables(t), PR.missing_values(t), PR.quality_issues(t))
+
+
 @register("top_categories")
 def q_top_categories(spark, sf):
     return PR.top_categories(B.profile_views(spark, sf))
