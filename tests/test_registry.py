@@ -37,7 +37,7 @@ def test_entry(spark):
     assert df.count() > 0 and "num_trips" in df.columns
 
 
-def test_every_query_has_oracle_or_is_rows_only():
+def test_every_query_has_oracle_or_is_rows_only():  # noqa: D103
     q, s = queries(), oracle_sql()
     assert set(s) <= set(q)
     assert len(set(q) - set(s)) <= 12
