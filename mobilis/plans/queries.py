@@ -9,27 +9,26 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
 from pyspark.sql import functions as F
 
 from mobilis.functions.labels import route_label, route_name, stop_label
 from mobilis.functions.rides import ride_time_features
 from mobilis.functions.surge import estimated_duration, season_surge, time_band_surge, weekend_surge
+from mobilis.operators import clean as C
 from mobilis.operators import distribution as DI
 from mobilis.operators import model as M
 from mobilis.operators import profile as PR
 from mobilis.operators import report as RP
-from mobilis.schemas import FEED_SCHEMAS
-from mobilis.sources import feeds as FD
-from mobilis.sources import tables as ST
 from mobilis.operators import rides as R
 from mobilis.operators import scoring as P
-from mobilis.operators import clean as C
 from mobilis.operators import summaries as S
 from mobilis.operators import topk as X
 from mobilis.operators import transit as T
 from mobilis.plans.common import rounded
+from mobilis.schemas import FEED_SCHEMAS
 from mobilis.sources import bindings as B
+from mobilis.sources import feeds as FD
+from mobilis.sources import tables as ST
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -429,6 +428,7 @@ def q_haversine_km(spark, sf):
 @register("estimated_duration")
 def q_estimated_duration(spark, sf):
     s = P.straight_distance(rides_of(spark, sf))
+    # The traffic factor is a parameter (the original rule draws one in [1.2, 2.0]).
     return s.select("ride_id", estimated_duration("straight_km", 1.5).alias("est_duration_mins"))
 
 
