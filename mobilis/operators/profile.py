@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mobilis.constants import WEEKDAY_COLUMNS
-from mobilis.operators.quantiles import quantile_columns
+from mobilis.operators.quantiles import quantile_columns, value_counts
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
@@ -63,20 +63,39 @@ def table_schema(tables: dict[str, DataFrame]) -> DataFrame:
     return spark.createDataFrame(rows, "table_name string, position int, column_name string, data_type string")
 
 
-def numeric_stats(tables: dict[str, DataFrame]) -> DataFrame:
-    """count, mean, sample std, min, 25/50/75% (linear), max per numeric column."""
+KEYS = ["table_name", "column_name"]
+
+
+def numeric_value_counts(tables: dict[str, DataFrame]) -> DataFrame | None:
+    """(table_name, column_name, _v, _c) over every numeric column of every table.
+
+    The one pass over the data that numeric statistics, quartiles and quality
+    checks share; everything after it works on distinct values only.
+    """
     longs = [_long(df, t, numeric_columns(df)) for t, df in tables.items() if numeric_columns(df)]
-    if not longs:
+    return value_counts(_union(longs), "value", KEYS) if longs else None
+
+
+def numeric_stats(tables: dict[str, DataFrame], counted: DataFrame | None = None) -> DataFrame | None:
+    """count, mean, sample std, min, 25/50/75% (linear), max per numeric column.
+
+    Computed from the (value, count) table: mean first, then the sample
+    variance as a weighted sum of squared deviations (two passes over the
+    distinct values, numerically stable).
+    """
+    vc = counted if counted is not None else numeric_value_counts(tables)
+    if vc is None:
         return None
-    long = _union(longs)
-    keys = ["table_name", "column_name"]
-    v = F.col("value")
-    base = long.groupBy(*keys).agg(
-        F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
-        F.min(v).alias("min_value"), F.max(v).alias("max_value"))
-    q = quantile_columns(long, "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, keys)
-    return (base.join(q, keys, "left")
-                .select(*keys, "n", "mean", "std", "min_value", "q25", "q50", "q75", "max_value"))
+    v, c = F.col("_v"), F.col("_c")
+    first = vc.groupBy(*KEYS).agg(F.sum(c).alias("n"), (F.sum(v * c) / F.sum(c)).alias("mean"),
+                                  F.min(v).alias("min_value"), F.max(v).alias("max_value"))
+    # One row per (table, column): bounded by the schema width.
+    dev = vc.join(F.broadcast(first.select(*KEYS, "mean")), KEYS).groupBy(*KEYS).agg(
+        F.sum(c * (v - F.col("mean")) * (v - F.col("mean"))).alias("_ss"))
+    q = quantile_columns(None, "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, KEYS, counted=vc)
+    out = first.join(dev, KEYS).join(q, KEYS, "left")
+    std = F.when(F.col("n") > 1, F.sqrt(F.col("_ss") / (F.col("n") - 1)))
+    return out.select(*KEYS, "n", "mean", std.alias("std"), "min_value", "q25", "q50", "q75", "max_value")
 
 
 def missing_values(tables: dict[str, DataFrame]) -> DataFrame:
@@ -108,20 +127,20 @@ def quality_issues(tables: dict[str, DataFrame]) -> DataFrame:
     skipped) and outliers (outside Q1 - 1.5 IQR .. Q3 + 1.5 IQR; a value on
     the fence is not an outlier). Quartiles are exact and linear.
     """
-    longs = [_long(df, t, numeric_columns(df)) for t, df in tables.items() if numeric_columns(df)]
-    if not longs:
+    vc = numeric_value_counts(tables)
+    if vc is None:
         return None
-    long = _union(longs)
-    keys = ["table_name", "column_name"]
-    quart = quantile_columns(long, "value", {"q1": 0.25, "q3": 0.75}, keys)
+    keys = KEYS
+    quart = quantile_columns(None, "value", {"q1": 0.25, "q3": 0.75}, keys, counted=vc)
     fences = quart.select(*keys, (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("_lo"),
                           (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("_hi"))
-    v = F.col("value")
+    v, c = F.col("_v"), F.col("_c")
+    zero_checked = ~F.lower(F.col("column_name")).isin(*WEEKDAY_COLUMNS)
     # One fence row per (table, column): bounded by the schema width.
-    counted = long.join(F.broadcast(fences), keys, "left").groupBy(*keys).agg(
-        F.count_if(v < 0).alias("negative_values"),
-        F.count_if((v == 0) & ~F.lower(F.col("column_name")).isin(*WEEKDAY_COLUMNS)).alias("zero_values"),
-        F.count_if((v < F.col("_lo")) | (v > F.col("_hi"))).alias("outliers"))
+    counted = vc.join(F.broadcast(fences), keys, "left").groupBy(*keys).agg(
+        F.coalesce(F.sum(F.when(v < 0, c)), F.lit(0)).alias("negative_values"),
+        F.coalesce(F.sum(F.when((v == 0) & zero_checked, c)), F.lit(0)).alias("zero_values"),
+        F.coalesce(F.sum(F.when((v < F.col("_lo")) | (v > F.col("_hi")), c)), F.lit(0)).alias("outliers"))
     issues = counted.unpivot(keys, ["negative_values", "zero_values", "outliers"], "issue", "count")
     return issues.where(F.col("count") > 0)
 

@@ -34,13 +34,27 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], keys: list[st
     broadcast to attach bucket numbers without shuffling values by key.
     """
     keys = list(keys or [])
+    return quantiles_from_counts(value_counts(df, value, keys), probs, keys, buckets)
+
+
+def value_counts(df: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:
+    """(keys..., _v, _c): distinct non-null, non-NaN values as doubles with their counts.
+
+    A partial aggregate collapses repeated values before the shuffle.
+    """
+    keys = list(keys or [])
     v = F.col(value).cast("double")
-    vc = (df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*keys, v.alias("_v"))
-            .agg(F.count(F.lit(1)).alias("_c")))
+    return (df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*keys, v.alias("_v"))
+              .agg(F.count(F.lit(1)).alias("_c")))
 
+
+def quantiles_from_counts(vc: DataFrame, probs: list[float], keys: list[str] | None = None,
+                          buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+    """``exact_quantiles`` on an already collapsed (keys..., _v, _c) table."""
+    keys = list(keys or [])
     # Approximate cut points per key over distinct values: a bounded sketch.
     cuts = [i / buckets for i in range(1, buckets)]
-    bounds = vc.groupBy(*keys).agg(F.percentile_approx("_v", cuts, 10000).alias("_b"),
+    bounds = vc.groupBy(*keys).agg(F.percentile_approx("_v", cuts, 1000).alias("_b"),
                                    F.sum("_c").alias("_n"))
     # One row per key group (see the docstring): small by construction.
     sized = _join(vc, F.broadcast(bounds), keys)
@@ -81,9 +95,13 @@ def _join(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def quantile_columns(df: DataFrame, value: str, probs: dict[str, float], keys: list[str] | None = None,
-                     buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """Same as ``exact_quantiles`` but one column per named probability."""
+                     buckets: int = DEFAULT_BUCKETS, counted: DataFrame | None = None) -> DataFrame:
+    """Same as ``exact_quantiles`` but one column per named probability.
+
+    ``counted`` may pass a ``value_counts`` table already built from ``df``.
+    """
     keys = list(keys or [])
-    q = exact_quantiles(df, value, list(probs.values()), keys, buckets)
+    vc = counted if counted is not None else value_counts(df, value, keys)
+    q = quantiles_from_counts(vc, list(probs.values()), keys, buckets)
     return q.groupBy(*keys).agg(*[F.max(F.when(F.col("p") == float(p), F.col("quantile"))).alias(name)
                                   for name, p in probs.items()])

@@ -26,6 +26,7 @@ from mobilis.operators import topk as X
 from mobilis.operators import transit as T
 from mobilis.plans.common import rounded
 from mobilis.schemas import FEED_SCHEMAS
+from mobilis.session import ensure_checkpoint_dir
 from mobilis.sources import bindings as B
 from mobilis.sources import feeds as FD
 from mobilis.sources import tables as ST
@@ -110,6 +111,16 @@ def metrics_of(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     return T.transit_metrics(events_of(spark, sf))
 
 
+def shared_metrics_of(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """Metrics over a checkpointed fact, for queries that feed it to several metrics.
+
+    The fact is computed once and written to the shared checkpoint folder
+    (lineage cut: a lost executor re-reads it instead of redoing the joins).
+    """
+    ensure_checkpoint_dir(spark)
+    return T.transit_metrics(events_of(spark, sf).checkpoint(eager=True))
+
+
 def _strings(df: DataFrame, *cols: str) -> DataFrame:
     """Arrays of texts as one '|'-joined string (flat values for the oracle)."""
     return df.withColumns({c: F.concat_ws("|", c) for c in cols})
@@ -149,14 +160,14 @@ def q_stop_summary(spark, sf):
 
 @register("city_assessment")
 def q_city_assessment(spark, sf):
-    m = metrics_of(spark, sf)
+    m = shared_metrics_of(spark, sf)
     a = S.city_assessment(S.route_summary(m["route_stats"]), S.headway_summary(m["headways"]))
     return _strings(a, "key_strengths", "improvement_areas")
 
 
 @register("city_analysis")
 def q_city_analysis(spark, sf):
-    m = metrics_of(spark, sf)
+    m = shared_metrics_of(spark, sf)
     ca = S.city_analysis(m["route_stats"], m["headways"], m["hourly_service"], m["spatial_stats"])
     ca = _strings(ca, "key_strengths", "improvement_areas")
     return rounded(ca.withColumn("n_service_gaps", F.size("service_gaps"))
@@ -165,7 +176,7 @@ def q_city_analysis(spark, sf):
 
 @register("transit_city_comparison")
 def q_transit_city_comparison(spark, sf):
-    m = metrics_of(spark, sf)
+    m = shared_metrics_of(spark, sf)
     return rounded(S.transit_city_comparison(m["route_stats"], m["headways"], m["spatial_stats"],
                                              m["hourly_service"]))
 
@@ -177,7 +188,7 @@ def q_record_count_comparison(spark, sf):
 
 @register("total_routes_rollup")
 def q_total_routes_rollup(spark, sf):
-    m = metrics_of(spark, sf)
+    m = shared_metrics_of(spark, sf)
     a = S.city_assessment(S.route_summary(m["route_stats"]), S.headway_summary(m["headways"]))
     return S.total_routes_rollup(a)
 
@@ -221,13 +232,13 @@ def q_peak_hour(spark, sf):
 
 @register("demand_service_gap")
 def q_demand_service_gap(spark, sf):
-    m = metrics_of(spark, sf)
+    m = shared_metrics_of(spark, sf)
     return rounded(X.demand_service_gap(m["route_stats"], m["hourly_service"]))
 
 
 @register("underserved_vs_average")
 def q_underserved_vs_average(spark, sf):
-    m = metrics_of(spark, sf)
+    m = shared_metrics_of(spark, sf)
     return rounded(X.underserved_vs_average(m["route_stats"], m["hourly_service"]))
 
 
@@ -666,7 +677,7 @@ def q_route_mapping_report(spark, sf):
 
 @register("executive_summary")
 def q_executive_summary(spark, sf):
-    m = metrics_of(spark, sf)
+    m = shared_metrics_of(spark, sf)
     a = S.city_assessment(S.route_summary(m["route_stats"]), S.headway_summary(m["headways"]))
     e = RP.executive_summary(a)
     return e.select(F.concat_ws(",", "cities").alias("cities"), "total_routes", "cities_analyzed",

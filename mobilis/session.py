@@ -9,13 +9,17 @@ from pyspark.sql import SparkSession
 
 # Options every job wants: UTC session clock (ride timestamps are naive local
 # times), adaptive execution with skew-join splitting, dynamic partition
-# overwrite for per-city tables.
+# overwrite for per-city tables. Coalesced shuffle partitions may go down to
+# 256 KB: several stages (sketches, windows over distinct values) are heavy
+# per byte, and a few-MB shuffle should still use every core.
 DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "256k",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
 }
 
