@@ -67,3 +67,15 @@ def test_result_cap_is_opt_in(spark, tmp_dir):
     ST.write_results({"capped": df}, tmp_dir, row_cap=5)
     assert spark.read.parquet(os.path.join(tmp_dir, "all")).count() == df.count()
     assert spark.read.parquet(os.path.join(tmp_dir, "capped")).count() == 5
+
+
+def test_run_all_end_to_end(spark, tmp_dir):
+    from test_feeds import _mini_feed
+    base, store = os.path.join(tmp_dir, "feeds"), os.path.join(tmp_dir, "store")
+    city = _mini_feed(base)
+    out = jobs.run_all(spark, base, [city], store, B.rides(spark, SF), os.path.join(tmp_dir, "out"),
+                       os.path.join(tmp_dir, "models"))
+    summary = out["executive_summary"].first()
+    assert summary.cities == [city] and summary.total_routes == 2
+    assert os.path.isdir(os.path.join(tmp_dir, "out", f"{city}_profile_report"))
+    assert "model_comparison_regression" in out
