@@ -5,6 +5,9 @@ group (a single value v uses [v - 0.5, v + 0.5]); edges are ``lo + i * step``
 with the last edge exactly ``max``; the last bin is closed, so the maximum
 lands in it; a value is moved one bin down or up when float rounding put it
 on the wrong side of an edge. Empty bins are listed with count 0.
+
+The input is read twice (range per group, then counts): pass a stored or
+persisted table, as the jobs do, rather than a long computation.
 """
 
 from __future__ import annotations

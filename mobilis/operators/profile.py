@@ -120,14 +120,14 @@ def missing_totals(tables: dict[str, DataFrame]) -> DataFrame:
         F.sum("missing").alias("total_missing"), F.count(F.lit(1)).alias("columns_with_missing"))
 
 
-def quality_issues(tables: dict[str, DataFrame]) -> DataFrame:
+def quality_issues(tables: dict[str, DataFrame], counted: DataFrame | None = None) -> DataFrame | None:
     """(table_name, column_name, issue, count) for counts > 0.
 
     issues: negative_values (< 0), zero_values (= 0, weekday flag columns
     skipped) and outliers (outside Q1 - 1.5 IQR .. Q3 + 1.5 IQR; a value on
     the fence is not an outlier). Quartiles are exact and linear.
     """
-    vc = numeric_value_counts(tables)
+    vc = counted if counted is not None else numeric_value_counts(tables)
     if vc is None:
         return None
     keys = KEYS
@@ -174,21 +174,27 @@ def missing_matrix(tables: dict[str, DataFrame]) -> DataFrame:
     return missing_values(tables).groupBy("table_name").pivot("column_name").agg(F.first("missing_pct"))
 
 
-def quality_issue_matrix(tables: dict[str, DataFrame]) -> DataFrame:
+def quality_issue_matrix(tables: dict[str, DataFrame], counted: DataFrame | None = None) -> DataFrame:
     """table x issue sum of counts."""
-    q = quality_issues(tables)
+    q = quality_issues(tables, counted)
     return q.groupBy("table_name").pivot("issue", ["negative_values", "zero_values", "outliers"]).agg(
         F.sum("count"))
 
 
-def profile_city(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Everything above for one feed, as named result tables."""
+def profile_city(tables: dict[str, DataFrame], counted: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Everything above for one feed, as named result tables.
+
+    ``counted`` is the feed's ``numeric_value_counts``; pass it persisted
+    (written to the checkpoint folder) when several results are computed,
+    so the tables are read once.
+    """
+    vc = counted if counted is not None else numeric_value_counts(tables)
     return {
         "profile": profile_tables(tables),
         "schema": table_schema(tables),
-        "numeric_stats": numeric_stats(tables),
+        "numeric_stats": numeric_stats(tables, vc),
         "missing_values": missing_values(tables),
-        "quality_issues": quality_issues(tables),
+        "quality_issues": quality_issues(tables, vc),
         "top_categories": top_categories(tables),
     }
 

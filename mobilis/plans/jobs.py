@@ -129,11 +129,15 @@ def model_job(modeling: DataFrame, out_dir: str, model_dir: str) -> dict[str, Da
 
 def profile_job(tables: dict[str, DataFrame], city: str, out_dir: str) -> dict[str, DataFrame]:
     """Profile a feed and write its tables and text report."""
-    res = {k: v for k, v in PR.profile_city(tables).items() if v is not None}
-    ST.write_results(res, f"{out_dir.rstrip('/')}/profile_{city}")
-    lines = RP.profile_report(city, res["profile"], res["missing_values"], res.get("quality_issues"))
+    vc = PR.numeric_value_counts(tables)
+    counted = materialize(vc, f"value_counts_{city}") if vc is not None else None
+    res = {k: v for k, v in PR.profile_city(tables, counted).items() if v is not None}
+    base = f"{out_dir.rstrip('/')}/profile_{city}"
+    ST.write_results(res, base)
+    back = {k: v.sparkSession.read.parquet(f"{base}/{k}") for k, v in res.items()}
+    lines = RP.profile_report(city, back["profile"], back["missing_values"], back.get("quality_issues"))
     RP.write_lines(lines, f"{out_dir.rstrip('/')}/{city}_profile_report", ["table_name", "section", "n"])
-    return res
+    return back
 
 
 def run_all(spark: SparkSession, feed_base: str, cities: list[str], store: str, rides: DataFrame | None,

@@ -111,6 +111,13 @@ def metrics_of(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     return T.transit_metrics(events_of(spark, sf))
 
 
+def persisted(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared checkpoint folder (eager), for inputs read by
+    several branches of one plan: each branch would otherwise recompute it."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def shared_metrics_of(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     """Metrics over a checkpointed fact, for queries that feed it to several metrics.
 
@@ -150,7 +157,7 @@ def q_hourly_profile_series(spark, sf):
 
 @register("service_gaps")
 def q_service_gaps(spark, sf):
-    return S.service_gaps(metrics_of(spark, sf)["hourly_service"])
+    return S.service_gaps(persisted(metrics_of(spark, sf)["hourly_service"]))
 
 
 @register("stop_summary")
@@ -195,7 +202,7 @@ def q_total_routes_rollup(spark, sf):
 
 @register("route_frequency_mix")
 def q_route_frequency_mix(spark, sf):
-    return rounded(S.route_frequency_mix(metrics_of(spark, sf)["route_stats"]))
+    return rounded(S.route_frequency_mix(persisted(metrics_of(spark, sf)["route_stats"])))
 
 
 # ---------------------------------------------------------------- top-k
@@ -495,9 +502,17 @@ def q_table_size_comparison(spark, sf):
     return PR.table_size_comparison(B.profile_views(spark, sf))
 
 
+def counted_views(spark: SparkSession, sf: str):
+    """The feed views and their (value, count) table, checkpointed: it feeds several branches."""
+    views = B.profile_views(spark, sf)
+    ensure_checkpoint_dir(spark)
+    return views, PR.numeric_value_counts(views).checkpoint(eager=True)
+
+
 @register("numeric_stats")
 def q_numeric_stats(spark, sf):
-    return rounded(PR.numeric_stats(B.profile_views(spark, sf)))
+    views, vc = counted_views(spark, sf)
+    return rounded(PR.numeric_stats(views, vc))
 
 
 @register("missing_values")
@@ -506,7 +521,7 @@ def q_missing_values(spark, sf):
 
 
 def _issue(spark, sf, issue):
-    q = PR.quality_issues(B.profile_views(spark, sf))
+    q = PR.quality_issues(*counted_views(spark, sf))
     return q.where(F.col("issue") == issue)
 
 
@@ -527,13 +542,14 @@ def q_quality_outliers(spark, sf):
 
 @register("quality_issue_matrix")
 def q_quality_issue_matrix(spark, sf):
-    return PR.quality_issue_matrix(B.profile_views(spark, sf))
+    return PR.quality_issue_matrix(*counted_views(spark, sf))
 
 
 @register("profile_report")
 def q_profile_report(spark, sf):
-    t = B.profile_views(spark, sf)
-    return RP.profile_report("bindings", PR.profile_tables(t), PR.missing_values(t), PR.quality_issues(t))
+    views, vc = counted_views(spark, sf)
+    return RP.profile_report("bindings", persisted(PR.profile_tables(views)), persisted(PR.missing_values(views)),
+                             persisted(PR.quality_issues(views, vc)))
 
 
 @register("top_categories")
@@ -544,32 +560,32 @@ def q_top_categories(spark, sf):
 # ---------------------------------------------------------------- distributions
 @register("trips_histogram")
 def q_trips_histogram(spark, sf):
-    return rounded(DI.trips_histogram(metrics_of(spark, sf)["route_stats"]))
+    return rounded(DI.trips_histogram(persisted(metrics_of(spark, sf)["route_stats"])))
 
 
 @register("stops_histogram")
 def q_stops_histogram(spark, sf):
-    return rounded(DI.stops_histogram(metrics_of(spark, sf)["route_stats"]))
+    return rounded(DI.stops_histogram(persisted(metrics_of(spark, sf)["route_stats"])))
 
 
 @register("routes_per_stop_histogram")
 def q_routes_per_stop_histogram(spark, sf):
-    return rounded(DI.routes_per_stop_histogram(metrics_of(spark, sf)["spatial_stats"]))
+    return rounded(DI.routes_per_stop_histogram(persisted(metrics_of(spark, sf)["spatial_stats"])))
 
 
 @register("headway_histogram")
 def q_headway_histogram(spark, sf):
-    return rounded(DI.headway_histogram(metrics_of(spark, sf)["headways"]))
+    return rounded(DI.headway_histogram(persisted(metrics_of(spark, sf)["headways"])))
 
 
 @register("headway_cdf")
 def q_headway_cdf(spark, sf):
-    return rounded(DI.headway_cdf(metrics_of(spark, sf)["headways"]))
+    return rounded(DI.headway_cdf(persisted(metrics_of(spark, sf)["headways"])))
 
 
 @register("headway_box")
 def q_headway_box(spark, sf):
-    return rounded(DI.headway_box(metrics_of(spark, sf)["headways"]))
+    return rounded(DI.headway_box(persisted(metrics_of(spark, sf)["headways"])))
 
 
 # ---------------------------------------------------------------- models (rows-only checks)
