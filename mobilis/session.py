@@ -45,25 +45,42 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
     Only when the session has none (local tests) do we pick a scratch folder.
+    A session without a SparkContext handle (a remote client) manages its
+    checkpoint folder on the server; its configured value is returned.
     """
-    current = spark.sparkContext.getCheckpointDir()
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - remote sessions expose no SparkContext
+        return configured
+    current = sc.getCheckpointDir()
     if current:
         return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         configured = tempfile.mkdtemp(prefix="mobilis-ckpt-")
-    spark.sparkContext.setCheckpointDir(configured)
-    return spark.sparkContext.getCheckpointDir() or configured
+    sc.setCheckpointDir(configured)
+    return sc.getCheckpointDir() or configured
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return checkpoint_root(spark)
 
 
+def parallelism(spark: SparkSession) -> int:
+    """Cores the session can run tasks on (default parallelism)."""
+    try:
+        return spark.sparkContext.defaultParallelism
+    except Exception:  # noqa: BLE001 - remote sessions expose no SparkContext
+        return int(spark.conf.get("spark.default.parallelism", None)
+                   or spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path for an intermediate table under the shared checkpoint folder."""
-    root = checkpoint_root(spark).rstrip("/")
-    return f"{root}/tables/{name}-{os.getpid()}-{next(_counter)}"
+    root = checkpoint_root(spark)
+    if not root:
+        raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a shared folder")
+    return f"{root.rstrip('/')}/tables/{name}-{os.getpid()}-{next(_counter)}"
 
 
 def _count():

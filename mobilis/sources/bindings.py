@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mobilis.session import parallelism
+
 CITIES = ["delhi", "bangalore"]
 
 # Dialect pieces that differ between Spark SQL and DuckDB.
@@ -163,7 +165,7 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     files -- any large table -- are left untouched: no extra shuffle at
     scale. The file count comes from the file listing; no data is read.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
+    cores = parallelism(df.sparkSession)
     return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
 
 
