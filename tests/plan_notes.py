@@ -12,8 +12,8 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from __spark_entry__ import queries  # noqa: E402
 from mobilis.session import get_session  # noqa: E402
 
-KEYS = ["trip_stop_events", "route_stats", "headways", "busiest_routes", "peak_vs_offpeak", "tariff_fare",
-        "area_surge", "numeric_stats", "read_table"]
+KEYS = ["trip_stop_events", "route_stats", "headways", "busiest_routes", "city_analysis", "peak_vs_offpeak",
+        "tariff_fare", "area_surge", "numeric_stats", "trips_histogram", "read_table"]
 FEATURES = ["BroadcastHashJoin", "SortMergeJoin", "ShuffledHashJoin", "BroadcastNestedLoopJoin",
             "HashAggregate", "SortAggregate", "ObjectHashAggregate", "Expand", "Window", "WindowGroupLimit",
             "Exchange", "BatchEvalPython", "ArrowEvalPython"]
@@ -28,8 +28,10 @@ def main():
         plan = df._jdf.queryExecution().executedPlan().toString()
         counts = {f: len(re.findall(rf"\b{f}\b", plan)) for f in FEATURES}
         scans = re.findall(r"FileScan parquet [^\[]*\[([^\]]*)\].*?PushedFilters: \[([^\]]*)\]", plan)
+        scans = sorted(set((re.sub(r"#\d+L?", "", c), p) for c, p in scans))
         print(f"### {k}")
-        print("operators: " + ", ".join(f"{f} x{n}" for f, n in counts.items() if n))
+        print("operators: " + ", ".join(f"{f} x{n}" for f, n in counts.items() if n)
+              + f"; checkpointed inputs x{plan.count('Scan ExistingRDD')}")
         for cols, pushed in scans:
             print(f"scan columns: {cols} | pushed filters: {pushed or '-'}")
         print()
