@@ -43,3 +43,23 @@ def start_scoring(rides: DataFrame, out_dir: str, checkpoint_dir: str,
          .option("checkpointLocation", checkpoint_dir))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start(out_dir)
+
+
+def start_features(rides: DataFrame, table_dir: str, checkpoint_dir: str,
+                   available_now: bool = True) -> StreamingQuery:
+    """Keep the per (city, hour_of_day, is_weekend) ride features current as files arrive.
+
+    A streaming aggregation in complete mode: its state has one entry per
+    key, at most cities x 24 x 2, however many rides arrive. Each micro-batch
+    replaces the feature table (``foreachBatch``), so readers always see the
+    whole, current table.
+    """
+    from mobilis.operators.rides import ride_features
+
+    def replace(batch: DataFrame, _batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(table_dir)
+
+    w = (ride_features(rides).writeStream.outputMode("complete").foreachBatch(replace)
+         .option("checkpointLocation", checkpoint_dir))
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
+    return w.start()

@@ -79,3 +79,18 @@ def test_run_all_end_to_end(spark, tmp_dir):
     assert summary.cities == [city] and summary.total_routes == 2
     assert os.path.isdir(os.path.join(tmp_dir, "out", f"{city}_profile_report"))
     assert "model_comparison_regression" in out
+
+
+def test_feature_stream_matches_batch(spark, tmp_dir):
+    from mobilis.operators.rides import ride_features
+    src = os.path.join(tmp_dir, "rides_in")
+    rides = B.rides(spark, SF)
+    rides.write.parquet(src)
+    q = RS.start_features(RS.read_ride_stream(spark, src, schema=rides.schema, max_files_per_trigger=2),
+                          os.path.join(tmp_dir, "features"), os.path.join(tmp_dir, "ckpt_f"))
+    q.awaitTermination(300)
+    got = spark.read.parquet(os.path.join(tmp_dir, "features"))
+    key = ["city", "hour_of_day", "is_weekend"]
+    a = {tuple(r[k] for k in key): r.ride_count for r in got.collect()}
+    b = {tuple(r[k] for k in key): r.ride_count for r in ride_features(rides).collect()}
+    assert a == b
