@@ -654,8 +654,25 @@ def _nudge_rounding(sql: str) -> str:
         i = k
 
 
+def _bigint_count_if(sql: str) -> str:
+    """count_if(x) -> CAST(count_if(x) AS BIGINT): DuckDB returns HUGEINT, Spark bigint."""
+    out, i = [], 0
+    while True:
+        j = sql.find("count_if(", i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, k = 1, j + 9
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            k += 1
+        out.append(sql[i:j])
+        out.append(f"CAST(count_if({_bigint_count_if(sql[j + 9:k - 1])}) AS BIGINT)")
+        i = k
+
+
 def oracle_sql() -> dict[str, str]:
-    return {k: _nudge_rounding(v) for k, v in SQL.items()}
+    return {k: _bigint_count_if(_nudge_rounding(v)) for k, v in SQL.items()}
 
 
 __all__ = ["oracle_sql", "SQL", "CITIES"]

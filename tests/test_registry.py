@@ -10,6 +10,8 @@ from __spark_entry__ import entry, oracle_sql, queries
 SF = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
           "labels conversations").split()
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+         "timestamp_ntz": "TIMESTAMP"}
 SLOW = {"prepare_features", "train_regression", "train_classification", "evaluate_regression",
         "evaluate_classification", "model_comparison", "feature_importance", "model_insights"}
 
@@ -48,6 +50,8 @@ def test_query_matches_oracle(spark, con, key):
     sdf = queries()[key](spark, SF)
     rel = con.sql(oracle_sql()[key])
     assert sorted(sdf.columns) == sorted(rel.columns)
+    duck_types = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    assert all(TYPES.get(t, t) == duck_types[c] for c, t in sdf.dtypes), (sdf.dtypes, duck_types)
     order = [rel.columns.index(c) for c in sdf.columns]
     s = sorted((tuple(_norm(x) for x in r) for r in sdf.collect()), key=_key)
     d = sorted((tuple(_norm(r[i]) for i in order) for r in rel.fetchall()), key=_key)
