@@ -44,8 +44,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the session has none (local tests) do we pick a scratch folder.
-    A session without a SparkContext handle (a remote client) manages its
+    Only when the session has none and runs on a ``local`` master (tests) do
+    we pick a scratch folder; any other master without one is an error, since
+    executors would not share a folder of the driver's machine. A session without a SparkContext handle (a remote client) manages its
     checkpoint folder on the server; its configured value is returned.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -57,6 +58,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     if current:
         return current
     if not configured:
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="mobilis-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
