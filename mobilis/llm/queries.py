@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from mobilis.llm import oracle
+from mobilis.llm import bpe_codec, oracle, packing, token_output
 from mobilis.llm.common import table
 from mobilis.llm.exact_dedup import exact_dedup
 from mobilis.llm.quality_rules import quality_rules
+from mobilis.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = dict(oracle.ORACLE_SQL)
@@ -26,6 +29,28 @@ def op1_quality_rules(spark, sf_dir):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@register
+def op5_bpe_codec(spark, sf_dir):
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    tokens = bpe_codec.decode(bpe_codec.encode(table(spark, sf_dir, "documents"), path, pattern), path, pattern)
+    return tokens.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@register
+def op6_best_fit_packing(spark, sf_dir):
+    rows = packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(rows)
+
+
 @register
 def op7_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
+
+
+@register
+def op10_token_output(spark, sf_dir):
+    path = scratch_path(spark, "token-files")
+    token_output.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_output.token_index(token_output.read_tokens(spark, path))
