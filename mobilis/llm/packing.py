@@ -6,7 +6,8 @@ size. A round is one successor sweep: from the largest size down, pieces take
 the smallest gap that holds them, each gap at most one piece; where more pieces
 than gaps meet, lower ranks win and the rest waits. Then gaps are updated and
 the next sweep follows. When nothing fits any more, new sequences are opened
-for the largest pieces left, as many as the tokens left need at least.
+for the largest pieces left: a share (``OPEN_SHARE``) of those that the tokens
+left need at least, so that never more are open than a packing needs.
 
 Pieces of one length differ only by rank and gaps of one size only by number, so
 a sweep needs runs (size, first, count): at most ``capacity`` sizes on each
@@ -17,6 +18,7 @@ parallel.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import defaultdict, deque
 from collections.abc import Iterator
@@ -30,6 +32,7 @@ from mobilis.llm.token_cache import at_blanks, encoder
 
 CAPACITY = 2048
 END_ID = 0
+OPEN_SHARE = 0.25
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
@@ -101,7 +104,7 @@ def best_fit_rounds(sizes: dict[int, int], capacity: int) -> list[tuple[int, int
                 if not gaps[stack[-1]]:
                     stack.pop()
         if not matched:
-            need = -(-sum(k * n for k, n in left.items()) // capacity)
+            need = math.ceil(OPEN_SHARE * sum(k * n for k, n in left.items()) / capacity)
             for size in sorted(left, reverse=True):
                 n = min(need, left[size])
                 matched.append((capacity - size, opened, n))
