@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mobilis.llm import bpe_codec, oracle, packing, token_output
+from mobilis.llm import bpe_codec, html_extract, lang_id, oracle, packing, token_output
 from mobilis.llm.common import table
 from mobilis.llm.exact_dedup import exact_dedup
 from mobilis.llm.quality_rules import quality_rules
@@ -54,3 +54,16 @@ def op10_token_output(spark, sf_dir):
     path = scratch_path(spark, "token-files")
     token_output.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
     return token_output.token_index(token_output.read_tokens(spark, path))
+
+
+@register
+def op4_lang_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    found = lang_id.lang_id(docs.withColumn("doc_id", F.struct("doc_id", held_out.alias("held_out"))), lang_id.fit(docs, held_out))
+    return found.select("doc_id.doc_id", "doc_id.held_out", "lang_pred", "score")
+
+
+@register
+def op9_html_extract(spark, sf_dir):
+    return html_extract.html_extract(table(spark, sf_dir, "pages"), html_extract.train())
