@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from mobilis.llm import bpe_codec, html_extract, lang_id, oracle, packing, token_output
 from mobilis.llm.common import table
 from mobilis.llm.exact_dedup import exact_dedup
+from mobilis.llm.minhash_dedup import minhash_dedup
 from mobilis.llm.quality_rules import quality_rules
 from mobilis.session import scratch_path
 
@@ -29,6 +30,11 @@ def op1_quality_rules(spark, sf_dir):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@register
+def op2_minhash_dedup(spark, sf_dir):
+    return minhash_dedup(table(spark, sf_dir, "documents"), size=4)
+
+
 @register
 def op5_bpe_codec(spark, sf_dir):
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
