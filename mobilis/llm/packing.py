@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mobilis.llm.common import shuffle_partitions, stored
-from mobilis.llm.token_cache import at_blanks, encoder
+from mobilis.llm.token_cache import LOWER_CASE, encoder
 
 CAPACITY = 2048
 END_ID = 0
@@ -51,7 +51,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
         import numpy as np
         import pyarrow as pa
 
-        enc, end, width = encoder(tokenizer, at_blanks), np.array([end_id], "<u4").tobytes(), 4 * capacity
+        enc, end, width = encoder(tokenizer, LOWER_CASE), np.array([end_id], "<u4").tobytes(), 4 * capacity
         for batch in batches:
             for k in range(0, batch.num_rows, 256):  # bounded output, however long the texts
                 part = batch.slice(k, 256)

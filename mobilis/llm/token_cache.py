@@ -3,7 +3,10 @@
 A BPE tokenizer never merges across pre-token boundaries, so a text may be cut
 at places that are pre-token boundaries in every context and its pieces encoded
 one by one. Pieces repeat (words), so each Python worker keeps the ids of the
-pieces it has seen, up to ``LIMIT`` of them; a miss is encoded by the library.
+pieces it has seen, up to ``LIMIT`` of them. A new piece of printable Latin-1
+characters is pre-tokenised here, where all Unicode versions agree on letters
+and digits, and its pre-tokens go to the tokenizer's model; any other new piece
+goes through the tokenizer as a whole.
 """
 
 from __future__ import annotations
@@ -11,65 +14,118 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Callable, Iterable
+from typing import NamedTuple
 
-LIMIT = 400_000
+LIMIT = 700_000
 
 _ENCODERS: dict[tuple, PieceEncoder] = {}
+_PLAIN = re.compile("[ \n]?[!-~\xa1-\xff]*")
+_STOPS = frozenset(".,;:!?")
 
 
-class PieceEncoder:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes."""
+class Cutter(NamedTuple):
+    """How a kind of tokenizer sees text: safe pieces, and the pre-tokens of a plain piece."""
+
+    pieces: Callable[[str], list[str]]
+    pre_tokens: Callable[[str], list[str]]
+    lower: bool
+
+
+def byte_letters() -> str:
+    """The character that stands for each byte in byte-level vocabularies, as a table for str.translate."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return "".join(chr(b) if b in shown else chr(next(rest)) for b in range(256))
 
-    def __init__(self, path: str, cut: Callable[[str], list[str]]):
+
+class _Pieces(dict):
+    """Ids of pieces, found when they are first asked for."""
+
+    def __init__(self, path: str, cutter: Cutter):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one core per task
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.cut = cut
-        self.known: dict[str, bytes] = {}
+        self.model, self.letters, self.cutter = self.tokenizer.model, byte_letters(), cutter
+        self.tokens: dict[str, bytes] = {}
+
+    def _token(self, word: str) -> bytes:
+        found = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
+        self.tokens[word] = value = b"".join([t.id.to_bytes(4, "little") for t in found])
+        return value
+
+    def __missing__(self, piece: str) -> bytes:
+        tokens = self.tokens
+        if len(tokens) > LIMIT // 2:
+            tokens.clear()
+        if _PLAIN.fullmatch(piece):
+            text = piece.lower() if self.cutter.lower else piece
+            if text[1:].isalpha() and (text[0] == " " or text[0].isalpha()):
+                words = [text]
+            elif text[-1:] in _STOPS and text[1:-1].isalpha() and (text[0] == " " or text[0].isalpha()):
+                words = [text[:-1], text[-1]]
+            else:
+                words = self.cutter.pre_tokens(text)
+            value = b"".join([tokens[w] if w in tokens else self._token(w) for w in words])
+        else:
+            value = b"".join([i.to_bytes(4, "little") for i in self.tokenizer.encode(piece, add_special_tokens=False).ids])
+        self[piece] = value
+        return value
 
-    def encode(self, texts: Iterable[str | None]) -> list[bytes]:
-        import numpy as np
 
-        cuts = [self.cut(t) if t else [] for t in texts]
-        known = self.known
-        if len(known) > LIMIT:
-            known.clear()
-        missing = list({p for c in cuts for p in c if p not in known})
-        for k in range(0, len(missing), 10_000):
-            part = missing[k:k + 10_000]
-            for piece, found in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                known[piece] = np.array(found.ids, "<u4").tobytes()
-        return [b"".join([known[p] for p in c]) for c in cuts]
+class PieceEncoder:
+    """Ids of whole texts as little-endian unsigned 32-bit bytes."""
+
+    def __init__(self, path: str, cutter: Cutter):
+        self.cutter, self.known = cutter, _Pieces(path, cutter)
+
+    def encode(self, texts: Iterable[str | None]) -> list[bytes]:
+        if len(self.known) > LIMIT:
+            self.known.clear()
+        ids = self.known.__getitem__
+        return [b"".join(map(ids, self.cutter.pieces(t))) if t else b"" for t in texts]
 
 
-def encoder(path: str, cut: Callable[[str], list[str]]) -> PieceEncoder:
+def encoder(path: str, cutter: Cutter) -> PieceEncoder:
     """The encoder of this Python worker for a vocabulary file."""
-    key = (path, cut)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = PieceEncoder(path, cut)
-    return _ENCODERS[key]
+    if (path, cutter) not in _ENCODERS:
+        _ENCODERS[path, cutter] = PieceEncoder(path, cutter)
+    return _ENCODERS[path, cutter]
 
 
-def at_blanks(text: str) -> list[str]:
-    """Pieces for a tokenizer that drops white space: no token spans a blank or a line end."""
+def _at_blanks(text: str) -> list[str]:
+    """No token spans a blank or a line end."""
     return text.replace("\n", " ").split(" ")
 
 
-_UNSAFE = re.compile(r"\s\s|[^\S \n]|\A\s|\s\Z|\x00")
 _INNER_BLANK = re.compile(r"(?<=\S) (?=\S)")
 
 
-def before_blanks(text: str) -> list[str]:
-    """Pieces for a byte-level tokenizer whose words carry the blank before them.
+def _before_blanks(text: str) -> list[str]:
+    """A blank starts the token of the word after it.
 
     A single blank between two other characters always starts a token; a single
     line end between two others is a token by itself. Where white space comes
     in runs, at the ends or in other kinds, only the first rule is used.
     """
-    if not _UNSAFE.search(text):
+    runs = "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n"
+    if not runs and text.replace("\n", " ").isprintable():  # any other white space counts as not printable
         return text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
-    if "\x00" in text:
-        return [text]
-    return _INNER_BLANK.sub("\x00 ", text).split("\x00")
+    return [text] if "\x00" in text else _INNER_BLANK.sub("\x00 ", text).split("\x00")
+
+
+# How the two kinds of public vocabularies split text.
+_BYTE_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_LOWER_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _scanner(pattern: str) -> Callable[[str], list[str]]:
+    import regex
+
+    return regex.compile(pattern).findall
+
+
+#: For byte-level vocabularies that keep white space, and for lower-case ones that drop it.
+BYTE_LEVEL = Cutter(_before_blanks, _scanner(_BYTE_WORDS), False)
+LOWER_CASE = Cutter(_at_blanks, _scanner(_LOWER_WORDS), True)

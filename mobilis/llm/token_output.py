@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mobilis.llm.common import shuffle_partitions
-from mobilis.llm.token_cache import before_blanks, encoder
+from mobilis.llm.token_cache import BYTE_LEVEL, encoder
 
 END_ID = 2
 ORC_OPTIONS = {
@@ -31,7 +31,7 @@ def _encode(path: str, end_id: int):
         import numpy as np
         import pyarrow as pa
 
-        enc, end = encoder(path, before_blanks), np.array([end_id], "<u4").tobytes()
+        enc, end = encoder(path, BYTE_LEVEL), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for k in range(0, batch.num_rows, 256):  # bounded output, however long the texts
                 part = batch.slice(k, 256)
