@@ -13,6 +13,7 @@ from mobilis.llm.common import table
 from mobilis.llm.exact_dedup import exact_dedup
 from mobilis.llm.minhash_dedup import minhash_dedup
 from mobilis.llm.quality_rules import quality_rules
+from mobilis.llm.suffix_dedup import suffix_dedup
 from mobilis.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +36,11 @@ def op2_minhash_dedup(spark, sf_dir):
     return minhash_dedup(table(spark, sf_dir, "documents"), size=4)
 
 
+@register
+def op3_suffix_dedup(spark, sf_dir):
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 @register
 def op5_bpe_codec(spark, sf_dir):
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
