@@ -13,6 +13,7 @@ from mobilis.llm.common import table
 from mobilis.llm.exact_dedup import exact_dedup
 from mobilis.llm.minhash_dedup import minhash_dedup
 from mobilis.llm.quality_rules import quality_rules
+from mobilis.llm.substring_dedup import repeated_passages
 from mobilis.llm.suffix_dedup import suffix_dedup
 from mobilis.session import scratch_path
 
@@ -68,6 +69,11 @@ def op10_token_output(spark, sf_dir):
     return token_output.token_index(token_output.read_tokens(spark, path))
 
 
+@register
+def op8_substring_dedup(spark, sf_dir):
+    return repeated_passages(table(spark, sf_dir, "documents")).withColumn("n_words", F.col("end") - F.col("begin"))
+
+
 @register
 def op4_lang_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
