@@ -82,7 +82,6 @@ ON_TIME_HEADWAY_MIN = 15
 HIGH_FREQ_HEADWAY_MIN = 5
 STRENGTH_TRIPS_PER_ROUTE = 50
 STRENGTH_HEADWAY_MIN = 10
-RESULT_ROW_CAP = 50000
 
 # Assessment texts.
 TEXT_HIGH_FREQUENCY = "High frequency service coverage"

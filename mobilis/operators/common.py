@@ -1,4 +1,4 @@
-"""Helpers shared by operators: tenant keys, checked broadcast, deterministic dedup."""
+"""Helpers shared by operators: tenant keys, deterministic dedup, joins on tenant keys."""
 
 from __future__ import annotations
 
@@ -7,36 +7,12 @@ from pyspark.sql import functions as F
 
 TENANT = "city"
 
-# A dimension side is broadcast only when it has at most this many rows
-# (checked with a bounded count); larger sides take a shuffle join instead.
-DEFAULT_BROADCAST_MAX_ROWS = 1_000_000
-
 
 def city_keys(df: DataFrame) -> list[str]:
     """The tenant key, when the frame carries one."""
     return [TENANT] if TENANT in df.columns else []
 
 
-def broadcast_max_rows(df: DataFrame) -> int:
-    conf = df.sparkSession.conf.get("mobilis.broadcast.maxRows", None)
-    return int(conf) if conf else DEFAULT_BROADCAST_MAX_ROWS
-
-
-def fits_broadcast(df: DataFrame, max_rows: int | None = None) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows.
-
-    The count reads at most ``max_rows + 1`` rows (a limit below the count),
-    so the check costs little even on a large table.
-    """
-    limit = broadcast_max_rows(df) if max_rows is None else max_rows
-    return df.limit(limit + 1).count() <= limit
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """Broadcast hint behind a size check; otherwise leave the choice to the planner (AQE)."""
-    return F.broadcast(df) if fits_broadcast(df, max_rows) else df
-
-
 def one_row_per_key(df: DataFrame, keys: list[str]) -> DataFrame:
     """Drop null keys, keep one row per key: the smallest by the other columns.
 

@@ -8,15 +8,17 @@ columns; text columns are the string ones.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mobilis.constants import WEEKDAY_COLUMNS
-from mobilis.operators.quantiles import quantile_columns, value_counts
+from mobilis.operators.quantiles import column_quantiles, usable
 
+KEYS = ["table_name", "column_name"]
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
@@ -32,22 +34,21 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
-def _long(df: DataFrame, table: str, cols: list[str]) -> DataFrame:
-    """(table_name, column_name, value as double) for the given columns."""
-    return (df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-              .unpivot([], cols, "column_name", "value")
-              .withColumn("table_name", F.lit(table)))
+def _row_hash(df: DataFrame) -> list[Column]:
+    """Two 64-bit hashes of a whole row, nulls told apart from values by position."""
+    cells = [x for c in df.columns for x in (F.col(c).isNull(), F.col(c))]
+    return [F.xxhash64(*cells).alias("_h1"), F.xxhash64(F.lit("second"), *reversed(cells)).alias("_h2")]
 
 
 def profile_tables(tables: dict[str, DataFrame]) -> DataFrame:
     """Rows, columns and duplicate rows beyond the first, per table.
 
-    One grouping over all columns gives both the row count and the
-    duplicates; repeated rows collapse map-side before the shuffle.
+    Rows are grouped by a 128-bit hash of all their columns, so the shuffle is
+    as narrow for a wide table; repeated rows collapse before it.
     """
     parts = []
     for name, df in tables.items():
-        g = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_k"))
+        g = df.select(*_row_hash(df)).groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_k"))
         parts.append(g.agg(F.sum("_k").alias("n_rows"), F.sum(F.col("_k") - 1).alias("duplicates"))
                       .select(F.lit(name).alias("table_name"), F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
                               F.lit(len(df.columns)).alias("n_columns"),
@@ -63,39 +64,41 @@ def table_schema(tables: dict[str, DataFrame]) -> DataFrame:
     return spark.createDataFrame(rows, "table_name string, position int, column_name string, data_type string")
 
 
-KEYS = ["table_name", "column_name"]
 
 
-def numeric_value_counts(tables: dict[str, DataFrame]) -> DataFrame | None:
-    """(table_name, column_name, _v, _c) over every numeric column of every table.
 
-    The one pass over the data that numeric statistics, quartiles and quality
-    checks share; everything after it works on distinct values only.
+def _per_column(df: DataFrame, table: str, aggregates: dict[str, Callable[[str], Column]], beside: DataFrame | None = None) -> DataFrame:
+    """(table_name, column_name, one column per aggregate) over the numeric columns, from one aggregate row.
+
+    ``beside`` is a single row whose columns the aggregates may use.
     """
-    longs = [_long(df, t, numeric_columns(df)) for t, df in tables.items() if numeric_columns(df)]
-    return value_counts(_union(longs), "value", KEYS) if longs else None
+    columns = numeric_columns(df)
+    values = df.select(*[usable(df, c).alias(c) for c in columns])
+    values = values if beside is None else values.crossJoin(F.broadcast(beside))
+    one = values.agg(*[F.struct(*[f(c).alias(n) for n, f in aggregates.items()]).alias(c) for c in columns])
+    rows = F.array(*[F.struct(F.lit(table).alias("table_name"), F.lit(c).alias("column_name"), *[F.col(f"`{c}`.{n}").alias(n) for n in aggregates])
+                     for c in columns])
+    return one.select(F.explode(rows).alias("_r")).select("_r.*")
 
 
-def numeric_stats(tables: dict[str, DataFrame], counted: DataFrame | None = None) -> DataFrame | None:
-    """count, mean, sample std, min, 25/50/75% (linear), max per numeric column.
+def _quartiles(df: DataFrame, table: str, probs: dict[str, float]) -> DataFrame:
+    q = column_quantiles(df, numeric_columns(df), list(probs.values()))
+    return q.groupBy(F.lit(table).alias("table_name"), "column_name").agg(
+        *[F.max(F.when(F.col("p") == float(p), F.col("quantile"))).alias(name) for name, p in probs.items()])
 
-    Computed from the (value, count) table: mean first, then the sample
-    variance as a weighted sum of squared deviations (two passes over the
-    distinct values, numerically stable).
-    """
-    vc = counted if counted is not None else numeric_value_counts(tables)
-    if vc is None:
-        return None
-    v, c = F.col("_v"), F.col("_c")
-    first = vc.groupBy(*KEYS).agg(F.sum(c).alias("n"), (F.sum(v * c) / F.sum(c)).alias("mean"),
-                                  F.min(v).alias("min_value"), F.max(v).alias("max_value"))
-    # One row per (table, column): bounded by the schema width.
-    dev = vc.join(F.broadcast(first.select(*KEYS, "mean")), KEYS).groupBy(*KEYS).agg(
-        F.sum(c * (v - F.col("mean")) * (v - F.col("mean"))).alias("_ss"))
-    q = quantile_columns(None, "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, KEYS, counted=vc)
-    out = first.join(dev, KEYS).join(q, KEYS, "left")
-    std = F.when(F.col("n") > 1, F.sqrt(F.col("_ss") / (F.col("n") - 1)))
-    return out.select(*KEYS, "n", "mean", std.alias("std"), "min_value", "q25", "q50", "q75", "max_value")
+
+def numeric_stats(tables: dict[str, DataFrame]) -> DataFrame | None:
+    """count, mean, sample std, min, 25/50/75% (linear), max per numeric column with a value."""
+    parts = []
+    for t, df in tables.items():
+        if not numeric_columns(df):
+            continue
+        first = _per_column(df, t, {
+            "n": F.count, "mean": F.avg, "std": F.stddev_samp, "min_value": lambda c: F.min(c).cast("double"),
+            "max_value": lambda c: F.max(c).cast("double")})
+        # One quartile row per column of the table.
+        parts.append(first.where("n > 0").join(F.broadcast(_quartiles(df, t, {"q25": 0.25, "q50": 0.5, "q75": 0.75})), KEYS, "left"))
+    return _union(parts).select(*KEYS, "n", "mean", "std", "min_value", "q25", "q50", "q75", "max_value") if parts else None
 
 
 def missing_values(tables: dict[str, DataFrame]) -> DataFrame:
@@ -120,37 +123,51 @@ def missing_totals(tables: dict[str, DataFrame]) -> DataFrame:
         F.sum("missing").alias("total_missing"), F.count(F.lit(1)).alias("columns_with_missing"))
 
 
-def quality_issues(tables: dict[str, DataFrame], counted: DataFrame | None = None) -> DataFrame | None:
+def sign_issues(tables: dict[str, DataFrame]) -> DataFrame | None:
+    """(table_name, column_name, issue, count) of negative_values and zero_values, one aggregate per table."""
+    parts = [_per_column(df, t, {
+        "negative_values": lambda c: F.count_if(F.col(c) < 0),
+        "zero_values": lambda c: F.count_if((F.col(c) == 0) & F.lit(c.lower() not in WEEKDAY_COLUMNS))})
+        for t, df in tables.items() if numeric_columns(df)]
+    if not parts:
+        return None
+    return _union(parts).unpivot(KEYS, ["negative_values", "zero_values"], "issue", "count").where(F.col("count") > 0)
+
+
+def outlier_issues(tables: dict[str, DataFrame]) -> DataFrame | None:
+    """The same for outliers: values outside Q1 - 1.5 IQR .. Q3 + 1.5 IQR; a value on the fence is none."""
+    parts = []
+    for t, df in tables.items():
+        if not numeric_columns(df):
+            continue
+        spread = F.col("q3") - F.col("q1")
+        fences = _quartiles(df, t, {"q1": 0.25, "q3": 0.75}).select("column_name", F.struct(
+            (F.col("q1") - 1.5 * spread).alias("lo"), (F.col("q3") + 1.5 * spread).alias("hi")).alias("f"))
+        row = fences.agg(F.map_from_entries(F.collect_list(F.struct("column_name", "f"))).alias("_fences"))
+
+        def outside(c: str) -> Column:
+            fence = F.element_at("_fences", F.lit(c))
+            return F.count_if((F.col(c) < fence["lo"]) | (F.col(c) > fence["hi"]))
+        parts.append(_per_column(df, t, {"outliers": outside}, row))
+    return _union(parts).unpivot(KEYS, ["outliers"], "issue", "count").where(F.col("count") > 0) if parts else None
+
+
+def quality_issues(tables: dict[str, DataFrame]) -> DataFrame | None:
     """(table_name, column_name, issue, count) for counts > 0.
 
     issues: negative_values (< 0), zero_values (= 0, weekday flag columns
-    skipped) and outliers (outside Q1 - 1.5 IQR .. Q3 + 1.5 IQR; a value on
-    the fence is not an outlier). Quartiles are exact and linear.
+    skipped) and outliers (quartiles are exact and linear).
     """
-    vc = counted if counted is not None else numeric_value_counts(tables)
-    if vc is None:
-        return None
-    keys = KEYS
-    quart = quantile_columns(None, "value", {"q1": 0.25, "q3": 0.75}, keys, counted=vc)
-    fences = quart.select(*keys, (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("_lo"),
-                          (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("_hi"))
-    v, c = F.col("_v"), F.col("_c")
-    zero_checked = ~F.lower(F.col("column_name")).isin(*WEEKDAY_COLUMNS)
-    # One fence row per (table, column): bounded by the schema width.
-    counted = vc.join(F.broadcast(fences), keys, "left").groupBy(*keys).agg(
-        F.coalesce(F.sum(F.when(v < 0, c)), F.lit(0)).alias("negative_values"),
-        F.coalesce(F.sum(F.when((v == 0) & zero_checked, c)), F.lit(0)).alias("zero_values"),
-        F.coalesce(F.sum(F.when((v < F.col("_lo")) | (v > F.col("_hi")), c)), F.lit(0)).alias("outliers"))
-    issues = counted.unpivot(keys, ["negative_values", "zero_values", "outliers"], "issue", "count")
-    return issues.where(F.col("count") > 0)
-
-
-def top_categories(tables: dict[str, DataFrame], k: int = 10, max_columns: int = 5) -> DataFrame:
-    """Top k values (count desc, value asc) of the first ``max_columns`` text columns per table."""
+    signs = sign_issues(tables)
+    return None if signs is None else signs.unionByName(outlier_issues(tables))
+
+
+def top_categories(tables: dict[str, DataFrame], k: int = 10) -> DataFrame:
+    """Top k values (count desc, value asc) of every text column per table."""
     from pyspark.sql import Window
     parts = []
     for t, df in tables.items():
-        cols = text_columns(df)[:max_columns]
+        cols = text_columns(df)
         if not cols:
             continue
         parts.append(df.select(*cols).unpivot([], cols, "column_name", "value")
@@ -174,27 +191,21 @@ def missing_matrix(tables: dict[str, DataFrame]) -> DataFrame:
     return missing_values(tables).groupBy("table_name").pivot("column_name").agg(F.first("missing_pct"))
 
 
-def quality_issue_matrix(tables: dict[str, DataFrame], counted: DataFrame | None = None) -> DataFrame:
+def quality_issue_matrix(tables: dict[str, DataFrame]) -> DataFrame:
     """table x issue sum of counts."""
-    q = quality_issues(tables, counted)
+    q = quality_issues(tables)
     return q.groupBy("table_name").pivot("issue", ["negative_values", "zero_values", "outliers"]).agg(
         F.sum("count"))
 
 
-def profile_city(tables: dict[str, DataFrame], counted: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Everything above for one feed, as named result tables.
-
-    ``counted`` is the feed's ``numeric_value_counts``; pass it persisted
-    (written to the checkpoint folder) when several results are computed,
-    so the tables are read once.
-    """
-    vc = counted if counted is not None else numeric_value_counts(tables)
+def profile_city(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Everything above for one feed, as named result tables."""
     return {
         "profile": profile_tables(tables),
         "schema": table_schema(tables),
-        "numeric_stats": numeric_stats(tables, vc),
+        "numeric_stats": numeric_stats(tables),
         "missing_values": missing_values(tables),
-        "quality_issues": quality_issues(tables, vc),
+        "quality_issues": quality_issues(tables),
         "top_categories": top_categories(tables),
     }
 

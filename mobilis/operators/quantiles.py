@@ -1,107 +1,66 @@
-"""Exact linear-interpolated quantiles without funnelling a group into one task.
-
-``percentile`` keeps a value->count map per group and merges it in a single
-task, which is fine when the number of distinct values is bounded (route
-counts, headway seconds) but not for an arbitrary column of a large table.
-Here:
-
-1. collapse to (key, value, count) -- a hot value becomes one row;
-2. cut each key's distinct values into ~``buckets`` ranges at approximate
-   quantiles (a bounded sketch per key);
-3. running counts inside each (key, bucket) window, plus per-bucket offsets
-   from a small (key, bucket) table, give every distinct value its exact rank
-   range;
-4. the wanted ranks floor(h) and ceil(h), h = (n - 1) * p, are matched to the
-   rows covering them (equi-join on (key, bucket)) and interpolated.
-
-Result equals pandas ``quantile`` / DuckDB ``quantile_cont``.
+"""Exact linear-interpolated quantiles of columns, without shuffling or sorting their values.
+
+1. One aggregate gives, per column and probability, the number of values and
+   two bounds that hold the wanted ranks between them: approximate quantiles
+   of ``percentile_approx`` a little below and above, whose rank error is at
+   most 1/ACCURACY of the rows.
+2. A second aggregate counts the values below each pair of bounds, and only
+   the values between bounds are kept, collapsed to (value, count).
+3. Running counts over these find the values at the ranks floor(h) and
+   ceil(h), h = (n - 1) * p, which are interpolated.
+
+Result equals pandas ``quantile`` / DuckDB ``quantile_cont``. Values keep their
+type up to the interpolation, so long ids are not rounded to doubles.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-DEFAULT_BUCKETS = 64
-
-
-def exact_quantiles(df: DataFrame, value: str, probs: list[float], keys: list[str] | None = None,
-                    buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """Rows (keys..., p, quantile) for each key group and each probability.
-
-    ``keys`` must name a bounded set of groups (the columns of a table, a few
-    tenants): the per-group cut table, ``buckets`` doubles per group, is
-    broadcast to attach bucket numbers without shuffling values by key.
-    """
-    keys = list(keys or [])
-    return quantiles_from_counts(value_counts(df, value, keys), probs, keys, buckets)
-
-
-def value_counts(df: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:
-    """(keys..., _v, _c): distinct non-null, non-NaN values as doubles with their counts.
-
-    A partial aggregate collapses repeated values before the shuffle.
-    """
-    keys = list(keys or [])
-    v = F.col(value).cast("double")
-    return (df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*keys, v.alias("_v"))
-              .agg(F.count(F.lit(1)).alias("_c")))
-
-
-def quantiles_from_counts(vc: DataFrame, probs: list[float], keys: list[str] | None = None,
-                          buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """``exact_quantiles`` on an already collapsed (keys..., _v, _c) table."""
-    keys = list(keys or [])
-    # Approximate cut points per key over distinct values: a bounded sketch.
-    cuts = [i / buckets for i in range(1, buckets)]
-    bounds = vc.groupBy(*keys).agg(F.percentile_approx("_v", cuts, 1000).alias("_b"),
-                                   F.sum("_c").alias("_n"))
-    # One row per key group (see the docstring): small by construction.
-    sized = _join(vc, F.broadcast(bounds), keys)
-    sized = sized.withColumn("_bk", F.size(F.filter("_b", lambda b: b < F.col("_v"))))
-
-    w = Window.partitionBy(*keys, "_bk").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    local = sized.withColumn("_end_local", F.sum("_c").over(w))
-
-    totals = local.groupBy(*keys, "_bk").agg(F.sum("_c").alias("_bt"), F.first("_n").alias("_n"))
-    wo = Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.withColumn("_off", F.coalesce(F.sum("_bt").over(wo), F.lit(0)))
-
-    # Wanted ranks per key and p (0-based), attached to the bucket covering them.
-    targets = offsets.withColumn("_t", F.explode(F.array(*[
-        F.struct(F.lit(float(p)).alias("p"), F.lit(which).alias("which"),
-                 (F.floor((F.col("_n") - 1) * F.lit(float(p))) if which == "lo"
-                  else F.ceil((F.col("_n") - 1) * F.lit(float(p)))).alias("r"),
-                 ((F.col("_n") - 1) * F.lit(float(p))).alias("h"))
-        for p in probs for which in ("lo", "hi")])))
-    targets = targets.where((F.col("_t.r") >= F.col("_off")) & (F.col("_t.r") < F.col("_off") + F.col("_bt")))
-    targets = targets.select(*keys, "_bk", "_off", "_t.*")
-
-    hit = (local.join(targets, keys + ["_bk"])
-           .where((F.col("r") >= F.col("_off") + F.col("_end_local") - F.col("_c"))
-                  & (F.col("r") < F.col("_off") + F.col("_end_local"))))
-    picked = hit.groupBy(*keys, "p").agg(
-        F.max(F.when(F.col("which") == "lo", F.col("_v"))).alias("_lo"),
-        F.max(F.when(F.col("which") == "hi", F.col("_v"))).alias("_hi"),
-        F.max("h").alias("_h"))
-    frac = F.col("_h") - F.floor("_h")
-    return picked.select(*keys, "p", (F.col("_lo") + frac * (F.col("_hi") - F.col("_lo"))).alias("quantile"))
-
-
-def _join(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    if keys:
-        return a.join(b, keys)
-    return a.withColumn("_g", F.lit(0)).join(b.withColumn("_g", F.lit(0)), ["_g"]).drop("_g")
-
-
-def quantile_columns(df: DataFrame, value: str, probs: dict[str, float], keys: list[str] | None = None,
-                     buckets: int = DEFAULT_BUCKETS, counted: DataFrame | None = None) -> DataFrame:
-    """Same as ``exact_quantiles`` but one column per named probability.
-
-    ``counted`` may pass a ``value_counts`` table already built from ``df``.
-    """
-    keys = list(keys or [])
-    vc = counted if counted is not None else value_counts(df, value, keys)
-    q = quantiles_from_counts(vc, list(probs.values()), keys, buckets)
-    return q.groupBy(*keys).agg(*[F.max(F.when(F.col("p") == float(p), F.col("quantile"))).alias(name)
-                                  for name, p in probs.items()])
+from pyspark.sql import types as T
+
+ACCURACY = 100_000
+#: Distance of the bounds from the wanted probability, in units of the rank error.
+MARGIN = 2
+
+
+def usable(df: DataFrame, column: str) -> Column:
+    """The column with NaN as null."""
+    kind = df.schema[column].dataType
+    c = F.col(column)
+    return F.nanvl(c, F.lit(None).cast(kind)) if isinstance(kind, (T.FloatType, T.DoubleType)) else c
+
+
+def column_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
+    """(column_name, p, quantile) for each column with a value and each probability."""
+    whole = [c for c in columns if isinstance(df.schema[c].dataType, T.IntegralType)]
+    parts = [_quantiles(df.select(*[usable(df, c).cast(kind).alias(c) for c in cols]), cols, probs)
+             for kind, cols in (("bigint", whole), ("double", [c for c in columns if c not in whole])) if cols]
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def _quantiles(values: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
+    step = MARGIN / ACCURACY
+    low, high = [max(0.0, p - step) for p in probs], [min(1.0, p + step) for p in probs]
+    bounds = values.agg(*[F.struct(F.count(c).alias("n"), F.percentile_approx(c, low, ACCURACY).alias("low"),
+                                   F.percentile_approx(c, high, ACCURACY).alias("high")).alias(f"{c}#") for c in columns])
+    # One row of bounds goes to every row of the table.
+    x = values.crossJoin(F.broadcast(bounds))
+    cells = [(c, k, F.col(f"`{c}#`.low")[k], F.col(f"`{c}#`.high")[k]) for c in columns for k in range(len(probs))]
+    named = lambda c, k: (F.lit(c).alias("column_name"), F.lit(k).alias("k"))
+
+    inside = F.array_compact(F.array(*[F.when((F.col(c) >= lo) & (F.col(c) <= hi), F.struct(*named(c, k), F.col(c).alias("v"))) for c, k, lo, hi in cells]))
+    kept = x.select(F.explode(inside).alias("x")).groupBy("x.column_name", "x.k", "x.v").agg(F.count(F.lit(1)).alias("c"))
+    below = x.agg(*[F.count_if(F.col(c) < lo).alias(f"{c}#{k}") for c, k, lo, _ in cells], *[F.count(c).alias(f"{c}#n") for c in columns])
+    below = below.select(F.explode(F.array(*[
+        F.struct(*named(c, k), F.lit(float(probs[k])).alias("p"), F.col(f"`{c}#{k}`").alias("below"), F.col(f"`{c}#n`").alias("n"))
+        for c, k, _, _ in cells])).alias("x")).select("x.*")
+
+    upto = F.sum("c").over(Window.partitionBy("column_name", "k").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    ranks = (kept.withColumn("upto", upto).join(F.broadcast(below), ["column_name", "k"])
+             .withColumn("end", F.col("below") + F.col("upto")).withColumn("h", (F.col("n") - 1) * F.col("p")))
+    covers = lambda r: (r >= F.col("end") - F.col("c")) & (r < F.col("end"))
+    picked = ranks.groupBy("column_name", "p").agg(F.max(F.when(covers(F.floor("h")), F.col("v"))).alias("lo"),
+                                                   F.max(F.when(covers(F.ceil("h")), F.col("v"))).alias("hi"), F.first("h").alias("h"))
+    frac = F.col("h") - F.floor("h")
+    return picked.select("column_name", "p", (F.col("lo").cast("double") + frac * (F.col("hi") - F.col("lo")).cast("double")).alias("quantile"))

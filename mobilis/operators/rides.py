@@ -15,7 +15,6 @@ from mobilis import constants as K
 from mobilis.functions.rides import fare_per_km, fare_per_km_or_fare, is_peak_hour, ride_time_features, speed_kmh
 from mobilis.operators.common import city_keys, join_keys
 
-SERVICES = sorted({t[0] for t in K.TARIFF}, key=[t[0] for t in K.TARIFF].index)
 
 
 # ---------------------------------------------------------------- preparation
@@ -211,19 +210,18 @@ def cross_city_pricing(rides: DataFrame, cities: list[str]) -> DataFrame:
 
 
 def fare_pivot(rides: DataFrame, services: list[str] | None = None) -> DataFrame:
-    """city x service mean fare (absent cell = null)."""
-    return rides.groupBy("city").pivot("service", services or SERVICES).agg(F.avg("fare"))
+    """city x service mean fare (absent cell = null), for every service present unless a list is given."""
+    return rides.groupBy("city").pivot("service", services).agg(F.avg("fare"))
 
 
 def service_mix_pivot(rides: DataFrame, services: list[str] | None = None) -> DataFrame:
-    """city x service ride count (absent cell = null)."""
-    return rides.groupBy("city").pivot("service", services or SERVICES).agg(F.count(F.lit(1)))
+    """city x service ride count (absent cell = null), for every service present unless a list is given."""
+    return rides.groupBy("city").pivot("service", services).agg(F.count(F.lit(1)))
 
 
-def fare_distance_points(rides: DataFrame, fraction: float | None = None, seed: int = 42) -> DataFrame:
-    """(city, service, distance_km, fare) points; an optional sample only for plotting."""
-    pts = rides.select(*city_keys(rides), "service", "distance_km", "fare")
-    return pts.sample(fraction=fraction, seed=seed) if fraction else pts
+def fare_distance_points(rides: DataFrame) -> DataFrame:
+    """(city, service, distance_km, fare) of every ride."""
+    return rides.select(*city_keys(rides), "service", "distance_km", "fare")
 
 
 def model_city_summary(modeling: DataFrame) -> DataFrame:

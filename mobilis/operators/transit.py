@@ -7,35 +7,25 @@ from pyspark.sql import functions as F
 
 from mobilis.constants import HEADWAY_MAX_SECONDS
 from mobilis.operators.clean import clean_routes, clean_stop_times, clean_stops, clean_trips
-from mobilis.operators.common import city_keys, fits_broadcast
+from mobilis.operators.common import city_keys
 
 
-def trip_stop_events(stop_times: DataFrame, trips: DataFrame, routes: DataFrame,
-                     stops: DataFrame, broadcast_dims: tuple[bool, bool] | None = None) -> DataFrame:
+def trip_stop_events(stop_times: DataFrame, trips: DataFrame, routes: DataFrame, stops: DataFrame) -> DataFrame:
     """Inner join stop_times - trips (trip_id) - routes (route_id) - stops (stop_id).
 
-    Inputs are expected cleaned. Orphans drop. The tenant key joins too. The
-    stop_times - trips join is the one large shuffle (sort-merge on trip_id,
-    AQE splits skewed partitions); routes and stops are broadcast when a
-    bounded count shows they are small (``broadcast_dims`` passes a decision
-    already taken, for routes and stops).
+    Inputs are expected cleaned. Orphans drop. The tenant key joins too. No
+    join carries a hint: the planner and adaptive execution choose by the
+    measured bytes of each side, and skewed partitions are split.
     """
     ck = city_keys(stop_times)
-    b_routes, b_stops = broadcast_dims if broadcast_dims else (fits_broadcast(routes), fits_broadcast(stops))
     events = stop_times.join(trips, ck + ["trip_id"], "inner")
-    events = events.join(F.broadcast(routes) if b_routes else routes, ck + ["route_id"], "inner")
-    return events.join(F.broadcast(stops) if b_stops else stops, ck + ["stop_id"], "inner")
+    return events.join(routes, ck + ["route_id"], "inner").join(stops, ck + ["stop_id"], "inner")
 
 
 def build_events(feed: dict[str, DataFrame], malformed: str = "midnight") -> DataFrame:
-    """Clean the four feed tables and join them into the stop-event fact.
-
-    The broadcast size checks run on the raw dimension tables (cleaning only
-    removes rows), so they cost a bounded scan, not the de-duplication.
-    """
-    dims = (fits_broadcast(feed["routes"]), fits_broadcast(feed["stops"]))
+    """Clean the four feed tables and join them into the stop-event fact."""
     return trip_stop_events(clean_stop_times(feed["stop_times"], malformed), clean_trips(feed["trips"]),
-                            clean_routes(feed["routes"]), clean_stops(feed["stops"]), dims)
+                            clean_routes(feed["routes"]), clean_stops(feed["stops"]))
 
 
 def _distinct(col: str, exact: bool):

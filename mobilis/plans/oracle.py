@@ -381,7 +381,8 @@ def _pricing() -> str:
     return f"SELECT service, {', '.join(cols)} FROM rides GROUP BY service HAVING {' AND '.join(having)}"
 
 
-SERVICES = list(dict.fromkeys(t[0] for t in K.TARIFF))
+# Every service of the rides view; "metro" has no tariff.
+SERVICES = ["metro", *dict.fromkeys(t[0] for t in K.TARIFF)]
 SQL["cross_city_pricing"] = q(_pricing())
 SQL["fare_pivot"] = q(
     "SELECT city, " + ", ".join(f"round(avg(fare) FILTER (WHERE service = '{v}'), {D}) AS {v}" for v in SERVICES)
@@ -515,6 +516,7 @@ _ALL_COLS = {
     "trips": ["city", "trip_id", "route_id", "service_id"],
     "routes": ["city", "route_id", "route_short_name", "route_long_name"],
     "stops": ["city", "stop_id", "stop_name", "stop_lat", "stop_lon"],
+    "accounts": ["account_id", "segment", "balance"],
     "rides": ["ride_id", "city", "timestamp", "service", "vehicle_type", "start_lat", "start_lon", "end_lat",
               "end_lon", "distance_km", "duration_mins", "surge_multiplier", "fare"],
 }
@@ -561,7 +563,7 @@ SQL["top_categories"] = q(
     "SELECT *, row_number() OVER (PARTITION BY table_name, column_name ORDER BY count DESC, value) AS rank FROM ("
     + _union_all([f"SELECT '{t}' AS table_name, '{c}' AS column_name, CAST({_qcol(c)} AS VARCHAR) AS value, "
                   f"count(*) AS count FROM {t} WHERE {_qcol(c)} IS NOT NULL GROUP BY {_qcol(c)}"
-                  for t in PROFILE_VIEWS for c in PROFILE_TEXT[t][:5]])
+                  for t in PROFILE_VIEWS for c in PROFILE_TEXT[t]])
     + ")) WHERE rank <= 10")
 
 
@@ -609,8 +611,11 @@ SQL["headway_box"] = qs(
 
 
 # ---------------------------------------------------------------- store / reports
-_GIVEN = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
-SQL["table_stats"] = _union_all([f"SELECT '{t}' AS table_name, count(*) AS rows FROM {t}" for t in _GIVEN])
+_GIVEN = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
+          "pages", "benchmark", "labels", "conversations"]
+SQL["table_stats"] = (f"WITH t AS ({_union_all([f'SELECT {t!r} AS table_name, count(*) AS rows FROM {t}' for t in _GIVEN])}) "
+                      "SELECT * FROM t UNION ALL SELECT 'total', CAST(sum(rows) AS BIGINT) FROM t")
+SQL["table_sample"] = "SELECT * FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 5"
 SQL["read_table"] = q("SELECT * FROM stop_times WHERE city = 'delhi'")
 _TOP20 = (f"(SELECT city, rank, route_id, {_NAME} AS route_name, num_trips FROM (SELECT *, "
           f"CAST(row_number() OVER (PARTITION BY city ORDER BY num_trips DESC, route_id) AS INTEGER) AS rank "

@@ -26,7 +26,7 @@ from mobilis.operators import topk as X
 from mobilis.operators import transit as T
 from mobilis.plans.common import rounded
 from mobilis.schemas import FEED_SCHEMAS
-from mobilis.session import ensure_checkpoint_dir
+from mobilis.session import ensure_checkpoint_dir, scratch_path
 from mobilis.sources import bindings as B
 from mobilis.sources import feeds as FD
 from mobilis.sources import tables as ST
@@ -502,17 +502,9 @@ def q_table_size_comparison(spark, sf):
     return PR.table_size_comparison(B.profile_views(spark, sf))
 
 
-def counted_views(spark: SparkSession, sf: str):
-    """The feed views and their (value, count) table, checkpointed: it feeds several branches."""
-    views = B.profile_views(spark, sf)
-    ensure_checkpoint_dir(spark)
-    return views, PR.numeric_value_counts(views).checkpoint(eager=True)
-
-
 @register("numeric_stats")
 def q_numeric_stats(spark, sf):
-    views, vc = counted_views(spark, sf)
-    return rounded(PR.numeric_stats(views, vc))
+    return rounded(PR.numeric_stats(B.profile_views(spark, sf)))
 
 
 @register("missing_values")
@@ -520,36 +512,31 @@ def q_missing_values(spark, sf):
     return rounded(PR.missing_values(B.profile_views(spark, sf)))
 
 
-def _issue(spark, sf, issue):
-    q = PR.quality_issues(*counted_views(spark, sf))
-    return q.where(F.col("issue") == issue)
-
-
 @register("quality_negative")
 def q_quality_negative(spark, sf):
-    return _issue(spark, sf, "negative_values")
+    return PR.sign_issues(B.profile_views(spark, sf)).where(F.col("issue") == "negative_values")
 
 
 @register("quality_zero")
 def q_quality_zero(spark, sf):
-    return _issue(spark, sf, "zero_values")
+    return PR.sign_issues(B.profile_views(spark, sf)).where(F.col("issue") == "zero_values")
 
 
 @register("quality_outliers")
 def q_quality_outliers(spark, sf):
-    return _issue(spark, sf, "outliers")
+    return PR.outlier_issues(B.profile_views(spark, sf))
 
 
 @register("quality_issue_matrix")
 def q_quality_issue_matrix(spark, sf):
-    return PR.quality_issue_matrix(*counted_views(spark, sf))
+    return PR.quality_issue_matrix(B.profile_views(spark, sf))
 
 
 @register("profile_report")
 def q_profile_report(spark, sf):
-    views, vc = counted_views(spark, sf)
+    views = B.profile_views(spark, sf)
     return RP.profile_report("bindings", persisted(PR.profile_tables(views)), persisted(PR.missing_values(views)),
-                             persisted(PR.quality_issues(views, vc)))
+                             persisted(PR.quality_issues(views)))
 
 
 @register("top_categories")
@@ -573,28 +560,33 @@ def q_routes_per_stop_histogram(spark, sf):
     return rounded(DI.routes_per_stop_histogram(persisted(metrics_of(spark, sf)["spatial_stats"])))
 
 
+def _headway_values(spark: SparkSession, sf: str) -> DataFrame:
+    """The two columns that the headway distributions read, written once for their several passes."""
+    return persisted(metrics_of(spark, sf)["headways"].select("city", "headway_seconds"))
+
+
 @register("headway_histogram")
 def q_headway_histogram(spark, sf):
-    return rounded(DI.headway_histogram(persisted(metrics_of(spark, sf)["headways"])))
+    return rounded(DI.headway_histogram(_headway_values(spark, sf)))
 
 
 @register("headway_cdf")
 def q_headway_cdf(spark, sf):
-    return rounded(DI.headway_cdf(persisted(metrics_of(spark, sf)["headways"])))
+    return rounded(DI.headway_cdf(_headway_values(spark, sf)))
 
 
 @register("headway_box")
 def q_headway_box(spark, sf):
-    return rounded(DI.headway_box(persisted(metrics_of(spark, sf)["headways"])))
+    return rounded(DI.headway_box(_headway_values(spark, sf)))
 
 
 # ---------------------------------------------------------------- models (rows-only checks)
-_FITTED: dict = {}
+_FITTED: dict = {}  # by application: a new session trains anew
 
 
 def fitted(spark: SparkSession, sf: str, problem_type: str):
     """(train, test, models, feature names), trained once per session, data folder and problem type."""
-    key = (id(spark), sf, problem_type)
+    key = (spark.sparkContext.applicationId, sf, problem_type)
     if key not in _FITTED:
         modeling = R.modeling_dataset(rides_of(spark, sf))
         train, test, _, cols = M.prepare_features(modeling, problem_type)
@@ -666,7 +658,8 @@ def q_model_insights(spark, sf):
 
 
 # ---------------------------------------------------------------- store / sink
-GIVEN_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
+GIVEN_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
+                "pages", "benchmark", "labels", "conversations"]
 
 
 @register("table_stats")
@@ -676,13 +669,15 @@ def q_table_stats(spark, sf):
 
 @register("table_sample")
 def q_table_sample(spark, sf):
-    return ST.table_sample(B.read_table(spark, sf, "lineitem"), 5)
+    return ST.table_sample(B.read_table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], 5)
 
 
 @register("read_table")
 def q_read_table(spark, sf):
-    """Stored-table read pruned to one city: here the stop-time view of one city."""
-    return B.view(spark, sf, "stop_times").where(F.col("city") == "delhi")
+    """The stop-time view written to a store, read back for one city (a pruned partition)."""
+    store = scratch_path(spark, "store")
+    ST.write_table(B.view(spark, sf, "stop_times"), f"{store}/stop_times")
+    return ST.read_table(spark, store, "stop_times", "delhi")
 
 
 # ---------------------------------------------------------------- reports

@@ -32,7 +32,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     for k, v in DEFAULT_CONF.items():
         builder = builder.config(k, v)
     if shuffle_partitions:
+        # Adaptive execution starts from this many and only merges, so a large job sets it high.
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        builder = builder.config("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(shuffle_partitions))
     for k, v in (extra or {}).items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
@@ -69,15 +71,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return checkpoint_root(spark)
 
 
-def parallelism(spark: SparkSession) -> int:
-    """Cores the session can run tasks on (default parallelism)."""
-    try:
-        return spark.sparkContext.defaultParallelism
-    except Exception:  # noqa: BLE001 - remote sessions expose no SparkContext
-        return int(spark.conf.get("spark.default.parallelism", None)
-                   or spark.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path for an intermediate table under the shared checkpoint folder."""
     root = checkpoint_root(spark)

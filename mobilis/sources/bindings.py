@@ -11,6 +11,7 @@ queries and the DuckDB oracle see exactly the same rows.
 - route ids are customer keys mod 150 (trips use the order's customer the
   same way), so a route id repeats across customers and the cleaning step's
   one-row-per-key rule picks its names.
+- accounts <- customer takes part in the profile only: its balances can be negative.
 - ``city`` comes from the order key parity (stop events), or from the user id
   parity (rides); routes and stops exist in both cities.
 """
@@ -20,8 +21,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mobilis.session import parallelism
-
 CITIES = ["delhi", "bangalore"]
 
 # Dialect pieces that differ between Spark SQL and DuckDB.
@@ -36,7 +35,9 @@ _DIALECT = {
     },
 }
 
-_SEC = "((l_partkey * 7919 + l_linenumber * 613 + l_orderkey * 31) % 93600)"
+# Seconds of the service day. One city has no service from 2 to 5: its arrivals then come three hours later.
+_DAY_SEC = "((l_partkey * 7919 + l_linenumber * 613 + l_orderkey * 31) % 93600)"
+_SEC = f"({_DAY_SEC} + case when l_orderkey % 2 = 1 and {_DAY_SEC} {{idiv}} 3600 between 2 and 4 then 10800 else 0 end)"
 
 # Column expressions per view, in output order: (alias, sql).
 # Time text: quantity 49 -> null, 50 -> 'n/a' (malformed), 48 -> hour not
@@ -75,11 +76,16 @@ _VIEWS = {
         ("stop_lat", "case when city = 'delhi' then 28.5e0 else 12.9e0 end + cast(s_suppkey % 40 as double) / 100e0"),
         ("stop_lon", "case when city = 'delhi' then 77.0e0 else 77.5e0 end + cast(s_suppkey % 30 as double) / 100e0"),
     ]),
+    "accounts": ("customer", [
+        ("account_id", "c_custkey"),
+        ("segment", "c_mktsegment"),
+        ("balance", "cast(c_acctbal as double)"),
+    ]),
     "rides": ("events", [
         ("ride_id", "event_id"),
         ("city", "case when user_id % 2 = 0 then 'delhi' else 'bangalore' end"),
-        ("timestamp", "ts"),
-        ("service", "case user_id % 3 when 0 then 'uber' when 1 then 'ola' else 'rapido' end"),
+        ("timestamp", "ts + (event_id % 366) * interval '1' day"),
+        ("service", "case user_id % 3 when 0 then 'uber' when 1 then 'ola' when 2 then case when event_id % 50 = 7 then 'metro' else 'rapido' end end"),
         ("vehicle_type", "case K % 4 when 0 then 'mini' when 1 then 'prime' when 2 then 'auto' else 'bike' end"),
         ("start_lat", "case when user_id % 2 = 0 then 28.45e0 + cast(event_id % 53 as double) * 0.005e0 "
                       "else 12.90e0 + cast(event_id % 29 as double) * 0.005e0 end"),
@@ -145,28 +151,8 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
-# Large tables of the test set and their key column (hash-spread when under-split).
-_SPREAD_KEYS = {"lineitem": "l_orderkey", "orders": "o_orderkey", "events": "event_id"}
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(table_path(sf_dir, name))
-    return spread(df, _SPREAD_KEYS[name]) if name in _SPREAD_KEYS else df
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Spread an under-split input over the cluster's cores.
-
-    A Parquet row group is one scan task, so a table stored as one file with
-    one row group is read by one task and every projection before the first
-    shuffle runs there. When the input has fewer files than the cluster has
-    cores, redistribute it by a hash of its key column (deterministic, so a
-    retried task sees the same rows, and no sort is needed). Tables of many
-    files -- any large table -- are left untouched: no extra shuffle at
-    scale. The file count comes from the file listing; no data is read.
-    """
-    cores = parallelism(df.sparkSession)
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+    return spark.read.parquet(table_path(sf_dir, name))
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -190,12 +176,13 @@ def rides(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Column roles of the views, as the profile sees them (numeric, then text),
 # for building the oracle SQL; tests check they agree with the Spark schema.
-PROFILE_VIEWS = ["stop_times", "trips", "routes", "stops", "rides"]
+PROFILE_VIEWS = ["stop_times", "trips", "routes", "stops", "accounts", "rides"]
 PROFILE_NUMERIC = {
     "stop_times": ["trip_id", "stop_id", "stop_sequence"],
     "trips": ["trip_id", "route_id"],
     "routes": ["route_id"],
     "stops": ["stop_id", "stop_lat", "stop_lon"],
+    "accounts": ["account_id", "balance"],
     "rides": ["ride_id", "start_lat", "start_lon", "end_lat", "end_lon", "distance_km", "duration_mins",
               "surge_multiplier", "fare"],
 }
@@ -204,9 +191,10 @@ PROFILE_TEXT = {
     "trips": ["city", "service_id"],
     "routes": ["city", "route_short_name", "route_long_name"],
     "stops": ["city", "stop_name"],
+    "accounts": ["segment"],
     "rides": ["city", "service", "vehicle_type"],
 }
-PROFILE_WIDTH = {"stop_times": 5, "trips": 4, "routes": 4, "stops": 5, "rides": 13}
+PROFILE_WIDTH = {"stop_times": 5, "trips": 4, "routes": 4, "stops": 5, "accounts": 3, "rides": 13}
 
 
 def profile_views(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:

@@ -9,9 +9,9 @@ scan: all columns as text, then a by-name ``try_cast`` to the known schema
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
+from pyspark.sql import types as T
 
 from mobilis import constants as K
 from mobilis.schemas import FEED_SCHEMAS, NA_TEXTS
@@ -23,9 +23,9 @@ def _files(spark: SparkSession, pattern: str) -> DataFrame:
 
 def feed_inventory(spark: SparkSession, base_dir: str) -> DataFrame:
     """(city, file_name, size_bytes, size_mb) for every ``.txt`` under ``base/{city}/``."""
-    try:
+    if exists(spark, f"{base_dir.rstrip('/')}/*/*.txt"):
         f = _files(spark, f"{base_dir.rstrip('/')}/*/*.txt")
-    except AnalysisException:
+    else:
         return spark.createDataFrame([], "city string, file_name string, size_bytes bigint, size_mb double")
     return f.select(
         F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1).alias("city"),
@@ -76,18 +76,28 @@ def _na_to_null(df: DataFrame) -> DataFrame:
                        for c in df.columns])
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether any file matches a path or path pattern, in whatever file system it names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at)
+    return found is not None and len(found) > 0
+
+
 def read_feed(spark: SparkSession, path: str, table: str | None = None, encoding: str = "auto",
-              typed: bool = True) -> DataFrame:
+              typed: bool = True, multi_line: bool = False) -> DataFrame:
     """Read one feed table with a header row; a missing file gives an empty table.
 
-    Columns are normalised; with ``typed`` and a known table they are cast
-    by name to the table's schema (unknown extra columns stay text).
+    A quote inside a quoted field is doubled, as in GTFS. Fields with line ends
+    inside quotes need ``multi_line``; a file is then read by one task, so it
+    is off unless asked for. Columns are normalised; with ``typed`` and a known
+    table they are cast by name to the table's schema, but for columns with a
+    value that does not cast (unknown extra columns stay text, too).
     """
-    try:
+    if exists(spark, path):
         enc = detect_encoding(spark, path) if encoding == "auto" else encoding
         raw = (spark.read.option("header", True).option("inferSchema", False).option("encoding", enc)
-               .option("mode", "PERMISSIVE").csv(path))
-    except AnalysisException:
+               .option("escape", '"').option("multiLine", multi_line).option("mode", "PERMISSIVE").csv(path))
+    else:
         schema = FEED_SCHEMAS.get(table)
         return spark.createDataFrame([], schema) if schema is not None else spark.createDataFrame([], "x string")
     df = _na_to_null(normalize_columns(raw))
@@ -101,16 +111,29 @@ def read_feed_large(spark: SparkSession, path: str, table: str | None = None,
     """The same read plus a flag telling whether the table has more than ``threshold`` rows.
 
     Splitting into chunks is the scan's own job (file splits), so there is no
-    chunk size; the flag costs a bounded count (at most threshold + 1 rows).
+    chunk size; the flag costs a distributed count.
     """
     df = read_feed(spark, path, table)
-    return df, df.limit(threshold + 1).count() > threshold
+    return df, df.count() > threshold
+
+
+def cast_text(c: str, kind: T.DataType) -> Column:
+    """A text column cast to ``kind``; null where it does not cast. Whole numbers may be written as 1.0."""
+    plain = F.col(c).try_cast(kind)
+    if not isinstance(kind, T.IntegralType):
+        return plain
+    number = F.col(c).try_cast("double")
+    return F.coalesce(plain, F.when(number == F.floor(number), number.try_cast(kind)))
 
 
 def typed_or_string(df: DataFrame, schema) -> DataFrame:
-    """Cast known columns by name with ``try_cast``; other columns stay as they are."""
-    types = {f.name: f.dataType for f in schema.fields}
-    return df.select(*[F.col(c).try_cast(types[c]).alias(c) if c in types else F.col(c) for c in df.columns])
+    """Cast known columns by name; a column with a value that does not cast stays text, as do unknown ones.
+
+    One aggregate over the text decides for all columns.
+    """
+    types = {f.name: f.dataType for f in schema.fields if f.name in df.columns and f.dataType != T.StringType()}
+    rejected = {r.column_name for r in cast_rejects(df, schema).where("rejects > 0").collect()} if types else set()
+    return df.select(*[cast_text(c, types[c]).alias(c) if c in types and c not in rejected else F.col(c) for c in df.columns])
 
 
 def cast_rejects(raw: DataFrame, schema) -> DataFrame:
@@ -119,7 +142,7 @@ def cast_rejects(raw: DataFrame, schema) -> DataFrame:
     cols = [c for c in raw.columns if c in types]
     if not cols:
         return raw.sparkSession.createDataFrame([], "column_name string, rejects bigint")
-    counts = raw.agg(*[F.count_if(F.col(c).isNotNull() & F.col(c).try_cast(types[c]).isNull()).alias(c)
+    counts = raw.agg(*[F.count_if(F.col(c).isNotNull() & cast_text(c, types[c]).isNull()).alias(c)
                        for c in cols])
     return counts.unpivot([], cols, "column_name", "rejects")
 

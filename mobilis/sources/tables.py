@@ -8,11 +8,14 @@ the wanted city.
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from mobilis import constants as K
+from mobilis.schemas import FEED_SCHEMAS
 from mobilis.sources import feeds
 
 
@@ -25,10 +28,10 @@ def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ("city
 
 def read_table(spark: SparkSession, store: str, table: str, city: str | None = None) -> DataFrame | None:
     """A stored table, pruned to one city when given; None when the table does not exist."""
-    try:
-        df = spark.read.parquet(f"{store.rstrip('/')}/{table}")
-    except AnalysisException:
+    path = f"{store.rstrip('/')}/{table}"
+    if not feeds.exists(spark, path):
         return None
+    df = spark.read.parquet(path)
     return df.where(F.col("city") == city) if city is not None and "city" in df.columns else df
 
 
@@ -47,8 +50,9 @@ def import_city(spark: SparkSession, base_dir: str, city: str, store: str) -> Da
     Gate on completeness (no required file missing or empty); then for each
     ``.txt`` file: read (typed by name), normalise names, check structure,
     write the city's partition. Returns one row per file: table, rows,
-    loaded -- or None when the gate fails. Row counts are observed during
-    the write, not by a second scan.
+    loaded, and the columns left as text because a value did not cast -- or
+    None when the gate fails. Row counts are observed during the write, not by
+    a second scan.
     """
     gate = feeds.feed_gate(feeds.feed_completeness(spark, base_dir, [city])).first()
     if gate is None or not gate.passed:
@@ -57,23 +61,23 @@ def import_city(spark: SparkSession, base_dir: str, city: str, store: str) -> Da
     for table in feeds.city_files(spark, base_dir, city):
         df = feeds.read_feed(spark, f"{base_dir.rstrip('/')}/{city}/{table}.txt", table)
         if not feeds.check_structure(df, table):
-            out.append((table, 0, False))
+            out.append((table, 0, False, ""))
             continue
         obs = Observation(f"rows_{city}_{table}")
         observed = df.withColumn("city", F.lit(city)).observe(obs, F.count(F.lit(1)).alias("rows"))
         write_table(observed, f"{store.rstrip('/')}/{table}")
-        out.append((table, int(obs.get["rows"]), True))
-    return spark.createDataFrame(out, "table_name string, rows bigint, loaded boolean")
+        known = FEED_SCHEMAS.get(table)
+        as_text = [f.name for f in known.fields if f.name in df.columns and df.schema[f.name].dataType != f.dataType] if known else []
+        out.append((table, int(obs.get["rows"]), True, ",".join(as_text)))
+    return spark.createDataFrame(out, "table_name string, rows bigint, loaded boolean, text_columns string")
 
 
-def write_results(results: dict[str, DataFrame], out_dir: str, fmt: str = "parquet",
-                  row_cap: int | None = None) -> None:
-    """Write each result table in full (``row_cap`` is an opt-in limit, off by default)."""
+def write_results(results: dict[str, DataFrame], out_dir: str, fmt: str = "parquet") -> None:
+    """Write each result table in full."""
     for name, df in results.items():
         if df is None:
             continue
-        d = df.limit(row_cap) if row_cap else df
-        w = d.write.mode("overwrite")
+        w = df.write.mode("overwrite")
         if fmt == "csv":
             w.option("header", True).csv(f"{out_dir.rstrip('/')}/{name}")
         else:
@@ -81,23 +85,21 @@ def write_results(results: dict[str, DataFrame], out_dir: str, fmt: str = "parqu
 
 
 def table_stats(tables: dict[str, DataFrame]) -> DataFrame:
-    """Row count per table (one aggregate per table, unioned)."""
+    """Row count per table and, as ``total``, of all together (one aggregate per table, unioned)."""
     parts = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("table_name"), "rows")
              for n, df in tables.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    each = reduce(DataFrame.unionByName, parts)
+    return each.unionByName(each.agg(F.sum("rows").alias("rows")).select(F.lit("total").alias("table_name"), "rows"))
 
 
 def store_sizes(spark: SparkSession, store: str) -> DataFrame:
     """Bytes and MB per stored table, from file lengths (no data read)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(store).select("path", "length")
-    rel = F.regexp_extract("path", rf"{store.rstrip('/')}/([^/]+)/", 1)
+    rel = F.regexp_extract("path", rf"{re.escape(store.rstrip('/'))}/([^/]+)/", 1)
     return files.where(F.col("path").endswith(".parquet")).groupBy(rel.alias("table_name")).agg(
         F.sum("length").alias("size_bytes")).withColumn("size_mb", F.round(F.col("size_bytes") / 1048576.0, 2))
 
 
-def table_sample(df: DataFrame, n: int = 5) -> DataFrame:
-    """The first n rows (a sample by definition)."""
-    return df.limit(n)
+def table_sample(df: DataFrame, order: list[str], n: int = 5) -> DataFrame:
+    """The first n rows by ``order`` (a sample by definition)."""
+    return df.orderBy(*order).limit(n)

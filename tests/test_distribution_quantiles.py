@@ -6,7 +6,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from mobilis.operators.distribution import box_stats, histogram
-from mobilis.operators.quantiles import exact_quantiles
+from mobilis.operators import quantiles
+from mobilis.operators.quantiles import column_quantiles
 
 
 def test_histogram_matches_numpy(spark):
@@ -26,25 +27,33 @@ def test_histogram_single_value_and_top_edge(spark):
     assert [(r.bin, r["count"]) for r in got] == [(int(np.argmax(ref)), 2)]
 
 
-@settings(max_examples=15, deadline=None)
-@given(st.lists(st.integers(-50, 50), min_size=1, max_size=200), st.sampled_from([2, 5, 64]))
-def test_exact_quantiles_property(spark, values, buckets):
-    df = spark.createDataFrame([(float(v),) for v in values], "v double")
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.integers(-50, 50), min_size=1, max_size=200))
+def test_quantiles_property(spark, values):
+    df = spark.createDataFrame([(float(v), v) for v in values], "v double, i int")
     probs = [0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0]
-    got = {r.p: r.quantile for r in exact_quantiles(df, "v", probs, buckets=buckets).collect()}
+    got = {(r.column_name, r.p): r.quantile for r in column_quantiles(df, ["v", "i"], probs).collect()}
     s = pd.Series(values, dtype=float)
     for p in probs:
-        assert abs(got[p] - s.quantile(p)) < 1e-9
+        assert abs(got["v", p] - s.quantile(p)) < 1e-9 and abs(got["i", p] - s.quantile(p)) < 1e-9
 
 
-def test_exact_quantiles_hot_value_grouped(spark):
-    vals = [("a", 1.0)] * 1000 + [("a", float(i)) for i in range(100)] + [("b", float(i)) for i in range(7)]
-    df = spark.createDataFrame(vals, "k string, v double")
-    got = {(r.k, r.p): r.quantile for r in exact_quantiles(df, "v", [0.25, 0.99], ["k"], buckets=8).collect()}
-    pdf = pd.DataFrame(vals, columns=["k", "v"])
-    for k in ("a", "b"):
-        for p in (0.25, 0.99):
-            assert abs(got[(k, p)] - pdf[pdf.k == k].v.quantile(p)) < 1e-9
+def test_quantiles_with_coarse_sketches(spark, monkeypatch):
+    # bounds far apart and close together, hot values, nulls and NaN
+    rng = np.random.default_rng(3)
+    vals = [1.0] * 3000 + rng.normal(5, 2, 4000).tolist() + [None] * 5 + [float("nan")] * 5
+    df = spark.createDataFrame([(v,) for v in vals], "v double").repartition(7)
+    s = pd.Series(vals, dtype=float).dropna()
+    for accuracy in (20, 100, 1000):
+        monkeypatch.setattr(quantiles, "ACCURACY", accuracy)
+        got = {r.p: r.quantile for r in column_quantiles(df, ["v"], [0.01, 0.25, 0.5, 0.9]).collect()}
+        assert all(abs(got[p] - s.quantile(p)) < 1e-9 for p in got) and len(got) == 4
+
+
+def test_quantiles_keep_long_ids_apart(spark):
+    df = spark.createDataFrame([(9007199254740992,), (9007199254740993,), (9007199254740994,)], "id long")
+    assert df.select("id").distinct().count() == 3
+    assert column_quantiles(df, ["id"], [0.5]).first().quantile == float(9007199254740993)
 
 
 def test_box_fence_value_not_outlier(spark):

@@ -134,3 +134,18 @@ def test_large_flag_defaults_and_matrices(spark, tmp_dir):
     assert (qm.zero_values, qm.outliers) == (120, 4)
     missing = feeds.read_feed(spark, os.path.join(tmp_dir, "absent.txt"), "routes")
     assert missing.count() == 0 and "route_id" in missing.columns
+
+
+def test_quoted_fields_line_ends_and_rejects(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "stops.txt")
+    with open(path, "w") as f:
+        f.write('stop_id,stop_name,stop_lat,stop_lon\n1,"Main ""Old"" St, East",12.0,77.0\n2,"Two\nlines",13.0,78.0\n')
+    rows = feeds.read_feed(spark, path, "stops", multi_line=True).orderBy("stop_id").collect()
+    assert [(r.stop_name, r.stop_lat, r.stop_lon) for r in rows] == [('Main "Old" St, East', 12.0, 77.0), ("Two\nlines", 13.0, 78.0)]
+    assert feeds.read_feed(spark, path, "stops").where("stop_id = 1").first().stop_name == 'Main "Old" St, East'
+    raw = spark.createDataFrame([("t", "1.0"), ("t", "7"), ("t", None)], "trip_id string, stop_sequence string")
+    typed = feeds.typed_or_string(raw, __import__("mobilis.schemas").schemas.FEED_SCHEMAS["stop_times"])
+    assert [r.stop_sequence for r in typed.collect()] == [1, 7, None]
+    bad = raw.union(spark.createDataFrame([("t", "x2")], raw.schema))
+    kept = feeds.typed_or_string(bad, __import__("mobilis.schemas").schemas.FEED_SCHEMAS["stop_times"])
+    assert [r.stop_sequence for r in kept.collect()] == ["1.0", "7", None, "x2"]

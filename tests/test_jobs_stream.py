@@ -60,13 +60,11 @@ def test_model_job_saves_models(spark, tmp_dir):
     assert spark.read.json(os.path.join(tmp_dir, "model_insights_regression_top_features")).count() == 5
 
 
-def test_result_cap_is_opt_in(spark, tmp_dir):
+def test_results_are_written_in_full(spark, tmp_dir):
     from mobilis.sources import tables as ST
     df = B.rides(spark, SF)
     ST.write_results({"all": df}, tmp_dir)
-    ST.write_results({"capped": df}, tmp_dir, row_cap=5)
     assert spark.read.parquet(os.path.join(tmp_dir, "all")).count() == df.count()
-    assert spark.read.parquet(os.path.join(tmp_dir, "capped")).count() == 5
 
 
 def test_run_all_end_to_end(spark, tmp_dir):
