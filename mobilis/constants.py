@@ -84,6 +84,7 @@ STRENGTH_TRIPS_PER_ROUTE = 50
 STRENGTH_HEADWAY_MIN = 10
 
 # Assessment texts.
+TEXT_TOP_FEATURES = "Top predictive features: "
 TEXT_HIGH_FREQUENCY = "High frequency service coverage"
 TEXT_RAISE_FREQUENCY = "Consider increasing service frequency"
 TEXT_GOOD_HEADWAY = "Good headway consistency"

@@ -13,8 +13,11 @@ fitting. Differences from a naive pipeline, on purpose:
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from datetime import datetime, timezone
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import (BinaryClassificationEvaluator, MulticlassClassificationEvaluator,
@@ -34,9 +37,13 @@ KEY_COLUMNS = ["city", "hour_of_day", "is_weekend"]
 
 def split_data(df: DataFrame, train_ratio: float = 0.8, seed: int = SEED,
                key_columns: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Deterministic split: a row is in train when hash(seed, key) mod 1000 < ratio * 1000."""
+    """Deterministic split: a row is in train when hash(seed, key) mod 1000 < ratio * 1000.
+
+    The hash is the first 32 bits of the MD5 of the seed and the key as text, joined by ``|``.
+    """
     keys = [c for c in (key_columns or KEY_COLUMNS) if c in df.columns]
-    bucket = F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1000))
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in keys])
+    bucket = F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint") % 1000
     marked = df.withColumn("_split", bucket < int(round(train_ratio * 1000)))
     return (marked.where(F.col("_split")).drop("_split"), marked.where(~F.col("_split")).drop("_split"))
 
@@ -78,21 +85,45 @@ def estimators(problem_type: str) -> dict:
     }
 
 
+@dataclass(frozen=True)
+class FailedModel:
+    """Stands for an estimator that could not be fitted (a single-class label, for example)."""
+
+    error: str
+
+
+def _message(error: Exception) -> str:
+    return str(error).split("\n", 1)[0][:300]
+
+
 def train_models(train: DataFrame, problem_type: str = "regression") -> dict:
-    """Fit each estimator; one that fails (for example a single-class label) is skipped."""
-    models = {}
-    for name, est in estimators(problem_type).items():
+    """Each estimator's name with its fitted model, or a FailedModel that says why there is none."""
+    def fitted(estimator):
         try:
-            models[name] = est.fit(train)
-        except Exception:  # noqa: BLE001 - a model that cannot fit is reported as absent
-            continue
-    return models
+            return estimator.fit(train)
+        except (PySparkException, Py4JError) as e:
+            return FailedModel(_message(e))
+    return {name: fitted(est) for name, est in estimators(problem_type).items()}
+
+
+def model_facts(models: dict, problem_type: str, train: DataFrame) -> DataFrame:
+    """One row per estimator: features, trees, coefficients, the training error or R2's base metric, and the error if it failed."""
+    metric, ev = next(iter(evaluators(problem_type).items()))
+    rows = []
+    for name, m in models.items():
+        failed = isinstance(m, FailedModel)
+        rows.append((name, problem_type, None if failed else int(m.numFeatures), getattr(m, "getNumTrees", None),
+                     None if not hasattr(m, "coefficients") else len(m.coefficients), f"train_{metric}",
+                     None if failed else float(ev.evaluate(m.transform(train))), m.error if failed else None))
+    return train.sparkSession.createDataFrame(rows, "model string, problem_type string, n_features int, n_trees int, "
+                                              "n_coefficients int, metric string, value double, error string")
 
 
 def evaluators(problem_type: str) -> dict:
     if problem_type == "regression":
-        return {m.upper() if m != "r2" else "R2": RegressionEvaluator(labelCol="label", metricName=m)
-                for m in ("rmse", "mae", "r2")}
+        return {"RMSE": RegressionEvaluator(labelCol="label", metricName="rmse"),
+                "MAE": RegressionEvaluator(labelCol="label", metricName="mae"),
+                "R2": RegressionEvaluator(labelCol="label", metricName="r2")}
     return {
         "AUC": BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction",
                                              metricName="areaUnderROC"),
@@ -102,23 +133,24 @@ def evaluators(problem_type: str) -> dict:
 
 
 def evaluate_models(models: dict, test: DataFrame, problem_type: str = "regression") -> DataFrame:
-    """(model, metric, value) rows; a metric that cannot be computed is null."""
-    rows = []
-    for name, model in models.items():
-        preds = model.transform(test)
-        for metric, ev in evaluators(problem_type).items():
-            try:
-                value = float(ev.evaluate(preds))
-            except Exception:  # noqa: BLE001
-                value = None
-            rows.append((name, metric, value))
-    return test.sparkSession.createDataFrame(rows, "model string, metric string, value double")
+    """(model, metric, value, error) rows; where there is no value, the error says why."""
+    def score(model, evaluator):
+        if isinstance(model, FailedModel):
+            return None, model.error
+        try:
+            return float(evaluator.evaluate(model.transform(test))), None
+        except (PySparkException, Py4JError) as e:
+            return None, _message(e)
+    rows = [(name, metric, *score(model, ev)) for name, model in models.items() for metric, ev in evaluators(problem_type).items()]
+    return test.sparkSession.createDataFrame(rows, "model string, metric string, value double, error string")
 
 
 def save_models(models: dict, problem_type: str, root: str) -> list[str]:
-    """Overwrite each model under ``{root}/{problem_type}_{name}``."""
+    """Overwrite each fitted model under ``{root}/{problem_type}_{name}``."""
     paths = []
     for name, model in models.items():
+        if isinstance(model, FailedModel):
+            continue
         path = f"{root.rstrip('/')}/{problem_type}_{name.lower()}"
         model.write().overwrite().save(path)
         paths.append(path)
@@ -132,29 +164,36 @@ def model_comparison(results: DataFrame, problem_type: str) -> DataFrame:
 
 
 def feature_importance(models: dict, feature_cols: list[str]) -> DataFrame | None:
-    """Tree models only: (model, feature, score, rank) with rank 1 = most important."""
+    """Tree models only: (model, position in training order, feature, score, rank) with rank 1 = most important."""
     rows = []
-    for name, model in models.items():
+    for position, (name, model) in enumerate(models.items()):
         if not hasattr(model, "featureImportances"):
             continue
         scores = model.featureImportances.toArray().tolist()
         pairs = sorted(zip(feature_cols, scores), key=lambda p: -p[1])
-        rows.extend((name, f, float(s), i + 1) for i, (f, s) in enumerate(pairs))
+        rows.extend((name, position, f, float(s), i + 1) for i, (f, s) in enumerate(pairs))
     if not rows:
         return None
     return SparkSession.getActiveSession().createDataFrame(
-        rows, "model string, feature string, score double, rank int")
+        rows, "model string, position int, feature string, score double, rank int")
 
 
 def model_insights(modeling: DataFrame, importance: DataFrame | None, problem_type: str,
                    top: int = 5) -> dict[str, DataFrame]:
-    """Top features of the first tree model (by name) and the per-city surge summary."""
+    """Top features of every tree model, the recommendation that names the leading model's, and the per-city surge summary.
+
+    ``leading`` marks the first tree model in training order.
+    """
     out = {}
     if importance is not None:
-        first = importance.agg(F.min("model").alias("m"))
-        out["top_features"] = (importance.join(first, importance["model"] == first["m"])
-                               .where(F.col("rank") <= top).drop("m")
-                               .withColumn("problem_type", F.lit(problem_type)))
+        first = importance.agg(F.min("position").alias("_first"))
+        best = (importance.where(F.col("rank") <= top).crossJoin(F.broadcast(first))  # one row
+                .select("model", (F.col("position") == F.col("_first")).alias("leading"), "feature", "score", "rank",
+                        F.lit(problem_type).alias("problem_type")))
+        out["top_features"] = best
+        names = F.transform(F.array_sort(F.collect_list(F.struct("rank", "feature"))), lambda x: x["feature"])
+        out["recommendations"] = best.where("leading").groupBy("problem_type").agg(
+            F.concat(F.lit(K.TEXT_TOP_FEATURES), F.array_join(names, ", ")).alias("recommendation"))
     out["city_summary"] = modeling.groupBy("city").agg(
         F.avg("avg_surge_multiplier").alias("avg_surge_multiplier"), F.sum("ride_count").alias("ride_count"))
     return out

@@ -391,6 +391,9 @@ SQL["service_mix_pivot"] = q(
     "SELECT city, " + ", ".join(f"nullif(count(*) FILTER (WHERE service = '{v}'), 0) AS {v}" for v in SERVICES)
     + " FROM rides GROUP BY city")
 SQL["fare_distance_points"] = q(f"SELECT city, service, {_r('distance_km fare')} FROM rides")
+_BUCKET = ("CAST(('0x' || substr(md5('42|' || city || '|' || CAST(hour_of_day AS VARCHAR) || '|' || "
+           "CAST(is_weekend AS VARCHAR)), 1, 8)) AS BIGINT) % 1000")
+SQL["split_data"] = q(f"SELECT city, hour_of_day, is_weekend, CASE WHEN {_BUCKET} < 800 THEN 'train' ELSE 'test' END AS split FROM modeling")
 SQL["model_city_summary"] = q(
     f"SELECT city, round(avg(avg_surge_multiplier), {D}) AS avg_surge_multiplier, "
     f"CAST(sum(ride_count) AS BIGINT) AS ride_count FROM modeling GROUP BY city")

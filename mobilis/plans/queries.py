@@ -608,53 +608,70 @@ def q_prepare_features(spark, sf):
             .unionByName(M.feature_rows(test).withColumn("split", F.lit("test"))))
 
 
-def _trained(spark, sf, problem_type):
+def _facts(spark, sf, problem_type):
     train, _, models, _ = fitted(spark, sf, problem_type)
-    n = train.count()
-    return spark.createDataFrame([(name, problem_type, n) for name in models],
-                                 "model string, problem_type string, train_rows bigint")
+    return rounded(M.model_facts(models, problem_type, train))
 
 
 @register("train_regression")
 def q_train_regression(spark, sf):
-    return _trained(spark, sf, "regression")
+    return _facts(spark, sf, "regression")
 
 
 @register("train_classification")
 def q_train_classification(spark, sf):
-    return _trained(spark, sf, "classification")
+    return _facts(spark, sf, "classification")
+
+
+def _evaluated(spark, sf, problem_type):
+    _, test, models, _ = fitted(spark, sf, problem_type)
+    return M.evaluate_models(models, test, problem_type)
 
 
 @register("evaluate_regression")
 def q_evaluate_regression(spark, sf):
-    _, test, models, _ = fitted(spark, sf, "regression")
-    return M.evaluate_models(models, test, "regression")
+    return _evaluated(spark, sf, "regression")
 
 
 @register("evaluate_classification")
 def q_evaluate_classification(spark, sf):
-    _, test, models, _ = fitted(spark, sf, "classification")
-    return M.evaluate_models(models, test, "classification")
+    return _evaluated(spark, sf, "classification")
+
+
+PROBLEMS = ["regression", "classification"]
 
 
 @register("model_comparison")
 def q_model_comparison(spark, sf):
-    _, test, models, _ = fitted(spark, sf, "regression")
-    return M.model_comparison(M.evaluate_models(models, test, "regression"), "regression").drop("timestamp")
+    both = [M.model_comparison(_evaluated(spark, sf, p), p).drop("timestamp") for p in PROBLEMS]
+    return both[0].unionByName(both[1])
+
+
+def _importance(spark, sf, problem_type):
+    _, _, models, cols = fitted(spark, sf, problem_type)
+    return M.feature_importance(models, cols)
 
 
 @register("feature_importance")
 def q_feature_importance(spark, sf):
-    _, _, models, cols = fitted(spark, sf, "regression")
-    return M.feature_importance(models, cols)
+    both = [_importance(spark, sf, p).withColumn("problem_type", F.lit(p)) for p in PROBLEMS]
+    return both[0].unionByName(both[1])
+
+
+def _insights(spark, sf, part):
+    modeling = R.modeling_dataset(rides_of(spark, sf))
+    both = [M.model_insights(modeling, _importance(spark, sf, p), p)[part] for p in PROBLEMS]
+    return both[0].unionByName(both[1])
 
 
 @register("model_insights")
 def q_model_insights(spark, sf):
-    _, _, models, cols = fitted(spark, sf, "regression")
-    ins = M.model_insights(R.modeling_dataset(rides_of(spark, sf)), M.feature_importance(models, cols),
-                           "regression")
-    return ins["top_features"]
+    return _insights(spark, sf, "top_features")
+
+
+@register("model_recommendations")
+def q_model_recommendations(spark, sf):
+    return _insights(spark, sf, "recommendations")
 
 
 # ---------------------------------------------------------------- store / sink
