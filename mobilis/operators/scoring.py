@@ -1,6 +1,6 @@
 """Scoring of given rides: distance, duration, surge parts, surge multiplier, tariff fare.
 
-Lookup tables (tariff, surge areas, festival dates, city-month extras) are
+Lookup tables (tariff, festival dates, city-month extras) are
 the fixed values in ``mobilis.constants``: a few dozen rows whatever the
 data size, so they are broadcast. Nothing here is random; where the original
 rules draw noise or bad weather, an optional input column supplies it.
@@ -8,9 +8,10 @@ rules draw noise or bad weather, an optional input column supplies it.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from mobilis import constants as K
 from mobilis.functions.geo import haversine_km
@@ -23,20 +24,6 @@ def tariff_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(K.TARIFF, schema)
 
 
-def surge_area_table(spark: SparkSession) -> DataFrame:
-    """One row per city with its areas as ``array<struct<lat, lon, radius, multiplier>>``."""
-    schema = T.StructType([
-        T.StructField("city", T.StringType()),
-        T.StructField("areas", T.ArrayType(T.StructType([
-            T.StructField("lat", T.DoubleType()), T.StructField("lon", T.DoubleType()),
-            T.StructField("radius", T.DoubleType()), T.StructField("multiplier", T.DoubleType())]))),
-    ])
-    by_city: dict[str, list] = {}
-    for city, lat, lon, radius, mult in K.SURGE_AREAS:
-        by_city.setdefault(city, []).append((lat, lon, radius, mult))
-    return spark.createDataFrame(list(by_city.items()), schema)
-
-
 def festival_table(spark: SparkSession) -> DataFrame:
     rows = [(m, d, add) for m, days, add in K.FESTIVAL_DATES for d in days]
     return spark.createDataFrame(rows, "f_month int, f_day int, festival_surge double")
@@ -55,20 +42,17 @@ def area_surge(df: DataFrame, lat: str = "start_lat", lon: str = "start_lon", ci
                out: str = "area_surge") -> DataFrame:
     """Sum over the city's surge areas within radius of multiplier * (1 - d / radius).
 
-    A broadcast join on city attaches the city's areas as one array; a
-    higher-order ``aggregate`` sums them row by row, with no shuffle. A city
-    without areas scores 0; a point exactly on the radius adds 0.
+    The areas are a handful of fixed values, so the sum is written out: one
+    conditional term per area, no join and no shuffle. A city without areas
+    scores 0; a point exactly on the radius adds 0.
     """
-    areas = surge_area_table(df.sparkSession).withColumnRenamed("city", "_a_city")
-    j = df.join(F.broadcast(areas), F.col(city) == F.col("_a_city"), "left")
-
-    def add(acc: Column, a: Column) -> Column:
-        d = haversine_km(F.col(lat), F.col(lon), a["lat"], a["lon"])
-        return acc + F.when(d <= a["radius"], a["multiplier"] * (F.lit(1.0) - d / a["radius"])).otherwise(0.0)
+    def term(area: tuple) -> Column:
+        name, at_lat, at_lon, radius, multiplier = area
+        d = haversine_km(F.col(lat), F.col(lon), F.lit(at_lat), F.lit(at_lon))
+        share = F.when(d <= radius, multiplier * (F.lit(1.0) - d / F.lit(radius))).otherwise(0.0)
+        return F.when(F.col(city) == name, share).otherwise(0.0)
 
-    score = F.aggregate(F.coalesce(F.col("areas"), F.array().cast(areas.schema["areas"].dataType)),
-                        F.lit(0.0), add)
-    return j.withColumn(out, score).drop("_a_city", "areas")
+    return df.withColumn(out, reduce(lambda a, b: a + b, map(term, K.SURGE_AREAS)))
 
 
 def calendar_surge(df: DataFrame, ts: str = "timestamp", city: str = "city",

@@ -133,6 +133,19 @@ def _outer(frames: list[DataFrame], keys: list[str]) -> DataFrame:
     return u.groupBy(*keys).agg(*[F.max(c).alias(c) for c in cols])
 
 
+def _assessment() -> dict[str, Column]:
+    """Assessment columns of a row with total_routes, avg_trips_per_route, avg_headway_min, total_stop_events."""
+    has_routes = F.col("total_routes").isNotNull()
+    busy = F.coalesce(F.col("avg_trips_per_route") > K.STRENGTH_TRIPS_PER_ROUTE, F.lit(False))
+    steady = F.coalesce(F.col("avg_headway_min") < K.STRENGTH_HEADWAY_MIN, F.lit(False))
+    strengths = F.array(F.when(has_routes & busy, F.lit(K.TEXT_HIGH_FREQUENCY)),
+                        F.when(steady, F.lit(K.TEXT_GOOD_HEADWAY)))
+    improvements = F.array(F.when(has_routes & ~busy, F.lit(K.TEXT_RAISE_FREQUENCY)),
+                           F.when(~steady, F.lit(K.TEXT_IMPROVE_HEADWAY)))
+    return {"overall_score": F.lit(0), "key_strengths": F.array_compact(strengths),
+            "improvement_areas": F.array_compact(improvements), "total_trips_estimate": F.col("total_stop_events")}
+
+
 def city_assessment(route_sum: DataFrame, headway_sum: DataFrame) -> DataFrame:
     """Rule-based strengths and improvement areas per city.
 
@@ -142,33 +155,20 @@ def city_assessment(route_sum: DataFrame, headway_sum: DataFrame) -> DataFrame:
     """
     keys = city_keys(route_sum)
     r = route_sum.select(*keys, "total_routes", "avg_trips_per_route", "total_stop_events")
-    h = headway_sum.select(*keys, "avg_headway_min")
-    j = _outer([r, h], keys)
-    has_routes = F.col("total_routes").isNotNull()
-    busy = F.coalesce(F.col("avg_trips_per_route") > K.STRENGTH_TRIPS_PER_ROUTE, F.lit(False))
-    steady = F.coalesce(F.col("avg_headway_min") < K.STRENGTH_HEADWAY_MIN, F.lit(False))
-    strengths = F.array(F.when(has_routes & busy, F.lit(K.TEXT_HIGH_FREQUENCY)),
-                        F.when(steady, F.lit(K.TEXT_GOOD_HEADWAY)))
-    improvements = F.array(F.when(has_routes & ~busy, F.lit(K.TEXT_RAISE_FREQUENCY)),
-                           F.when(~steady, F.lit(K.TEXT_IMPROVE_HEADWAY)))
-    return j.select(
-        *keys,
-        F.lit(0).alias("overall_score"),
-        F.filter(strengths, lambda x: x.isNotNull()).alias("key_strengths"),
-        F.filter(improvements, lambda x: x.isNotNull()).alias("improvement_areas"),
-        F.col("total_routes"),
-        F.col("total_stop_events").alias("total_trips_estimate"),
-    )
+    j = _outer([r, headway_sum.select(*keys, "avg_headway_min")], keys)
+    return j.select(*keys, *[c.alias(n) for n, c in _assessment().items() if n != "total_trips_estimate"], "total_routes",
+                    F.col("total_stop_events").alias("total_trips_estimate"))
 
 
 def city_analysis(route_stats: DataFrame, headways: DataFrame, hourly_service: DataFrame,
                   spatial_stats: DataFrame) -> DataFrame:
-    """One row per city: route, headway, service and stop summaries plus the assessment."""
-    keys = city_keys(route_stats)
-    rs, hs = route_summary(route_stats), headway_summary(headways)
-    parts = [rs, hs, service_profile(hourly_service), stop_summary(spatial_stats),
-             city_assessment(rs, hs).drop("total_routes")]
-    return _outer(parts, keys)
+    """One row per city: route, headway, service and stop summaries plus the assessment.
+
+    The summaries are merged first; the assessment is read off the merged row,
+    so each metric is computed once.
+    """
+    parts = [route_summary(route_stats), headway_summary(headways), service_profile(hourly_service), stop_summary(spatial_stats)]
+    return _outer(parts, city_keys(route_stats)).withColumns(_assessment())
 
 
 def transit_city_comparison(route_stats: DataFrame, headways: DataFrame, spatial_stats: DataFrame,
