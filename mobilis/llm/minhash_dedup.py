@@ -10,9 +10,9 @@ are formed.
 Candidates are verified on full shingle sets. Inside a table's bucket documents
 are compared with one hub first, the one with the smallest share of shingles
 that nobody else has; what the hub links needs no further comparison with each
-other. Pairs of a bucket that are still in different components are then all
-checked, but for those that counts alone rule out: a document shares at most
-the shingles that are not its own alone.
+other. Counts alone rule out many: a document shares at most the shingles that
+are not its own alone. Where buckets join documents that are still in different
+components, those outside the largest are looked up among all the others.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ PERCENT = 80
 #: missed with probability 2 * (1 - 0.8 ** 3) ** 16 = 0.00002, less above.
 SIDE, WIDTH = 16, 3
 _SEED = 20
+#: Documents that are indexed together when the rest of a group is looked up.
+BLOCK = 4096
 
 
 def _signatures(size: int, side: int, width: int):
@@ -151,17 +153,72 @@ def minhash_links(nodes: DataFrame, texts: DataFrame, size: int, percent: int, s
     star = stored(star, "minhash-star")
     links = stored(_verified(star, sets, percent), "minhash-links")
 
-    # What is left: pairs in one bucket and in different components. Each has a side outside the hub's component.
-    found = components(links).withColumnRenamed("node", "doc_id")
-    placed = rows.join(found, "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).drop("component")
-    middle = (placed.join(hubs.select("key", F.col("hub.doc_id").alias("doc_id")), ["key", "doc_id"]).select("key", F.col("c").alias("hub_c")))
-    outside = placed.join(middle, "key").where("c != hub_c")
-    x, y = outside.alias("x"), placed.alias("y")
-    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.c") != F.col("y.c"))
-                   & _possible(F.col("x.n"), F.col("x.u"), F.col("y.n"), F.col("y.u"), percent))
-    cross = (cross.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
-             .join(star, ["a", "b"], "left_anti"))
-    return links.union(stored(_verified(cross, sets, percent), "minhash-links"))
+    return links.union(stored(_rest(rows, hubs, links, sets, percent), "minhash-links"))
+
+
+def _rest(rows: DataFrame, hubs: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): verified links between documents that share buckets and are not connected by ``links`` yet.
+
+    Documents that are connected by buckets form a group. In a group of several
+    components, every document outside the largest one is compared with all of
+    the group. Members are dealt to blocks of bounded size and indexed there by
+    shingle, the others are looked up in each block; only links come out.
+    """
+    touching = rows.join(hubs, "key").select(F.col("doc_id").alias("a"), F.col("hub.doc_id").alias("b")).distinct()
+    group = components(touching).select(F.col("node").alias("doc_id"), F.col("component").alias("g"))
+    part = components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("c"))
+    member = stored(group.join(part, "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id")), "minhash-groups")
+    parts = member.groupBy("g", "c").agg(F.count(F.lit(1)).alias("n"))
+    mixed_groups = (parts.groupBy("g").agg(F.max(F.struct("n", "c")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).where("k > 1")
+                    .select("g", F.col("top.c").alias("top"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    member = member.join(mixed_groups, "g").join(sets, "doc_id")
+    dealt = member.select("g", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("query"), "doc_id", "c", "shingles")
+    asked = member.where("c != top").select("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("query"),
+                                            "doc_id", "c", "shingles")
+    kind = sets.schema["doc_id"].dataType.simpleString()
+    both = dealt.union(asked).repartition(shuffle_partitions(rows.sparkSession), "g", "block").sortWithinPartitions("g", "block", "query")
+    return both.mapInArrow(_lookup(percent), f"a {kind}, b {kind}")
+
+
+def _lookup(percent: int):
+    """Reads blocks of members, then the documents to look up in them; writes one link for each component that such a document links to."""
+    def run(batches: Iterator):
+        import pyarrow as pa
+
+        key, ids, parts, held, index, rows = None, [], [], [], None, []
+        kind = None
+        for batch in batches:
+            kind = batch.schema.field("doc_id").type
+            columns = [batch.column(c).to_pylist() for c in ("g", "block", "query", "doc_id", "c")]
+            lists = batch.column("shingles")
+            values, ends = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
+            for k, (g, block, query, doc, c) in enumerate(zip(*columns, strict=True)):
+                found = values[ends[k]:ends[k + 1]]
+                if (g, block) != key:
+                    key, ids, parts, held, index = (g, block), [], [], [], None
+                if not query:
+                    ids.append(doc)
+                    parts.append(c)
+                    held.append(found.copy())
+                    continue
+                if not ids:
+                    continue
+                if index is None:
+                    sizes = np.array([len(h) for h in held])
+                    flat, owner = np.concatenate(held), np.repeat(np.arange(len(held)), sizes)
+                    order = np.argsort(flat, kind="stable")
+                    index = flat[order], owner[order], sizes
+                flat, owner, sizes = index
+                low, high = np.searchsorted(flat, found, "left"), np.searchsorted(flat, found, "right")
+                n = high - low
+                at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+                common = np.bincount(owner[at], minlength=len(ids))
+                linked = {parts[m]: ids[m] for m in np.flatnonzero(100 * common >= percent * (sizes + len(found) - common)) if parts[m] != c}
+                rows += [(min(doc, other), max(doc, other)) for other in linked.values()]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([r[x] for r in rows], kind) for x in (0, 1)], names=["a", "b"])
+                rows = []
+    return run
 
 
 def minhash_dedup(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, side: int = SIDE, width: int = WIDTH) -> DataFrame:
