@@ -46,21 +46,35 @@ def _quantiles(values: DataFrame, columns: list[str], probs: list[float]) -> Dat
                                    F.percentile_approx(c, high, ACCURACY).alias("high")).alias(f"{c}#") for c in columns])
     # One row of bounds goes to every row of the table.
     x = values.crossJoin(F.broadcast(bounds))
-    cells = [(c, k, F.col(f"`{c}#`.low")[k], F.col(f"`{c}#`.high")[k]) for c in columns for k in range(len(probs))]
+    integral = isinstance(values.schema[columns[0]].dataType, T.IntegralType)
+
+    def bound(c: str, side: str, k: int, way: int) -> Column:
+        b = F.col(f"`{c}#`.{side}")[k]
+        # The sketch holds doubles: a long bound is widened by what a double may be off.
+        return b + way * (F.shiftright(F.abs(b), 52) + 1) if integral else b
+
+    cells = [(c, k, bound(c, "low", k, -1), bound(c, "high", k, 1)) for c in columns for k in range(len(probs))]
     named = lambda c, k: (F.lit(c).alias("column_name"), F.lit(k).alias("k"))
 
     inside = F.array_compact(F.array(*[F.when((F.col(c) >= lo) & (F.col(c) <= hi), F.struct(*named(c, k), F.col(c).alias("v"))) for c, k, lo, hi in cells]))
     kept = x.select(F.explode(inside).alias("x")).groupBy("x.column_name", "x.k", "x.v").agg(F.count(F.lit(1)).alias("c"))
-    below = x.agg(*[F.count_if(F.col(c) < lo).alias(f"{c}#{k}") for c, k, lo, _ in cells], *[F.count(c).alias(f"{c}#n") for c in columns])
+    # What lies below the bounds, and the values next to them: a rank between two values may be one step outside.
+    below = x.agg(*[F.struct(F.count_if(F.col(c) < lo).alias("below"), F.max(F.when(F.col(c) < lo, F.col(c))).alias("before"),
+                             F.min(F.when(F.col(c) > hi, F.col(c))).alias("after")).alias(f"{c}#{k}") for c, k, lo, hi in cells],
+                  *[F.count(c).alias(f"{c}#n") for c in columns])
     below = below.select(F.explode(F.array(*[
-        F.struct(*named(c, k), F.lit(float(probs[k])).alias("p"), F.col(f"`{c}#{k}`").alias("below"), F.col(f"`{c}#n`").alias("n"))
+        F.struct(*named(c, k), F.lit(float(probs[k])).alias("p"), F.col(f"`{c}#{k}`").alias("b"), F.col(f"`{c}#n`").alias("n"))
         for c, k, _, _ in cells])).alias("x")).select("x.*")
 
     upto = F.sum("c").over(Window.partitionBy("column_name", "k").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
     ranks = (kept.withColumn("upto", upto).join(F.broadcast(below), ["column_name", "k"])
-             .withColumn("end", F.col("below") + F.col("upto")).withColumn("h", (F.col("n") - 1) * F.col("p")))
+             .withColumn("end", F.col("b.below") + F.col("upto")).withColumn("h", (F.col("n") - 1) * F.col("p")))
     covers = lambda r: (r >= F.col("end") - F.col("c")) & (r < F.col("end"))
-    picked = ranks.groupBy("column_name", "p").agg(F.max(F.when(covers(F.floor("h")), F.col("v"))).alias("lo"),
-                                                   F.max(F.when(covers(F.ceil("h")), F.col("v"))).alias("hi"), F.first("h").alias("h"))
+
+    def at(rank: Column) -> Column:
+        outside = F.when(F.first(rank) >= F.max("end"), F.first("b.after")).otherwise(F.first("b.before"))
+        return F.coalesce(F.max(F.when(covers(rank), F.col("v"))), outside)
+
+    picked = ranks.groupBy("column_name", "p").agg(at(F.floor("h")).alias("lo"), at(F.ceil("h")).alias("hi"), F.first("h").alias("h"))
     frac = F.col("h") - F.floor("h")
     return picked.select("column_name", "p", (F.col("lo").cast("double") + frac * (F.col("hi") - F.col("lo")).cast("double")).alias("quantile"))

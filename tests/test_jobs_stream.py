@@ -92,3 +92,17 @@ def test_feature_stream_matches_batch(spark, tmp_dir):
     a = {tuple(r[k] for k in key): r.ride_count for r in got.collect()}
     b = {tuple(r[k] for k in key): r.ride_count for r in ride_features(rides).collect()}
     assert a == b
+
+
+def test_metrics_follow_their_formulas(spark):
+    from mobilis.operators import model as M
+    train, test, _, cols = M.prepare_features(modeling_dataset(B.rides(spark, SF)), "regression")
+    models = {"LinearRegression": M.estimators("regression")["LinearRegression"].fit(train), "Broken": M.FailedModel("one class")}
+    rows = {(r.model, r.metric): r for r in M.evaluate_models(models, test).collect()}
+    p = models["LinearRegression"].transform(test).select("label", "prediction").toPandas()
+    e = p.label - p.prediction
+    assert abs(rows["LinearRegression", "RMSE"].value - (e ** 2).mean() ** 0.5) < 1e-9
+    assert abs(rows["LinearRegression", "MAE"].value - e.abs().mean()) < 1e-9
+    assert abs(rows["LinearRegression", "R2"].value - (1 - (e ** 2).sum() / ((p.label - p.label.mean()) ** 2).sum())) < 1e-9
+    assert rows["Broken", "R2"].value is None and rows["Broken", "R2"].error == "one class"
+    assert M.model_facts(models, "regression", train).where("model = 'LinearRegression'").first().n_coefficients == len(cols)

@@ -1,6 +1,7 @@
 """Every registered query against its DuckDB oracle on the smallest data set."""
 
 import math
+import re
 
 import duckdb
 import pytest
@@ -11,9 +12,12 @@ SF = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
           "labels conversations").split()
 TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
-         "timestamp_ntz": "TIMESTAMP"}
-SLOW = {"prepare_features", "train_regression", "train_classification", "evaluate_regression",
-        "evaluate_classification", "model_comparison", "feature_importance", "model_insights"}
+         "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN"}
+
+
+def _own(keys) -> set:
+    """Without the training-data operators, which tests/llm covers."""
+    return {k for k in keys if k != "pipeline" and not re.match(r"op\d+_", k)}
 
 
 @pytest.fixture(scope="module")
@@ -42,7 +46,7 @@ def test_entry(spark):
 def test_every_query_has_oracle_or_is_rows_only():
     q, s = queries(), oracle_sql()
     assert set(s) <= set(q)
-    assert len(set(q) - set(s)) <= 12
+    assert len(_own(q) - set(s)) <= 10
 
 
 @pytest.mark.parametrize("key", sorted(set(oracle_sql())))
@@ -58,6 +62,6 @@ def test_query_matches_oracle(spark, con, key):
     assert s == d
 
 
-@pytest.mark.parametrize("key", sorted(set(queries()) - set(oracle_sql()) - SLOW))
+@pytest.mark.parametrize("key", sorted(_own(queries()) - set(oracle_sql())))
 def test_rows_only_queries_run(spark, key):
-    assert queries()[key](spark, SF).count() >= 0
+    assert queries()[key](spark, SF).count() > 0
