@@ -9,7 +9,6 @@ nothing but the bytes.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,7 +24,6 @@ SAMPLE_CHARS = 600
 SPAN = 64
 HIDDEN = 8
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 #: Windows that are computed together.
 BLOCK = 4096
 
@@ -213,7 +211,7 @@ def lang_id(docs: DataFrame, net: Network | None) -> DataFrame:
         for batch in batches:
             for k in range(0, batch.num_rows, 256):  # bounded memory, however long the texts
                 part = batch.slice(k, 256)
-                texts = [t if net is not None and t and _LETTER.search(t) else "" for t in part.column("text").to_pylist()]
+                texts = [t if net is not None and t and any(map(str.isalpha, t)) else "" for t in part.column("text").to_pylist()]
                 if net is None:
                     names, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
                 else:
