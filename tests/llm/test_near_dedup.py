@@ -232,3 +232,24 @@ def test_repeated_passages_edge_tables(spark):
 def test_cut_words():
     assert cut_words("a b\n c  d e", [(1, 3)]) == ("a d e", 2)
     assert cut_words("a b c", [(0, 2), (1, 3)]) == ("", 3) and cut_words(" a b", []) == (" a b", 0) and cut_words("", [(0, 3)]) == ("", 0)
+
+
+def test_buckets_do_not_depend_on_batches():
+    import pyarrow as pa
+
+    from mobilis.llm.substring_dedup import _buckets
+
+    rng = random.Random(12)
+    for _ in range(60):
+        rows = sorted((rng.randint(0, 6) ** 2, rng.randint(0, 30), rng.randint(0, 5)) for _ in range(rng.randint(1, 40)))
+        cuts = sorted(rng.choices(range(len(rows) + 1), k=rng.randint(0, 6)))
+        parts = [rows[a:b] for a, b in zip([0, *cuts], [*cuts, len(rows)], strict=True)]
+        names = ["value", "doc_id", "node"]
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[k] for r in p], pa.int64()) for k in range(3)], names=names) for p in parts]
+        out = [tuple(r.values()) for b in _buckets(names)(iter(batches)) for r in b.to_pylist()]
+        first = {}
+        for v, d, n in rows:
+            first.setdefault(v, (d, n))
+        count = collections.Counter(r[0] for r in rows)
+        want = [(*r, *first[r[0]]) for r in rows if count[r[0]] > 1 or r[0] in (rows[0][0], rows[-1][0])]
+        assert sorted(out) == sorted(want)
