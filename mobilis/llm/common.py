@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows that a Python worker gets at a time where rows are whole texts.
+TEXTS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def text_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs run inside hand Python workers at most ``TEXTS`` rows at a time, which bounds their memory."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(min(TEXTS, int(before)) if int(before) > 0 else TEXTS))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -3,7 +3,7 @@
 A BPE tokenizer never merges across pre-token boundaries, so a text may be cut
 at places that are pre-token boundaries in every context and its pieces encoded
 one by one. Pieces repeat (words), so each Python worker keeps the ids of the
-pieces it has seen, up to ``LIMIT`` of them. A new piece of printable Latin-1
+pieces that it saw last, ``LIMIT`` to twice as many. A new piece of printable Latin-1
 characters is pre-tokenised here, where all Unicode versions agree on letters
 and digits, and its pre-tokens go to the tokenizer's model; any other new piece
 goes through the tokenizer as a whole.
@@ -13,10 +13,11 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Callable, Iterable
 from typing import NamedTuple
 
-LIMIT = 700_000
+LIMIT = 80_000
 
 _ENCODERS: dict[tuple, PieceEncoder] = {}
 _PLAIN = re.compile("[ \n]?[!-~\xa1-\xff]*")
@@ -39,7 +40,7 @@ def byte_letters() -> str:
 
 
 class _Pieces(dict):
-    """Ids of pieces, found when they are first asked for."""
+    """Ids of pieces as 32-bit integers of this machine's (little-endian) order, found when they are first asked for."""
 
     def __init__(self, path: str, cutter: Cutter):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one core per task
@@ -48,31 +49,40 @@ class _Pieces(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model, self.letters, self.cutter = self.tokenizer.model, byte_letters(), cutter
-        self.tokens: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def _token(self, word: str) -> bytes:
-        found = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
-        self.tokens[word] = value = b"".join([t.id.to_bytes(4, "little") for t in found])
-        return value
+    def _ids(self, word: str) -> bytes:
+        """Of one pre-token of plain characters."""
+        if word.isascii() and "\n" not in word:
+            shown = "\u0120" + word[1:] if word[:1] == " " else word  # U+0120 stands for a blank
+        else:
+            shown = word.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
-        tokens = self.tokens
-        if len(tokens) > LIMIT // 2:
-            tokens.clear()
-        if _PLAIN.fullmatch(piece):
+        if piece in self.older:
+            value = self.older[piece]
+        else:
             text = piece.lower() if self.cutter.lower else piece
-            if text[1:].isalpha() and (text[0] == " " or text[0].isalpha()):
-                words = [text]
-            elif text[-1:] in _STOPS and text[1:-1].isalpha() and (text[0] == " " or text[0].isalpha()):
-                words = [text[:-1], text[-1]]
-            else:
+            body = text[1:] if text[:1] == " " else text
+            if body.isascii() and body.isalpha():
+                value = self._ids(text)
+            elif body[-1:] in _STOPS and body[:-1].isascii() and body[:-1].isalpha():
+                value = self[text[:-1]] + self[text[-1]]
+            elif _PLAIN.fullmatch(piece):
                 words = self.cutter.pre_tokens(text)
-            value = b"".join([tokens[w] if w in tokens else self._token(w) for w in words])
-        else:
-            value = b"".join([i.to_bytes(4, "little") for i in self.tokenizer.encode(piece, add_special_tokens=False).ids])
+                value = self._ids(piece) if words == [piece] else b"".join([self[w] for w in words])
+            else:
+                value = array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
         self[piece] = value
         return value
 
+    def age(self) -> None:
+        """Forgets what was not used since the last time, once there is much."""
+        if len(self) > LIMIT:
+            self.older = dict(self)
+            self.clear()
+
 
 class PieceEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes."""
@@ -81,8 +91,7 @@ class PieceEncoder:
         self.cutter, self.known = cutter, _Pieces(path, cutter)
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
-        if len(self.known) > LIMIT:
-            self.known.clear()
+        self.known.age()
         ids = self.known.__getitem__
         return [b"".join(map(ids, self.cutter.pieces(t))) if t else b"" for t in texts]
 

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mobilis.llm.common import shuffle_partitions
+from mobilis.llm.common import shuffle_partitions, text_batches
 from mobilis.llm.token_cache import BYTE_LEVEL, encoder
 
 END_ID = 2
@@ -56,7 +56,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
             .repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), F.xxhash64("_t"))
             .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("_t"))
             .withColumn("part", F.spark_partition_id()))
-    rows.mapInArrow(_encode(tokenizer, end_id), _SCHEMA).write.options(**ORC_OPTIONS).orc(path)
+    with text_batches(docs.sparkSession):
+        rows.mapInArrow(_encode(tokenizer, end_id), _SCHEMA).write.options(**ORC_OPTIONS).orc(path)
 
 
 def read_tokens(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:
