@@ -6,7 +6,7 @@ size. A round is one successor sweep: from the largest size down, pieces take
 the smallest gap that holds them, each gap at most one piece; where more pieces
 than gaps meet, lower ranks win and the rest waits. Then gaps are updated and
 the next sweep follows. When nothing fits any more, new sequences are opened
-for the largest pieces left: a share (``OPEN_SHARE``) of those that the tokens
+for the largest pieces left: a share (one of ``OPEN_SHARES``) of those that the tokens
 left need at least, so that never more are open than a packing needs.
 
 Pieces of one length differ only by rank and gaps of one size only by number, so
@@ -27,12 +27,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mobilis.llm.common import shuffle_partitions, stored
+from mobilis.llm.common import shuffle_partitions, stored, text_batches
 from mobilis.llm.token_cache import LOWER_CASE, encoder
 
 CAPACITY = 2048
 END_ID = 0
-OPEN_SHARE = 0.25
+#: Rounds are cheap, so they are run with each of these shares, and the packing with the fewest sequences is taken.
+OPEN_SHARES = (0.4, 0.25, 0.1, 0.04)
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
@@ -71,11 +72,15 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_t")).mapInArrow(run, T.StructType(fields))
 
 
-def best_fit_rounds(sizes: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
+def best_fit_rounds(sizes: dict[int, int], capacity: int, shares: tuple[float, ...] = OPEN_SHARES) -> list[tuple[int, int, int, int, int]]:
     """Runs (length, first rank, count, first sequence, offset) that place every piece.
 
     ``sizes`` has the number of pieces of each length, 1 to ``capacity``.
     """
+    return min((_rounds(sizes, capacity, share) for share in shares), key=lambda runs: max((r[3] + r[2] for r in runs), default=0))
+
+
+def _rounds(sizes: dict[int, int], capacity: int, share: float) -> list[tuple[int, int, int, int, int]]:
     left = dict(sizes)
     taken: dict[int, int] = defaultdict(int)  # lower ranks are placed first
     gaps: dict[int, deque] = defaultdict(deque)  # free room: runs (first sequence, count)
@@ -104,7 +109,7 @@ def best_fit_rounds(sizes: dict[int, int], capacity: int) -> list[tuple[int, int
                 if not gaps[stack[-1]]:
                     stack.pop()
         if not matched:
-            need = math.ceil(OPEN_SHARE * sum(k * n for k, n in left.items()) / capacity)
+            need = math.ceil(share * sum(k * n for k, n in left.items()) / capacity)
             for size in sorted(left, reverse=True):
                 n = min(need, left[size])
                 matched.append((capacity - size, opened, n))
@@ -126,6 +131,8 @@ def ranked(rows: DataFrame, order: list[str], parts: int) -> DataFrame:
     the totals of the partitions before it.
     """
     keys = [F.col("length").desc(), *(F.col(c).asc_nulls_first() for c in order)]
+    with text_batches(rows.sparkSession):  # rows come from texts, usually
+        rows = stored(rows, "packing-rows")
     dealt = stored(rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id()),
                    "packing-ranks")
     inside = Window.partitionBy("_part", "length").orderBy(*keys[1:])
