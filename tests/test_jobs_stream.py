@@ -2,7 +2,7 @@
 
 import os
 
-from mobilis.operators.rides import preprocess_rides
+from mobilis.operators.rides import modeling_dataset, preprocess_rides
 from mobilis.plans import jobs
 from mobilis.sources import bindings as B
 from mobilis.streaming import rides_stream as RS
@@ -23,7 +23,7 @@ def test_transit_and_ride_jobs(spark, tmp_dir):
 
 def test_profile_job_writes_report(spark, tmp_dir):
     res = jobs.profile_job(B.profile_views(spark, SF), "testcity", tmp_dir)
-    assert res["profile"].count() == 5
+    assert res["profile"].count() == len(B.PROFILE_VIEWS)
     text = spark.read.text(os.path.join(tmp_dir, "testcity_profile_report")).collect()
     assert text[0].value == "EDA Report - TESTCITY"
 
@@ -50,7 +50,6 @@ def test_sink_order(spark):
 
 
 def test_model_job_saves_models(spark, tmp_dir):
-    from mobilis.operators.rides import modeling_dataset
     from pyspark.ml.regression import RandomForestRegressionModel
     out = jobs.model_job(modeling_dataset(B.rides(spark, "/root/testdata/sf0.01")), tmp_dir,
                          os.path.join(tmp_dir, "models"))
