@@ -173,6 +173,43 @@ def test_aligned_finds_similar_stretches():
     assert aligned(left, right[:60], [(60, 40)], 46, 80) == []
 
 
+def _longest_similar(a, b, width, percent):
+    """The longest stretch of b, from a match to a match, that some stretch of a resembles enough."""
+    best = 0
+    for y0 in range(len(b)):
+        for y1 in range(y0 + max(width, best + 1), len(b) + 1):
+            right = set(b[y0:y1])
+            if b[y0] not in a or b[y1 - 1] not in a:
+                continue
+            left = set(a[a.index(b[y0]):a.index(b[y1 - 1]) + 1])
+            if 100 * len(left & right) >= percent * len(left | right):
+                best = y1 - y0
+    return best
+
+
+@pytest.mark.parametrize("inserted", [9, 12, 14])
+@pytest.mark.parametrize("known", [False, True])
+def test_aligned_passes_over_long_insertions(inserted, known):
+    rng = random.Random(inserted)
+    words = _words(rng, 110)
+    phrase = _words(rng, inserted)
+    left = _words(rng, 30) + words + _words(rng, 20) + (phrase if known else [])
+    for x, y in ((left, _words(rng, 25) + words[:55] + phrase + words[55:] + _words(rng, 25)),
+                 (_words(rng, 25) + words[:55] + phrase + words[55:] + _words(rng, 25), left)):  # inserted, then deleted
+        a, b = ([" ".join(w[k:k + 5]) for k in range(len(w) - 4)] for w in (x, y))
+        code = {t: k + 1 for k, t in enumerate(dict.fromkeys(a + b))}
+        hit = (a.index(" ".join(words[20:25])), b.index(" ".join(words[20:25])))
+        spans = aligned(np.array([code[t] for t in a], np.uint64), np.array([code[t] for t in b], np.uint64), [hit], 46, 80)
+        assert max(e - s for s, e, *_ in spans) == _longest_similar(a, b, 46, 80)
+
+
+def test_repeated_passages_with_an_insertion(spark):
+    rng = random.Random(21)
+    p = _words(rng, 91)
+    rows = [(1, " ".join(_words(rng, 40) + p + _words(rng, 40))), (2, " ".join(_words(rng, 30) + p[:45] + _words(rng, 9) + p[45:] + _words(rng, 30)))]
+    assert [(r.doc_id, r.source_doc_id, r.begin, r.end) for r in repeated_passages(spark.createDataFrame(rows, DOCS)).collect()] == [(2, 1, 30, 130)]
+
+
 @pytest.fixture(scope="module")
 def passages():
     rng = random.Random(3)
