@@ -19,9 +19,12 @@ ENDS = {tag: ("p",) for tag in BLOCK_TAGS - frozenset("body button caption html
     "li": ("p", "li"), "dt": ("p", "dt", "dd"), "dd": ("p", "dt", "dd"), "option": ("option",), "optgroup": ("option", "optgroup"),
     "tr": ("p", "td", "th", "tr"), "td": ("p", "td", "th"), "th": ("p", "td", "th"),
     "tbody": ("p", "td", "th", "tr", "thead", "tbody"), "tfoot": ("p", "td", "th", "tr", "thead", "tbody")}
+#: Tags that may stand in head; any other start tag ends an open head, whose end tag may be left out.
+HEAD_TAGS = frozenset("base basefont bgsound head html link meta noframes noscript object script style template title".split())
 STOPPERS = frozenset("article aside blockquote body button details div dl fieldset figure footer form header main nav ol section table ul".split())
 
 _NAME = re.compile(r"[a-z]+")
+_TITLE = re.compile(r"<(/?)title\b", re.IGNORECASE)
 
 
 class Block(NamedTuple):
@@ -34,7 +37,7 @@ class _Reader(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, tuple[str, ...]]] = []
-        self.hidden = self.links = self.linked = 0
+        self.hidden = self.links = self.linked = self.at = 0
         self.parts: list[str] = []
         self.blocks: list[Block] = []
 
@@ -50,7 +53,27 @@ class _Reader(HTMLParser):
             self.links -= tag == "a"
         del self.stack[at:]
 
+    def leave_head(self, tag: str) -> None:
+        """Closes an open head, and a title without an end tag, before a tag that may not stand in them."""
+        for k in range(len(self.stack) - 1, -1, -1):
+            name = self.stack[k][0]
+            if name == "title":
+                end = _TITLE.search(self.rawdata, self.at + 1)
+                if tag not in BLOCK_TAGS or end and end[1]:  # tags are plain text in a title that ends
+                    return
+                self.pop_to(k)
+            elif name in HIDDEN_TAGS:
+                if name == "head":
+                    self.pop_to(k)
+                return
+
+    def parse_starttag(self, i):
+        self.at = i
+        return super().parse_starttag(i)
+
     def handle_starttag(self, tag, attrs):
+        if self.hidden and tag not in HEAD_TAGS:
+            self.leave_head(tag)
         if tag in BLOCK_TAGS:
             self.flush()
             ends = ENDS.get(tag, ())
@@ -83,6 +106,8 @@ class _Reader(HTMLParser):
                 break
 
     def handle_data(self, data):
+        if self.hidden and self.stack[-1][0] == "head" and data.strip():
+            self.pop_to(len(self.stack) - 1)
         if not self.hidden:
             self.parts.append(data)
             if self.links:

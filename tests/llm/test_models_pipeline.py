@@ -104,6 +104,17 @@ def test_extraction_of_a_whole_page(field):
         "Second paragraph, which is not closed and long enough to read like one, too.", "One point here", "Another point there"]
 
 
+def test_head_needs_no_end_tag(field):
+    assert hx.main_text(PAGE.replace("</head>", ""), field) == hx.main_text(PAGE, field) != ""
+    shown = lambda html: [b.text for b in blocks(html)]
+    assert shown("<html><head><title>T</title><body><article><p>One<p>Two</article>") == ["One", "Two"]
+    assert shown("<head><title>T</title><meta charset=x><link rel=y><script>s</script><style>t</style><noscript><p>n</p></noscript><p>One") == ["One"]
+    assert shown("<head><title>T</title>\n<a href=x>One</a> two") == ["One two"] and shown("<head><title>T</title>One<p>Two") == ["One", "Two"]
+    # A title without an end, and tags inside one that has an end.
+    assert shown("<head><title>T<body><p>One<svg><title>x</title></svg>") == ["One"] and shown("<title>T<p>One") == ["One"]
+    assert shown("<head><title>About <b> and <p> tags</title></head><body><p>One") == ["One"]
+
+
 def test_extraction_edges(spark, field):
     rows = [(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (3, "u", ""), (None, "u", "<p>"), (5, "u", "<script>never closed <p>x</p>"), (6, "u", "<b" * 50)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash")).withColumn("n_chars", F.lit(1))
