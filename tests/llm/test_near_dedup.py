@@ -266,6 +266,55 @@ def test_repeated_passages_edge_tables(spark):
     assert [(r.doc_id, r.source_doc_id, r.begin, r.end) for r in rows] == [(3, 2, 0, 500)]
 
 
+def test_similar_stretches_share_a_run():
+    from mobilis.llm.substring_dedup import run_length
+
+    assert run_length(5, 46, 80) == 12
+    # The fewest breaks and matches that bound allows: 3 breaks of 4 unmatched shingles each take 48 matches, 12 a run.
+    assert min(-(-max(37, 16 * e) // (e + 1)) for e in range(1, 50)) == 12
+
+
+def test_repeated_passages_that_meet_no_hub(spark):
+    """Groups of three: the first leads the buckets, the third has the second's version, and a passage that only these two have."""
+    rng, rows = random.Random(31), []
+    for g in range(0, 300, 10):
+        p = _words(rng, 60)
+        changed = list(p)
+        changed[20], changed[40] = "x1", "x2"
+        q = _words(rng, 55)
+        rows += [(g + 1, " ".join(_words(rng, 40) + p)), (g + 2, " ".join(_words(rng, 30) + changed + _words(rng, 20) + q)),
+                 (g + 3, " ".join(changed + _words(rng, 35) + q))]
+    found = {(r.doc_id, r.source_doc_id, r.begin, r.end) for r in repeated_passages(spark.createDataFrame(rows, DOCS)).collect()}
+    assert found == {(g + 3, g + 2, *span) for g in range(0, 300, 10) for span in ((0, 60), (95, 150))}
+
+
+@pytest.mark.parametrize("seed", [7, 17])
+def test_a_round_without_spans_is_not_the_end(spark, seed):
+    rng = random.Random(seed)
+    p = _words(rng, 60)
+    changed = list(p)
+    changed[20], changed[40] = "x1", "x2"
+    rows = [(1, " ".join(_words(rng, 40) + p)), (2, " ".join(_words(rng, 30) + changed + _words(rng, 20))), (3, " ".join(changed + _words(rng, 35)))]
+    assert [tuple(r) for r in repeated_passages(spark.createDataFrame(rows, DOCS)).select("doc_id", "source_doc_id", "begin", "end").collect()] == [(3, 2, 0, 60)]
+
+
+def test_listed_spans_stay_sources(spark):
+    """The second is listed for the first; the third is similar to the second's passage, not enough to the first's."""
+    rng, rows = random.Random(32), []
+    for g in range(0, 300, 10):
+        p = _words(rng, 100)
+        second, third = list(p), list(p)
+        second[30] = third[30] = "x1"
+        third[60] = third[90] = "x2"  # 85 of 105 shared with the second, 86 of 114 or so with the first
+        third[10] = second[10] = "x3"
+        rows += [(g + 1, " ".join(_words(rng, 40) + p)), (g + 2, " ".join(_words(rng, 30) + second + _words(rng, 20))), (g + 3, " ".join(third + _words(rng, 35)))]
+    spans = collections.defaultdict(set)
+    for r in repeated_passages(spark.createDataFrame(rows, DOCS)).collect():
+        spans[r.doc_id].update(range(r.begin, r.end))
+    for g in range(0, 300, 10):
+        assert set(range(30, 130)) <= spans[g + 2] and len(spans[g + 3] & set(range(100))) >= 90, g
+
+
 def test_cut_words():
     assert cut_words("a b\n c  d e", [(1, 3)]) == ("a d e", 2)
     assert cut_words("a b c", [(0, 2), (1, 3)]) == ("", 3) and cut_words(" a b", []) == (" a b", 0) and cut_words("", [(0, 3)]) == ("", 0)
