@@ -71,3 +71,70 @@ WITH RECURSIVE d AS (
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
 FROM root LEFT JOIN c USING (doc_id)
 """
+
+ORACLE_SQL["op11_warc"] = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages
+), r AS (
+  SELECT *, max(page_id) OVER (PARTITION BY t) AS last FROM p
+)
+SELECT page_id, octet_length(encode(t))::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         (((('0x' || substr(h, 5 * (i // 4) + 1, 5))::INTEGER >> (15 - 5 * (i % 4))::INTEGER) & 31) + 1)::BIGINT, 1)), '') AS payload_digest,
+       CASE WHEN page_id IS NOT DISTINCT FROM last THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM last THEN last END AS refers_to
+FROM r
+"""
+
+ORACLE_SQL["op13_collocations"] = r"""
+WITH p AS (
+  SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+        FROM documents)
+), q AS MATERIALIZED (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p
+), w AS MATERIALIZED (
+  SELECT lang, row_number() OVER () AS d, ws FROM q WHERE len(ws) > 0
+), o AS MATERIALIZED (
+  SELECT lang, d, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS word FROM w
+), x AS MATERIALIZED (
+  SELECT lang, word AS w1, lead(word, 1) OVER s AS w2, lead(word, 2) OVER s AS w3, lead(word, 3) OVER s AS w4
+  FROM o WINDOW s AS (PARTITION BY d ORDER BY i)
+), f AS MATERIALIZED (
+  SELECT lang, 1 AS k, w1 AS phrase, w1, '' AS w2, '' AS w3, '' AS w4, count(*) AS a FROM x GROUP BY ALL
+  UNION ALL
+  SELECT lang, 2, w1 || ' ' || w2, w1, w2, '', '', count(*) FROM x WHERE w2 IS NOT NULL GROUP BY ALL
+  UNION ALL
+  SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3, w1, w2, w3, '', count(*) FROM x WHERE w3 IS NOT NULL GROUP BY ALL
+  UNION ALL
+  SELECT lang, 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4, w1, w2, w3, w4, count(*) FROM x WHERE w4 IS NOT NULL GROUP BY ALL
+), n AS MATERIALIZED (
+  SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang
+), c AS MATERIALIZED (
+  SELECT * FROM f WHERE k > 1 AND a >= 30
+), parts AS MATERIALIZED (
+  SELECT lang, phrase, k, a, 1 AS j, w1 AS head, ltrim(w2 || ' ' || w3 || ' ' || w4) AS tail FROM c
+  UNION ALL
+  SELECT lang, phrase, k, a, 2, w1 || ' ' || w2, w3 || ' ' || w4 FROM c WHERE k > 2
+  UNION ALL
+  SELECT lang, phrase, k, a, 3, w1 || ' ' || w2 || ' ' || w3, w4 FROM c WHERE k > 3
+), cut AS MATERIALIZED (
+  SELECT t.lang, t.phrase, t.k, t.a, t.j, x.a AS l, y.a AS r, (2000000::HUGEINT * t.a // (x.a + y.a))::BIGINT AS score
+  FROM parts t JOIN f x ON x.lang = t.lang AND x.phrase = t.head JOIN f y ON y.lang = t.lang AND y.phrase = rtrim(t.tail, ' ')
+), lowest AS MATERIALIZED (
+  SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1
+), part AS MATERIALIZED (
+  SELECT lang, a, unnest([w1 || ' ' || w2, w2 || ' ' || w3]) AS phrase FROM c WHERE k = 3
+  UNION ALL
+  SELECT lang, a, unnest([w1 || ' ' || w2, w2 || ' ' || w3, w3 || ' ' || w4, w1 || ' ' || w2 || ' ' || w3, w2 || ' ' || w3 || ' ' || w4])
+  FROM c WHERE k = 4
+), longer AS MATERIALIZED (
+  SELECT lang, phrase, max(a) AS a FROM part GROUP BY lang, phrase
+)
+SELECT lang, rank, phrase, a, l, r, n, score
+FROM (SELECT o.lang, o.phrase, o.a, o.l, o.r, n.n, o.score,
+             row_number() OVER (PARTITION BY o.lang ORDER BY o.score DESC, o.a DESC, o.phrase) AS rank
+      FROM lowest o JOIN n USING (lang) LEFT JOIN longer g ON g.lang = o.lang AND g.phrase = o.phrase
+      WHERE g.a IS NULL OR 100::HUGEINT * g.a < 80::HUGEINT * o.a)
+WHERE rank <= 2000
+"""

@@ -8,10 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mobilis.llm import bpe_codec, html_extract, lang_id, oracle, packing, token_output
-from mobilis.llm.common import table
+from mobilis.llm import bpe_codec, html_extract, lang_id, oracle, packing, token_output, warc
+from mobilis.llm.collocations import collocations
+from mobilis.llm.common import let, table, words
 from mobilis.llm.exact_dedup import exact_dedup
 from mobilis.llm.minhash_dedup import minhash_dedup
+from mobilis.llm.periodic_runs import periodic_runs
 from mobilis.llm.quality_rules import quality_rules
 from mobilis.llm.substring_dedup import repeated_passages
 from mobilis.llm.suffix_dedup import suffix_dedup
@@ -85,3 +87,42 @@ def op4_lang_id(spark, sf_dir):
 @register
 def op9_html_extract(spark, sf_dir):
     return html_extract.html_extract(table(spark, sf_dir, "pages"), html_extract.train())
+
+
+@register
+def op11_warc(spark, sf_dir):
+    path = scratch_path(spark, "warc-files")
+    warc.write_warc(table(spark, sf_dir, "pages"), path)
+    return warc.read_warc(spark, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@register
+def op12_periodic_runs(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = periodic_runs(docs, planted_periods(F.col("doc_id"), F.col("text")))
+    longest = F.array_min(F.transform("runs", lambda x: F.struct((-x["length"]).alias("l"), x["start"].alias("start"), x["period"].alias("period"))))
+    lines = F.transform("runs", lambda x: F.concat(F.concat_ws(",", x["start"], x["length"], x["period"]), F.lit("\n")))
+    length = -longest["l"]
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest["start"].alias("start"), length.alias("length"),
+                        longest["period"].alias("period"), F.floor(1000 * length / longest["period"]).alias("exponent_milli"),
+                        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def planted_periods(doc_id, text):
+    """The text, for one id in ten with its words from one on repeated with a period, both by the id's checksum."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def planted(w):
+        n = F.size(w)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        place = F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)
+        return F.array_join(F.transform(place, lambda i: F.get(w, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))), " ")
+
+    return F.when((h % 10 == 0) & (F.size(words(text)) > 0), let(words(text), planted)).otherwise(text)
+
+
+@register
+def op13_collocations(spark, sf_dir):
+    return collocations(table(spark, sf_dir, "documents"))
