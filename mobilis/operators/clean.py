@@ -21,8 +21,11 @@ def clean_stops(stops: DataFrame) -> DataFrame:
     return one_row_per_key(stops, city_keys(stops) + ["stop_id"])
 
 
+def present_stop_times(stop_times: DataFrame) -> DataFrame:
+    """Rows with trip_id, stop_id and arrival_time."""
+    return stop_times.where(F.col("trip_id").isNotNull() & F.col("stop_id").isNotNull() & F.col("arrival_time").isNotNull())
+
+
 def clean_stop_times(stop_times: DataFrame, malformed: str = "midnight") -> DataFrame:
     """Drop rows missing trip_id, stop_id or arrival_time (no dedup), then parse times."""
-    kept = stop_times.where(F.col("trip_id").isNotNull() & F.col("stop_id").isNotNull()
-                            & F.col("arrival_time").isNotNull())
-    return parse_service_time(kept, "arrival_time", "arrival", malformed)
+    return parse_service_time(present_stop_times(stop_times), "arrival_time", "arrival", malformed)

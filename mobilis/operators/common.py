@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +34,23 @@ def one_row_per_key(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Equi-join on the tenant keys; frames without keys are joined on a constant."""
+    """Equi-join on the tenant keys; without keys ``right`` is a single row that goes to every row of ``left``."""
     if keys:
         return left.join(right, keys, how)
-    return (left.withColumn("_g", F.lit(0)).join(right.withColumn("_g", F.lit(0)), ["_g"], how)
-                .drop("_g"))
+    if how not in ("inner", "left"):
+        raise ValueError("without keys only a single row can be joined")
+    return left.crossJoin(F.broadcast(right.limit(1)))
+
+
+def side_by_side(frames: list[DataFrame], keys: list[str]) -> DataFrame:
+    """Frames with one row per key merged into one row per key (the meaning of full outer joins; null keys are equal).
+
+    The frames have disjoint value columns, so union them by name and keep,
+    per key and column, the single non-null value: one shuffle instead of a
+    join chain. ``max`` picks it deterministically.
+    """
+    cols = []
+    for f in frames:
+        cols += [c for c in f.columns if c not in keys and c not in cols]
+    u = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return u.groupBy(*keys).agg(*[F.max(c).alias(c) for c in cols])

@@ -34,8 +34,7 @@ def histogram(df: DataFrame, value: str, bins: int, keys: list[str] | None = Non
     rng = rng.withColumn("_step", (F.col("_hi") - F.col("_lo")) / F.lit(float(bins)))
     lo, hi, step = F.col("_lo"), F.col("_hi"), F.col("_step")
 
-    # One range row per group (a city, or the whole table): small.
-    x = join_keys(data, F.broadcast(rng), keys)
+    x = join_keys(data, rng, keys)
     norm = F.lit(float(bins)) / (hi - lo)
     i0 = F.floor((F.col("_v") - lo) * norm).cast("int")
     i1 = F.when(i0 >= bins, F.lit(bins - 1)).otherwise(i0)
@@ -89,8 +88,7 @@ def box_stats(df: DataFrame, value: str, keys: list[str] | None = None) -> DataF
                               F.percentile(v, 0.75).alias("q3"))
     q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
     q = q.withColumns({"_lo": F.col("q1") - 1.5 * F.col("iqr"), "_hi": F.col("q3") + 1.5 * F.col("iqr")})
-    # One quartile row per group.
-    j = join_keys(df.select(*keys, v.alias("_v")), F.broadcast(q), keys)
+    j = join_keys(df.select(*keys, v.alias("_v")), q, keys)
     inside = (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))
     w = j.groupBy(*keys).agg(F.min(F.when(inside, F.col("_v"))).alias("whisker_low"),
                              F.max(F.when(inside, F.col("_v"))).alias("whisker_high"),

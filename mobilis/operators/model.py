@@ -15,23 +15,32 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import datetime, timezone
+from functools import reduce
 
 from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import (BinaryClassificationEvaluator, MulticlassClassificationEvaluator,
-                                   RegressionEvaluator)
+from pyspark.ml.classification import (GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel,
+                                       RandomForestClassificationModel, RandomForestClassifier)
 from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import (GBTRegressionModel, GBTRegressor, LinearRegression, LinearRegressionModel,
+                                   RandomForestRegressionModel, RandomForestRegressor)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mobilis import constants as K
+from mobilis.operators.metrics import classification_metrics, regression_metrics
 from mobilis.operators.rides import surge_label
+from mobilis.session import scratch_path
 
 SEED = 42
+#: The class that loads each saved model.
+SAVED = {
+    "LinearRegression": LinearRegressionModel, "RandomForestRegressor": RandomForestRegressionModel,
+    "GradientBoostingRegressor": GBTRegressionModel, "LogisticRegression": LogisticRegressionModel,
+    "RandomForestClassifier": RandomForestClassificationModel, "GradientBoostingClassifier": GBTClassificationModel,
+}
 KEY_COLUMNS = ["city", "hour_of_day", "is_weekend"]
 
 
@@ -106,43 +115,50 @@ def train_models(train: DataFrame, problem_type: str = "regression") -> dict:
     return {name: fitted(est) for name, est in estimators(problem_type).items()}
 
 
-def model_facts(models: dict, problem_type: str, train: DataFrame) -> DataFrame:
-    """One row per estimator: features, trees, coefficients, the training error or R2's base metric, and the error if it failed."""
-    metric, ev = next(iter(evaluators(problem_type).items()))
-    rows = []
-    for name, m in models.items():
-        failed = isinstance(m, FailedModel)
-        rows.append((name, problem_type, None if failed else int(m.numFeatures), getattr(m, "getNumTrees", None),
-                     None if not hasattr(m, "coefficients") else len(m.coefficients), f"train_{metric}",
-                     None if failed else float(ev.evaluate(m.transform(train))), m.error if failed else None))
-    return train.sparkSession.createDataFrame(rows, "model string, problem_type string, n_features int, n_trees int, "
-                                              "n_coefficients int, metric string, value double, error string")
+def predictions(models: dict, data: DataFrame, problem_type: str = "regression") -> tuple[DataFrame | None, dict[str, str]]:
+    """(model, keys..., label, prediction, score) of every row and model that can score it, and the errors of the others.
 
+    Each model's rows are written before the next is asked, so that one that
+    fails does so alone. ``score`` is the raw score of label 1 in
+    classification, else the prediction.
+    """
+    spark, parts, errors = data.sparkSession, [], {}
+    keys = [c for c in KEY_COLUMNS if c in data.columns]
+    for name, model in models.items():
+        if isinstance(model, FailedModel):
+            errors[name] = model.error
+            continue
+        path = scratch_path(spark, f"predictions-{name}")
+        try:
+            rows = model.transform(data)
+            score = F.col("prediction") if problem_type == "regression" else vector_to_array("rawPrediction")[1]
+            rows.select(F.lit(name).alias("model"), *keys, "label", "prediction", score.alias("score")).write.parquet(path)
+            parts.append(spark.read.parquet(path))
+        except (PySparkException, Py4JError) as e:
+            errors[name] = _message(e)
+    return (reduce(DataFrame.unionByName, parts) if parts else None), errors
 
-def evaluators(problem_type: str) -> dict:
-    if problem_type == "regression":
-        return {"RMSE": RegressionEvaluator(labelCol="label", metricName="rmse"),
-                "MAE": RegressionEvaluator(labelCol="label", metricName="mae"),
-                "R2": RegressionEvaluator(labelCol="label", metricName="r2")}
-    return {
-        "AUC": BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction",
-                                             metricName="areaUnderROC"),
-        "Accuracy": MulticlassClassificationEvaluator(labelCol="label", metricName="accuracy"),
-        "F1": MulticlassClassificationEvaluator(labelCol="label", metricName="f1"),
-    }
+
+METRICS = {"regression": ["RMSE", "MAE", "R2"], "classification": ["AUC", "Accuracy", "F1"]}
 
 
 def evaluate_models(models: dict, test: DataFrame, problem_type: str = "regression") -> DataFrame:
-    """(model, metric, value, error) rows; where there is no value, the error says why."""
-    def score(model, evaluator):
-        if isinstance(model, FailedModel):
-            return None, model.error
-        try:
-            return float(evaluator.evaluate(model.transform(test))), None
-        except (PySparkException, Py4JError) as e:
-            return None, _message(e)
-    rows = [(name, metric, *score(model, ev)) for name, model in models.items() for metric, ev in evaluators(problem_type).items()]
-    return test.sparkSession.createDataFrame(rows, "model string, metric string, value double, error string")
+    """(model, metric, value, error) rows from stored predictions; where there is no value, the error says why."""
+    scored, errors = predictions(models, test, problem_type)
+    measure = regression_metrics if problem_type == "regression" else classification_metrics
+    failed = [(name, metric, None, error) for name, error in errors.items() for metric in METRICS[problem_type]]
+    out = test.sparkSession.createDataFrame(failed, "model string, metric string, value double, error string")
+    return out if scored is None else measure(scored, ["model"]).withColumn("error", F.lit(None).cast("string")).unionByName(out)
+
+
+def model_facts(models: dict, problem_type: str, train: DataFrame) -> DataFrame:
+    """One row per estimator: features, trees, coefficients, a metric on the training rows, and the error if it failed."""
+    metric = METRICS[problem_type][0]
+    rows = [(name, problem_type, None if isinstance(m, FailedModel) else int(m.numFeatures), getattr(m, "getNumTrees", None),
+             None if not hasattr(m, "coefficients") else len(m.coefficients)) for name, m in models.items()]
+    facts = train.sparkSession.createDataFrame(rows, "model string, problem_type string, n_features int, n_trees int, n_coefficients int")
+    scores = evaluate_models(models, train, problem_type).where(F.col("metric") == metric)
+    return facts.join(scores.withColumn("metric", F.concat(F.lit("train_"), "metric")), "model")
 
 
 def save_models(models: dict, problem_type: str, root: str) -> list[str]:
@@ -157,6 +173,18 @@ def save_models(models: dict, problem_type: str, root: str) -> list[str]:
     return paths
 
 
+def load_models(spark: SparkSession, problem_type: str, root: str) -> dict:
+    """The models that ``save_models`` left under ``root``, in training order; a missing one is a FailedModel."""
+    out = {}
+    for name in estimators(problem_type):
+        path = f"{root.rstrip('/')}/{problem_type}_{name.lower()}"
+        try:
+            out[name] = SAVED[name].load(path)
+        except (PySparkException, Py4JError) as e:
+            out[name] = FailedModel(_message(e))
+    return out
+
+
 def model_comparison(results: DataFrame, problem_type: str) -> DataFrame:
     """Evaluation rows tagged with the problem type and the run time."""
     now = datetime.now(timezone.utc).replace(tzinfo=None).isoformat()
@@ -199,7 +227,39 @@ def model_insights(modeling: DataFrame, importance: DataFrame | None, problem_ty
     return out
 
 
-def feature_rows(processed: DataFrame) -> DataFrame:
-    """Processed rows with the scaled vector as an array (for inspection and checks)."""
+def feature_rows(processed: DataFrame, names: list[str]) -> DataFrame:
+    """Processed rows with one column per scaled feature."""
+    values = vector_to_array("scaled_features")
     return processed.select(*[c for c in KEY_COLUMNS if c in processed.columns], "label",
-                            vector_to_array("scaled_features").alias("scaled_features"))
+                            *[values[i].alias(f"scaled_{n}") for i, n in enumerate(names)])
+
+
+def normal_equations(rows: DataFrame, features: list[str], label: str = "label") -> DataFrame:
+    """(i, j, mean_product) of the features, the constant 1 and the label: all that a linear fit reads of the rows.
+
+    One aggregate of products, whatever the number of rows; its result merges
+    over partitions like any sum. The last place is the label, the one before
+    it the constant.
+    """
+    x = [F.col(f).cast("double") for f in features] + [F.lit(1.0), F.col(label).cast("double")]
+    cells = [(i, j) for i in range(len(x)) for j in range(i, len(x))]
+    one = rows.agg(*[F.avg(x[i] * x[j]).alias(f"p{i}_{j}") for i, j in cells])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"p{i}_{j}").alias("mean_product"))
+                                          for i, j in cells])).alias("x")).select("x.*")
+
+
+def solve_linear(equations: DataFrame, n_features: int) -> list[float]:
+    """Coefficients and intercept of least squares; of features that depend on others the smallest ones.
+
+    A matrix of (features + 2) squared numbers is solved on the driver.
+    """
+    import numpy as np
+
+    size = n_features + 2
+    m = np.zeros((size, size))
+    for r in equations.collect():
+        m[r.i, r.j] = m[r.j, r.i] = r.mean_product
+    mean, means = m[-2, -1], m[-2, :-2]
+    centred = m[:-2, :-2] - np.outer(means, means)
+    weights = np.linalg.lstsq(centred, m[:-2, -1] - means * mean, rcond=1e-12)[0]
+    return [*weights.tolist(), float(mean - means @ weights)]

@@ -16,9 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mobilis.constants import WEEKDAY_COLUMNS
-from mobilis.operators.quantiles import column_quantiles, usable
+from mobilis.operators.quantiles import Scanned, outliers, quantiles, scan, usable
 
 KEYS = ["table_name", "column_name"]
+#: Distance of the outlier fences from the quartiles, in interquartile ranges.
+FENCES = 1.5
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
@@ -65,40 +67,41 @@ def table_schema(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 
-
-
-def _per_column(df: DataFrame, table: str, aggregates: dict[str, Callable[[str], Column]], beside: DataFrame | None = None) -> DataFrame:
-    """(table_name, column_name, one column per aggregate) over the numeric columns, from one aggregate row.
-
-    ``beside`` is a single row whose columns the aggregates may use.
-    """
+def _per_column(df: DataFrame, table: str, aggregates: dict[str, Callable[[str], Column]]) -> DataFrame:
+    """(table_name, column_name, one column per aggregate) over the numeric columns, from one aggregate row."""
     columns = numeric_columns(df)
     values = df.select(*[usable(df, c).alias(c) for c in columns])
-    values = values if beside is None else values.crossJoin(F.broadcast(beside))
     one = values.agg(*[F.struct(*[f(c).alias(n) for n, f in aggregates.items()]).alias(c) for c in columns])
     rows = F.array(*[F.struct(F.lit(table).alias("table_name"), F.lit(c).alias("column_name"), *[F.col(f"`{c}`.{n}").alias(n) for n in aggregates])
                      for c in columns])
     return one.select(F.explode(rows).alias("_r")).select("_r.*")
 
 
-def _quartiles(df: DataFrame, table: str, probs: dict[str, float]) -> DataFrame:
-    q = column_quantiles(df, numeric_columns(df), list(probs.values()))
-    return q.groupBy(F.lit(table).alias("table_name"), "column_name").agg(
-        *[F.max(F.when(F.col("p") == float(p), F.col("quantile"))).alias(name) for name, p in probs.items()])
+def _numeric(tables: dict[str, DataFrame]) -> dict[str, list[str]]:
+    return {t: numeric_columns(df) for t, df in tables.items()}
+
+
+def _by_name(found: Scanned, probs: dict[str, float]) -> DataFrame:
+    """(table_name, column_name, one column per quantile)."""
+    q = quantiles(found, list(probs.values()))
+    return q.groupBy(*KEYS).agg(*[F.max(F.when(F.col("p") == p, F.col("quantile"))).alias(name) for name, p in probs.items()])
 
 
 def numeric_stats(tables: dict[str, DataFrame]) -> DataFrame | None:
-    """count, mean, sample std, min, 25/50/75% (linear), max per numeric column with a value."""
-    parts = []
-    for t, df in tables.items():
-        if not numeric_columns(df):
-            continue
-        first = _per_column(df, t, {
-            "n": F.count, "mean": F.avg, "std": F.stddev_samp, "min_value": lambda c: F.min(c).cast("double"),
-            "max_value": lambda c: F.max(c).cast("double")})
-        # One quartile row per column of the table.
-        parts.append(first.where("n > 0").join(F.broadcast(_quartiles(df, t, {"q25": 0.25, "q50": 0.5, "q75": 0.75})), KEYS, "left"))
-    return _union(parts).select(*KEYS, "n", "mean", "std", "min_value", "q25", "q50", "q75", "max_value") if parts else None
+    """count, mean, sample std, min, 25/50/75% (linear), max per numeric column with a value; two scans a table."""
+    if not any(_numeric(tables).values()):
+        return None
+    spark = next(iter(tables.values())).sparkSession
+    probs = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+    found = scan(tables, _numeric(tables), list(probs.values()))
+    rows = [(r.table_name, r.column_name, r.n, r.mean, r.std, float(r.leastl if r.whole else r.leastd), float(r.mostl if r.whole else r.mostd))
+            for r in (found.stats if found else [])]
+    plain = spark.createDataFrame(rows, "table_name string, column_name string, n bigint, mean double, std double, min_value double, max_value double")
+    if found is None:
+        return plain.select(*KEYS, "n", "mean", "std", "min_value", *[F.lit(None).cast("double").alias(q) for q in probs], "max_value")
+    # One row a column on either side.
+    return (plain.join(F.broadcast(_by_name(found, probs)), KEYS)
+            .select(*KEYS, "n", "mean", "std", "min_value", "q25", "q50", "q75", "max_value"))
 
 
 def missing_values(tables: dict[str, DataFrame]) -> DataFrame:
@@ -135,21 +138,15 @@ def sign_issues(tables: dict[str, DataFrame]) -> DataFrame | None:
 
 
 def outlier_issues(tables: dict[str, DataFrame]) -> DataFrame | None:
-    """The same for outliers: values outside Q1 - 1.5 IQR .. Q3 + 1.5 IQR; a value on the fence is none."""
-    parts = []
-    for t, df in tables.items():
-        if not numeric_columns(df):
-            continue
-        spread = F.col("q3") - F.col("q1")
-        fences = _quartiles(df, t, {"q1": 0.25, "q3": 0.75}).select("column_name", F.struct(
-            (F.col("q1") - 1.5 * spread).alias("lo"), (F.col("q3") + 1.5 * spread).alias("hi")).alias("f"))
-        row = fences.agg(F.map_from_entries(F.collect_list(F.struct("column_name", "f"))).alias("_fences"))
-
-        def outside(c: str) -> Column:
-            fence = F.element_at("_fences", F.lit(c))
-            return F.count_if((F.col(c) < fence["lo"]) | (F.col(c) > fence["hi"]))
-        parts.append(_per_column(df, t, {"outliers": outside}, row))
-    return _union(parts).unpivot(KEYS, ["outliers"], "issue", "count").where(F.col("count") > 0) if parts else None
+    """The same for outliers: values outside Q1 - 1.5 IQR .. Q3 + 1.5 IQR; a value on the fence is none. Two scans a table."""
+    if not any(_numeric(tables).values()):
+        return None
+    found = scan(tables, _numeric(tables), [0.25, 0.75], FENCES)
+    if found is None:
+        spark = next(iter(tables.values())).sparkSession
+        return spark.createDataFrame([], "table_name string, column_name string, issue string, count bigint")
+    counted = outliers(found, _by_name(found, {"q1": 0.25, "q3": 0.75}), FENCES)
+    return counted.select(*KEYS, F.lit("outliers").alias("issue"), F.col("outliers").alias("count")).where(F.col("count") > 0)
 
 
 def quality_issues(tables: dict[str, DataFrame]) -> DataFrame | None:

@@ -8,8 +8,6 @@ rules draw noise or bad weather, an optional input column supplies it.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,21 +36,60 @@ def straight_distance(df: DataFrame, out: str = "straight_km") -> DataFrame:
     return df.withColumn(out, haversine_km("start_lat", "start_lon", "end_lat", "end_lon"))
 
 
+def area_table(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(K.SURGE_AREAS, "city string, lat double, lon double, radius_km double, multiplier double")
+
+
+#: Columns of the grid around the earth: cells of 0.05 degrees, about 5.5 km from south to north.
+GRID_COLUMNS = 7200
+
+
+def area_cells(areas: DataFrame, columns: int = GRID_COLUMNS) -> DataFrame:
+    """(city, cell_y, cell_x, areas): per grid cell the areas (lat, lon, radius_km, multiplier) that reach into it.
+
+    ``areas`` has city, lat, lon, radius_km and multiplier. The cells of an
+    area are those of its bounding box; a box around a pole or across the date
+    line is followed. Areas with a null or no positive radius reach nowhere.
+    """
+    size = 360.0 / columns
+    reach = F.col("radius_km") / F.lit(K.EARTH_RADIUS_KM)
+    dlat = F.degrees(reach) + 1e-9
+    south, north = F.col("lat") - dlat, F.col("lat") + dlat
+    wide = (north >= 90) | (south <= -90) | (reach >= 1.5)
+    dlon = F.when(wide, 180.0).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), F.sin(reach) / F.cos(F.radians("lat"))))) + 1e-9)
+    row = lambda x: F.floor(x / size).cast("int")
+    rows = F.sequence(row(F.greatest(south, F.lit(-90.0))), row(F.least(north, F.lit(90.0))))
+    first, last = row(F.col("lon") - dlon + 180), row(F.col("lon") + dlon + 180)
+    across = F.sequence(first, F.least(last, first + F.lit(columns - 1)))
+    cells = areas.where("radius_km > 0").withColumn("cell_y", F.explode(rows)).withColumn("_x", F.explode(across))
+    cells = cells.withColumn("cell_x", F.pmod("_x", F.lit(columns)))
+    area = F.struct("lat", "lon", "radius_km", "multiplier")
+    return cells.groupBy("city", "cell_y", "cell_x").agg(F.sort_array(F.collect_list(area)).alias("areas"))
+
+
 def area_surge(df: DataFrame, lat: str = "start_lat", lon: str = "start_lon", city: str = "city",
-               out: str = "area_surge") -> DataFrame:
+               out: str = "area_surge", areas: DataFrame | None = None, columns: int = GRID_COLUMNS) -> DataFrame:
     """Sum over the city's surge areas within radius of multiplier * (1 - d / radius).
 
-    The areas are a handful of fixed values, so the sum is written out: one
-    conditional term per area, no join and no shuffle. A city without areas
-    scores 0; a point exactly on the radius adds 0.
+    ``areas`` are the fixed ones unless given. They lie in a grid: a row is
+    joined to its cell by equality and measured against the areas that reach
+    into that cell, so its cost does not grow with the number of areas. A city
+    without areas, and a row without a place, scores 0; a point exactly on the
+    radius adds 0.
     """
-    def term(area: tuple) -> Column:
-        name, at_lat, at_lon, radius, multiplier = area
-        d = haversine_km(F.col(lat), F.col(lon), F.lit(at_lat), F.lit(at_lon))
-        share = F.when(d <= radius, multiplier * (F.lit(1.0) - d / F.lit(radius))).otherwise(0.0)
-        return F.when(F.col(city) == name, share).otherwise(0.0)
-
-    return df.withColumn(out, reduce(lambda a, b: a + b, map(term, K.SURGE_AREAS)))
+    size = 360.0 / columns
+    cells = area_cells(area_table(df.sparkSession) if areas is None else areas, columns)
+    cells = cells.select(F.col("city").alias("_a_city"), F.col("cell_y").alias("_a_y"), F.col("cell_x").alias("_a_x"), F.col("areas").alias("_areas"))
+    y = F.floor(F.col(lat) / size).cast("int")
+    x = F.pmod(F.floor((F.col(lon) + 180) / size), F.lit(columns)).cast("int")
+    near = df.join(cells, (F.col(city) == F.col("_a_city")) & (y == F.col("_a_y")) & (x == F.col("_a_x")), "left")
+
+    def share(area: Column) -> Column:
+        d = haversine_km(F.col(lat), F.col(lon), area["lat"], area["lon"])
+        return F.when(d <= area["radius_km"], area["multiplier"] * (F.lit(1.0) - d / area["radius_km"])).otherwise(0.0)
+
+    score = F.aggregate(F.coalesce("_areas", F.array().cast(cells.schema["_areas"].dataType)), F.lit(0.0), lambda total, area: total + share(area))
+    return near.withColumn(out, score).drop("_a_city", "_a_y", "_a_x", "_areas")
 
 
 def calendar_surge(df: DataFrame, ts: str = "timestamp", city: str = "city",

@@ -9,13 +9,11 @@ seconds below 3600), which bounds the aggregation buffer.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mobilis import constants as K
-from mobilis.operators.common import city_keys, join_keys
+from mobilis.operators.common import city_keys, join_keys, side_by_side
 
 
 def route_summary(route_stats: DataFrame) -> DataFrame:
@@ -119,20 +117,6 @@ def stop_summary(spatial_stats: DataFrame) -> DataFrame:
     )
 
 
-def _outer(frames: list[DataFrame], keys: list[str]) -> DataFrame:
-    """Side-by-side merge of one-row-per-city frames (the meaning of a full outer join on city).
-
-    The frames have disjoint value columns, so union them by name and keep,
-    per city and column, the single non-null value: one shuffle instead of a
-    join chain. ``max`` picks it deterministically.
-    """
-    cols = []
-    for f in frames:
-        cols += [c for c in f.columns if c not in keys and c not in cols]
-    u = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-    return u.groupBy(*keys).agg(*[F.max(c).alias(c) for c in cols])
-
-
 def _assessment() -> dict[str, Column]:
     """Assessment columns of a row with total_routes, avg_trips_per_route, avg_headway_min, total_stop_events."""
     has_routes = F.col("total_routes").isNotNull()
@@ -155,7 +139,7 @@ def city_assessment(route_sum: DataFrame, headway_sum: DataFrame) -> DataFrame:
     """
     keys = city_keys(route_sum)
     r = route_sum.select(*keys, "total_routes", "avg_trips_per_route", "total_stop_events")
-    j = _outer([r, headway_sum.select(*keys, "avg_headway_min")], keys)
+    j = side_by_side([r, headway_sum.select(*keys, "avg_headway_min")], keys)
     return j.select(*keys, *[c.alias(n) for n, c in _assessment().items() if n != "total_trips_estimate"], "total_routes",
                     F.col("total_stop_events").alias("total_trips_estimate"))
 
@@ -168,7 +152,7 @@ def city_analysis(route_stats: DataFrame, headways: DataFrame, hourly_service: D
     so each metric is computed once.
     """
     parts = [route_summary(route_stats), headway_summary(headways), service_profile(hourly_service), stop_summary(spatial_stats)]
-    return _outer(parts, city_keys(route_stats)).withColumns(_assessment())
+    return side_by_side(parts, city_keys(route_stats)).withColumns(_assessment())
 
 
 def transit_city_comparison(route_stats: DataFrame, headways: DataFrame, spatial_stats: DataFrame,
@@ -181,7 +165,7 @@ def transit_city_comparison(route_stats: DataFrame, headways: DataFrame, spatial
         spatial_stats.groupBy(*keys).agg(F.count(F.lit(1)).alias("stops")),
         hourly_service.groupBy(*keys).agg(F.max("hourly_trips").alias("peak_hour_trips")),
     ]
-    j = _outer(parts, keys)
+    j = side_by_side(parts, keys)
     return j.select(*keys, F.coalesce("routes", F.lit(0)).alias("routes"),
                     F.coalesce("avg_headway_min", F.lit(0.0)).alias("avg_headway_min"),
                     F.coalesce("stops", F.lit(0)).alias("stops"),

@@ -9,6 +9,7 @@ transit metrics and the prepared ride tables. Doubles are rounded to
 from __future__ import annotations
 
 from mobilis import constants as K
+from mobilis.plans import file_oracle
 from mobilis.plans.common import DIGITS, NUDGE
 from mobilis.sources.bindings import CITIES, oracle_with
 
@@ -694,6 +695,88 @@ def _bigint_count_if(sql: str) -> str:
         i = k
 
 
+# ---------------------------------------------------------------- model inputs and metrics
+_FEATURES = [*K.MODEL_FEATURES, "city_index"]
+_PREPARED = f""",
+split AS (SELECT *, {_BUCKET} < 800 AS in_train, avg_surge_multiplier AS label FROM modeling),
+cities AS (
+  SELECT city, row_number() OVER (ORDER BY count(*) DESC, city) - 1 AS place, count(*) OVER () AS n FROM split WHERE in_train GROUP BY city),
+indexed AS (
+  SELECT s.*, CAST(coalesce(c.place, (SELECT max(n) FROM cities)) AS DOUBLE) AS city_index FROM split s LEFT JOIN cities c ON s.city = c.city),
+scales AS (SELECT {", ".join(f"stddev_samp({c}) AS {c}" for c in _FEATURES)} FROM indexed WHERE in_train),
+scaled AS (
+  SELECT i.city, i.hour_of_day, i.is_weekend, i.in_train, i.label,
+    {", ".join(f"CASE WHEN s.{c} > 0 THEN i.{c} / s.{c} ELSE 0.0e0 END AS scaled_{c}" for c in _FEATURES)}
+  FROM indexed i, scales s)
+"""
+_SCALED = [f"scaled_{c}" for c in _FEATURES]
+SQL["prepare_features"] = _BASE + _PREPARED + (
+    f"SELECT city, hour_of_day, is_weekend, round(label, {D}) AS label, {_r(' '.join(_SCALED))}, "
+    "CASE WHEN in_train THEN 'train' ELSE 'test' END AS split FROM scaled")
+_X = [*_SCALED, "1.0e0", "label"]
+SQL["normal_equations"] = _BASE + _PREPARED + " UNION ALL ".join(
+    f"SELECT {i} AS i, {j} AS j, round(avg({_X[i]} * {_X[j]}), {D}) AS mean_product FROM scaled WHERE in_train"
+    for i in range(len(_X)) for j in range(i, len(_X)))
+# Gauss-Jordan elimination on the mean products of the centred training rows; a feature that depends on others is left out.
+_CENTRED = [f"({c} - (SELECT avg({c}) FROM scaled WHERE in_train))" for c in [*_SCALED, "label"]]
+_SIZE = len(_SCALED)
+SQL["linear_fit"] = _BASE.replace("WITH ", "WITH RECURSIVE ", 1) + _PREPARED + f""",
+centred AS (SELECT in_train, label, {", ".join(f"{c} AS x{i + 1}" for i, c in enumerate(_CENTRED))} FROM scaled),
+start AS (
+  SELECT [{", ".join("[" + ", ".join(f"avg(x{i} * x{j})" for j in range(1, _SIZE + 2)) + "]" for i in range(1, _SIZE + 1))}] AS m
+  FROM centred WHERE in_train),
+steps(k, m) AS (
+  SELECT 0, m FROM start
+  UNION ALL
+  SELECT k + 1, CASE WHEN abs(m[k + 1][k + 1]) < 1e-9 THEN m ELSE
+    list_transform(m, lambda r, i: CASE WHEN i = k + 1 THEN list_transform(r, lambda v: v / m[k + 1][k + 1])
+      ELSE list_transform(r, lambda v, j: v - r[k + 1] * m[k + 1][j] / m[k + 1][k + 1]) END) END
+  FROM steps WHERE k < {_SIZE}),
+weights AS (SELECT list_transform(m, lambda r, i: CASE WHEN abs(r[i] - 1) < 1e-6 THEN r[{_SIZE + 1}] ELSE 0.0e0 END) AS w FROM steps WHERE k = {_SIZE}),
+guessed AS (
+  SELECT CASE WHEN in_train THEN 'train' ELSE 'test' END AS split, label,
+    {" + ".join(f"w[{i}] * x{i}" for i in range(1, _SIZE + 1))} - x{_SIZE + 1} AS error
+  FROM centred, weights),
+measured AS (
+  SELECT split, sqrt(avg(error * error)) AS "RMSE", avg(abs(error)) AS "MAE", 1 - avg(error * error) / var_pop(label) AS "R2"
+  FROM guessed GROUP BY split)
+SELECT split, metric, round(value, {D}) AS value FROM measured UNPIVOT (value FOR metric IN ("RMSE", "MAE", "R2"))
+"""
+_RULE_SCORES = f""",
+rule_scores AS (
+  SELECT ride_id, round(greatest({_lit(K.SURGE_MIN)}, least({_lit(K.SURGE_MAX)}, 1.0e0 + time_band_surge
+    + weekend_surge + calendar_surge + area_surge + season_surge)), {D}) AS score FROM parts)
+"""
+_RULE = """,
+rule AS (
+  SELECT r.city, r.surge_multiplier AS label, s.score AS prediction FROM rides r JOIN rule_scores s USING (ride_id))
+"""
+SQL["rule_regression_metrics"] = _BASE + _SCORE + _RULE_SCORES + _RULE + f""",
+measured AS (
+  SELECT city, sqrt(avg((prediction - label) ** 2)) AS "RMSE", avg(abs(prediction - label)) AS "MAE",
+    1 - avg((prediction - label) ** 2) / var_pop(label) AS "R2"
+  FROM rule GROUP BY city)
+SELECT city, metric, round(value, {D}) AS value FROM measured UNPIVOT (value FOR metric IN ("RMSE", "MAE", "R2"))
+"""
+SQL["rule_classification_metrics"] = _BASE + _SCORE + _RULE_SCORES + _RULE + f""",
+marked AS (
+  SELECT city, label > {_lit(K.HIGH_SURGE_THRESHOLD)} AS y, prediction > {_lit(K.HIGH_SURGE_THRESHOLD)} AS guess,
+    rank() OVER (PARTITION BY city ORDER BY prediction) + (count(*) OVER (PARTITION BY city, prediction) - 1) / 2.0e0 AS place
+  FROM rule),
+totals AS (
+  SELECT city, count(*) FILTER (y)::DOUBLE AS p, count(*) FILTER (NOT y)::DOUBLE AS n, sum(place) FILTER (y) AS places,
+    count(*) FILTER (y AND guess)::DOUBLE AS tp, count(*) FILTER (NOT y AND guess)::DOUBLE AS fp,
+    count(*) FILTER (y AND NOT guess)::DOUBLE AS fn, count(*) FILTER (NOT y AND NOT guess)::DOUBLE AS tn
+  FROM marked GROUP BY city),
+measured AS (
+  SELECT city, (places - p * (p + 1) / 2) / (p * n) AS "AUC", (tp + tn) / (p + n) AS "Accuracy",
+    (p * 2 * tp / (2 * tp + fp + fn) + n * 2 * tn / (2 * tn + fp + fn)) / (p + n) AS "F1"
+  FROM totals)
+SELECT city, metric, round(value, {D}) AS value FROM measured UNPIVOT (value FOR metric IN ("AUC", "Accuracy", "F1"))
+"""
+SQL |= file_oracle.statements(q, D, CITIES)
+
+
 def oracle_sql() -> dict[str, str]:
     return {k: _bigint_count_if(_nudge_rounding(v)) for k, v in SQL.items()}
 

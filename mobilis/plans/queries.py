@@ -11,11 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mobilis import constants as K
 from mobilis.functions.labels import route_label, route_name, stop_label
 from mobilis.functions.rides import ride_time_features
 from mobilis.functions.surge import estimated_duration, season_surge, time_band_surge, weekend_surge
 from mobilis.operators import clean as C
 from mobilis.operators import distribution as DI
+from mobilis.operators import metrics as ME
 from mobilis.operators import model as M
 from mobilis.operators import profile as PR
 from mobilis.operators import report as RP
@@ -24,9 +26,9 @@ from mobilis.operators import scoring as P
 from mobilis.operators import summaries as S
 from mobilis.operators import topk as X
 from mobilis.operators import transit as T
-from mobilis.plans.common import rounded
+from mobilis.plans.common import rounded, stored
 from mobilis.schemas import FEED_SCHEMAS
-from mobilis.session import ensure_checkpoint_dir, scratch_path
+from mobilis.session import scratch_path
 from mobilis.sources import bindings as B
 from mobilis.sources import feeds as FD
 from mobilis.sources import tables as ST
@@ -84,50 +86,44 @@ def q_trip_stop_events(spark, sf):
         "stop_name", "stop_lat", "stop_lon"))
 
 
+def metrics_of(spark: SparkSession, sf: str, *names: str) -> dict[str, DataFrame]:
+    """Metrics over one stored fact with just the columns they read.
+
+    The joins run once, and the fact is written as Parquet under the shared
+    checkpoint folder: metrics read it several times, a few columns each, and
+    a lost executor re-reads it instead of redoing the joins.
+    """
+    events = events_of(spark, sf)
+    events = stored(events.select(*T.metric_columns(events, list(names))), "fact")
+    return {m: T.METRICS[m](events) for m in names}
+
+
 @register("route_stats")
 def q_route_stats(spark, sf):
-    return rounded(T.route_stats(events_of(spark, sf)))
+    return rounded(metrics_of(spark, sf, "route_stats")["route_stats"])
 
 
 @register("hourly_service")
 def q_hourly_service(spark, sf):
-    return T.hourly_service(events_of(spark, sf))
+    return metrics_of(spark, sf, "hourly_service")["hourly_service"]
 
 
 @register("spatial_stats")
 def q_spatial_stats(spark, sf):
-    return rounded(T.spatial_stats(events_of(spark, sf)))
+    return rounded(metrics_of(spark, sf, "spatial_stats")["spatial_stats"])
+
+
+HEADWAY_COLUMNS = ["city", "route_id", "stop_id", "trip_id", "stop_sequence", "arrival_time", "arrival_hour",
+                   "arrival_total_seconds", "service_id"]
 
 
 @register("headways")
 def q_headways(spark, sf):
-    return T.headways(events_of(spark, sf)).select(
-        "city", "route_id", "stop_id", "trip_id", "stop_sequence", "arrival_time", "arrival_hour",
-        "arrival_total_seconds", "service_id", "prev_arrival", "headway_seconds")
+    return T.headways(stored(events_of(spark, sf).select(*HEADWAY_COLUMNS), "fact")).select(
+        *HEADWAY_COLUMNS, "prev_arrival", "headway_seconds")
 
 
 # ---------------------------------------------------------------- summaries
-def metrics_of(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    return T.transit_metrics(events_of(spark, sf))
-
-
-def persisted(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared checkpoint folder (eager), for inputs read by
-    several branches of one plan: each branch would otherwise recompute it."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def shared_metrics_of(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    """Metrics over a checkpointed fact, for queries that feed it to several metrics.
-
-    The fact is computed once and written to the shared checkpoint folder
-    (lineage cut: a lost executor re-reads it instead of redoing the joins).
-    """
-    ensure_checkpoint_dir(spark)
-    return T.transit_metrics(events_of(spark, sf).checkpoint(eager=True))
-
-
 def _strings(df: DataFrame, *cols: str) -> DataFrame:
     """Arrays of texts as one '|'-joined string (flat values for the oracle)."""
     return df.withColumns({c: F.concat_ws("|", c) for c in cols})
@@ -135,47 +131,47 @@ def _strings(df: DataFrame, *cols: str) -> DataFrame:
 
 @register("route_summary")
 def q_route_summary(spark, sf):
-    return rounded(S.route_summary(metrics_of(spark, sf)["route_stats"]))
+    return rounded(S.route_summary(metrics_of(spark, sf, "route_stats")["route_stats"]))
 
 
 @register("headway_summary")
 def q_headway_summary(spark, sf):
-    return rounded(S.headway_summary(metrics_of(spark, sf)["headways"]))
+    return rounded(S.headway_summary(metrics_of(spark, sf, "headway_gaps")["headway_gaps"]))
 
 
 @register("service_profile")
 def q_service_profile(spark, sf):
-    sp = S.service_profile(metrics_of(spark, sf)["hourly_service"])
+    sp = S.service_profile(metrics_of(spark, sf, "hourly_service")["hourly_service"])
     return sp.select("city", "peak_hour", "peak_hour_trips", "off_peak_hour", "total_service_hours",
                      F.size("service_gaps").alias("n_service_gaps"))
 
 
 @register("hourly_profile_series")
 def q_hourly_profile_series(spark, sf):
-    return S.hourly_profile(metrics_of(spark, sf)["hourly_service"])
+    return S.hourly_profile(metrics_of(spark, sf, "hourly_service")["hourly_service"])
 
 
 @register("service_gaps")
 def q_service_gaps(spark, sf):
-    return S.service_gaps(persisted(metrics_of(spark, sf)["hourly_service"]))
+    return S.service_gaps(stored(metrics_of(spark, sf, "hourly_service")["hourly_service"]))
 
 
 @register("stop_summary")
 def q_stop_summary(spark, sf):
-    return rounded(S.stop_summary(metrics_of(spark, sf)["spatial_stats"]))
+    return rounded(S.stop_summary(metrics_of(spark, sf, "spatial_stats")["spatial_stats"]))
 
 
 @register("city_assessment")
 def q_city_assessment(spark, sf):
-    m = shared_metrics_of(spark, sf)
-    a = S.city_assessment(S.route_summary(m["route_stats"]), S.headway_summary(m["headways"]))
+    m = metrics_of(spark, sf, "route_stats", "headway_gaps")
+    a = S.city_assessment(S.route_summary(m["route_stats"]), S.headway_summary(m["headway_gaps"]))
     return _strings(a, "key_strengths", "improvement_areas")
 
 
 @register("city_analysis")
 def q_city_analysis(spark, sf):
-    m = shared_metrics_of(spark, sf)
-    ca = S.city_analysis(m["route_stats"], m["headways"], m["hourly_service"], m["spatial_stats"])
+    m = metrics_of(spark, sf, "route_stats", "headway_gaps", "hourly_service", "spatial_stats")
+    ca = S.city_analysis(m["route_stats"], m["headway_gaps"], m["hourly_service"], m["spatial_stats"])
     ca = _strings(ca, "key_strengths", "improvement_areas")
     return rounded(ca.withColumn("n_service_gaps", F.size("service_gaps"))
                      .drop("service_gaps", "daily_trip_pattern"))
@@ -183,8 +179,8 @@ def q_city_analysis(spark, sf):
 
 @register("transit_city_comparison")
 def q_transit_city_comparison(spark, sf):
-    m = shared_metrics_of(spark, sf)
-    return rounded(S.transit_city_comparison(m["route_stats"], m["headways"], m["spatial_stats"],
+    m = metrics_of(spark, sf, "route_stats", "headway_gaps", "hourly_service", "spatial_stats")
+    return rounded(S.transit_city_comparison(m["route_stats"], m["headway_gaps"], m["spatial_stats"],
                                              m["hourly_service"]))
 
 
@@ -195,63 +191,68 @@ def q_record_count_comparison(spark, sf):
 
 @register("total_routes_rollup")
 def q_total_routes_rollup(spark, sf):
-    m = shared_metrics_of(spark, sf)
-    a = S.city_assessment(S.route_summary(m["route_stats"]), S.headway_summary(m["headways"]))
+    m = metrics_of(spark, sf, "route_stats", "headway_gaps")
+    a = S.city_assessment(S.route_summary(m["route_stats"]), S.headway_summary(m["headway_gaps"]))
     return S.total_routes_rollup(a)
 
 
 @register("route_frequency_mix")
 def q_route_frequency_mix(spark, sf):
-    return rounded(S.route_frequency_mix(persisted(metrics_of(spark, sf)["route_stats"])))
+    return rounded(S.route_frequency_mix(stored(metrics_of(spark, sf, "route_stats")["route_stats"])))
 
 
 # ---------------------------------------------------------------- top-k
 @register("busiest_routes")
 def q_busiest_routes(spark, sf):
-    return X.busiest_routes(metrics_of(spark, sf)["route_stats"])
+    return X.busiest_routes(metrics_of(spark, sf, "route_stats")["route_stats"])
 
 
 @register("top_routes")
 def q_top_routes(spark, sf):
-    return X.top_routes(metrics_of(spark, sf)["route_stats"])
+    return X.top_routes(metrics_of(spark, sf, "route_stats")["route_stats"])
 
 
 @register("least_used_routes")
 def q_least_used_routes(spark, sf):
-    return X.least_used_routes(metrics_of(spark, sf)["route_stats"])
+    return X.least_used_routes(metrics_of(spark, sf, "route_stats")["route_stats"])
 
 
 @register("transfer_points")
 def q_transfer_points(spark, sf):
-    return X.transfer_points(metrics_of(spark, sf)["spatial_stats"])
+    return X.transfer_points(metrics_of(spark, sf, "spatial_stats")["spatial_stats"])
 
 
 @register("busiest_route")
 def q_busiest_route(spark, sf):
-    return X.busiest_route(metrics_of(spark, sf)["route_stats"])
+    return X.busiest_route(metrics_of(spark, sf, "route_stats")["route_stats"])
 
 
 @register("peak_hour")
 def q_peak_hour(spark, sf):
-    sp = S.service_profile(metrics_of(spark, sf)["hourly_service"])
+    sp = S.service_profile(metrics_of(spark, sf, "hourly_service")["hourly_service"])
     return sp.select("city", "peak_hour", "peak_hour_trips", "off_peak_hour")
 
 
+@register("off_peak_hour")
+def q_off_peak_hour(spark, sf):
+    return S.service_profile(metrics_of(spark, sf, "hourly_service")["hourly_service"]).select("city", "off_peak_hour")
+
+
 @register("demand_service_gap")
 def q_demand_service_gap(spark, sf):
-    m = shared_metrics_of(spark, sf)
+    m = metrics_of(spark, sf, "route_stats", "hourly_service")
     return rounded(X.demand_service_gap(m["route_stats"], m["hourly_service"]))
 
 
 @register("underserved_vs_average")
 def q_underserved_vs_average(spark, sf):
-    m = shared_metrics_of(spark, sf)
+    m = metrics_of(spark, sf, "route_stats", "hourly_service")
     return rounded(X.underserved_vs_average(m["route_stats"], m["hourly_service"]))
 
 
 @register("route_label")
 def q_route_label(spark, sf):
-    rs = metrics_of(spark, sf)["route_stats"]
+    rs = metrics_of(spark, sf, "route_stats")["route_stats"]
     return rs.select("city", "route_id", route_label().alias("route_label"))
 
 
@@ -263,7 +264,7 @@ def q_route_name_map(spark, sf):
 
 @register("stop_label")
 def q_stop_label(spark, sf):
-    sp = metrics_of(spark, sf)["spatial_stats"]
+    sp = metrics_of(spark, sf, "spatial_stats")["spatial_stats"]
     return sp.select("city", "stop_id", stop_label().alias("stop_label"))
 
 
@@ -535,8 +536,8 @@ def q_quality_issue_matrix(spark, sf):
 @register("profile_report")
 def q_profile_report(spark, sf):
     views = B.profile_views(spark, sf)
-    return RP.profile_report("bindings", persisted(PR.profile_tables(views)), persisted(PR.missing_values(views)),
-                             persisted(PR.quality_issues(views)))
+    return RP.profile_report("bindings", stored(PR.profile_tables(views)), stored(PR.missing_values(views)),
+                             stored(PR.quality_issues(views)))
 
 
 @register("missing_matrix")
@@ -557,22 +558,22 @@ def q_top_categories(spark, sf):
 # ---------------------------------------------------------------- distributions
 @register("trips_histogram")
 def q_trips_histogram(spark, sf):
-    return rounded(DI.trips_histogram(persisted(metrics_of(spark, sf)["route_stats"])))
+    return rounded(DI.trips_histogram(stored(metrics_of(spark, sf, "route_stats")["route_stats"])))
 
 
 @register("stops_histogram")
 def q_stops_histogram(spark, sf):
-    return rounded(DI.stops_histogram(persisted(metrics_of(spark, sf)["route_stats"])))
+    return rounded(DI.stops_histogram(stored(metrics_of(spark, sf, "route_stats")["route_stats"])))
 
 
 @register("routes_per_stop_histogram")
 def q_routes_per_stop_histogram(spark, sf):
-    return rounded(DI.routes_per_stop_histogram(persisted(metrics_of(spark, sf)["spatial_stats"])))
+    return rounded(DI.routes_per_stop_histogram(stored(metrics_of(spark, sf, "spatial_stats")["spatial_stats"])))
 
 
 def _headway_values(spark: SparkSession, sf: str) -> DataFrame:
     """The two columns that the headway distributions read, written once for their several passes."""
-    return persisted(metrics_of(spark, sf)["headways"].select("city", "headway_seconds"))
+    return stored(metrics_of(spark, sf, "headway_gaps")["headway_gaps"].select("city", "headway_seconds"))
 
 
 @register("headway_histogram")
@@ -591,17 +592,26 @@ def q_headway_box(spark, sf):
 
 
 # ---------------------------------------------------------------- models (rows-only checks)
-_FITTED: dict = {}  # by application: a new session trains anew
+_MODELS: dict[tuple, str] = {}  # where the models of an application's modelling rows are saved
 
 
 def fitted(spark: SparkSession, sf: str, problem_type: str):
-    """(train, test, models, feature names), trained once per session, data folder and problem type."""
-    key = (spark.sparkContext.applicationId, sf, problem_type)
-    if key not in _FITTED:
-        modeling = R.modeling_dataset(rides_of(spark, sf))
-        train, test, _, cols = M.prepare_features(modeling, problem_type)
-        _FITTED[key] = (train, test, M.train_models(train, problem_type), cols)
-    return _FITTED[key]
+    """(train, test, models, feature names); models are trained once per application and content of the modelling rows.
+
+    Rows and models are files: train and test are written, models saved and
+    loaded, so a query depends on nothing that another one keeps in memory.
+    """
+    modeling = stored(R.modeling_dataset(rides_of(spark, sf)), "modeling")
+    rows = rounded(modeling, 9)
+    content = rows.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*rows.columns)).alias("x")).first()
+    train, test, _, cols = M.prepare_features(modeling, problem_type)
+    train, test = stored(train, "train"), stored(test, "test")
+    key = (spark.sparkContext.applicationId, problem_type, content.n, content.x)
+    if key not in _MODELS:
+        root = scratch_path(spark, f"models-{problem_type}")
+        M.save_models(M.train_models(train, problem_type), problem_type, root)
+        _MODELS[key] = root
+    return train, test, M.load_models(spark, problem_type, _MODELS[key]), cols
 
 
 @register("split_data")
@@ -613,9 +623,59 @@ def q_split_data(spark, sf):
 
 @register("prepare_features")
 def q_prepare_features(spark, sf):
-    train, test, _, _ = fitted(spark, sf, "regression")
-    return (M.feature_rows(train).withColumn("split", F.lit("train"))
-            .unionByName(M.feature_rows(test).withColumn("split", F.lit("test"))))
+    train, test, _, cols = M.prepare_features(R.modeling_dataset(rides_of(spark, sf)), "regression")
+    return rounded(M.feature_rows(train, cols).withColumn("split", F.lit("train"))
+                   .unionByName(M.feature_rows(test, cols).withColumn("split", F.lit("test"))))
+
+
+@register("normal_equations")
+def q_normal_equations(spark, sf):
+    """What the linear fit reads of the training rows: mean products of scaled features, 1 and label."""
+    train, _, _, cols = M.prepare_features(R.modeling_dataset(rides_of(spark, sf)), "regression")
+    return rounded(M.normal_equations(M.feature_rows(train, cols), [f"scaled_{c}" for c in cols]))
+
+
+@register("linear_fit")
+def q_linear_fit(spark, sf):
+    """Errors of the linear fit, solved from the normal equations, on training and test rows."""
+    train, test, _, cols = M.prepare_features(R.modeling_dataset(rides_of(spark, sf)), "regression")
+    scaled = [f"scaled_{c}" for c in cols]
+    *weights, intercept = M.solve_linear(M.normal_equations(M.feature_rows(train, cols), scaled), len(cols))
+    guess = F.lit(intercept)
+    for c, w in zip(scaled, weights, strict=True):
+        guess = guess + F.col(c) * F.lit(w)
+    both = (M.feature_rows(train, cols).withColumn("split", F.lit("train"))
+            .unionByName(M.feature_rows(test, cols).withColumn("split", F.lit("test"))))
+    return rounded(ME.regression_metrics(both.select("split", "label", guess.alias("prediction")), ["split"]))
+
+
+def _rule_scores(spark, sf):
+    return rounded(P.surge_multiplier(rides_of(spark, sf)).select("city", "surge_multiplier", "surge_score"))
+
+
+@register("rule_regression_metrics")
+def q_rule_regression_metrics(spark, sf):
+    """How well the surge rules predict the recorded surge of every ride."""
+    rows = _rule_scores(spark, sf).select("city", F.col("surge_multiplier").alias("label"), F.col("surge_score").alias("prediction"))
+    return rounded(ME.regression_metrics(rows, ["city"]))
+
+
+@register("rule_classification_metrics")
+def q_rule_classification_metrics(spark, sf):
+    """The same for surges above the threshold."""
+    rows = ME.binary_predictions(_rule_scores(spark, sf), F.col("surge_multiplier") > K.HIGH_SURGE_THRESHOLD, F.col("surge_score"),
+                                 K.HIGH_SURGE_THRESHOLD, ["city"])
+    return rounded(ME.classification_metrics(rows, ["city"]))
+
+
+@register("model_predictions")
+def q_model_predictions(spark, sf):
+    """Every model's prediction of every test row."""
+    out = []
+    for p in PROBLEMS:
+        _, test, models, _ = fitted(spark, sf, p)
+        out.append(M.predictions(models, test, p)[0].withColumn("problem_type", F.lit(p)))
+    return rounded(out[0].unionByName(out[1]))
 
 
 def _facts(spark, sf, problem_type):
@@ -737,17 +797,20 @@ def q_check_structure(spark, sf):
 # ---------------------------------------------------------------- reports
 @register("route_mapping_report")
 def q_route_mapping_report(spark, sf):
-    return RP.route_mapping_report(metrics_of(spark, sf)["route_stats"])
+    return RP.route_mapping_report(metrics_of(spark, sf, "route_stats")["route_stats"])
 
 
 @register("executive_summary")
 def q_executive_summary(spark, sf):
-    m = shared_metrics_of(spark, sf)
-    a = S.city_assessment(S.route_summary(m["route_stats"]), S.headway_summary(m["headways"]))
+    m = metrics_of(spark, sf, "route_stats", "headway_gaps")
+    a = S.city_assessment(S.route_summary(m["route_stats"]), S.headway_summary(m["headway_gaps"]))
     e = RP.executive_summary(a)
     return e.select(F.concat_ws(",", "cities").alias("cities"), "total_routes", "cities_analyzed",
                     "recommendations_provided")
 
 
+from mobilis.plans import file_queries  # noqa: E402,F401 - registers its queries
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)

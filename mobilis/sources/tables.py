@@ -11,11 +11,10 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mobilis import constants as K
-from mobilis.schemas import FEED_SCHEMAS
 from mobilis.sources import feeds
 
 
@@ -51,27 +50,34 @@ def import_city(spark: SparkSession, base_dir: str, city: str, store: str) -> Da
     ``.txt`` file: read (typed by name), normalise names, check structure,
     write the city's partition. Returns one row per file: table, rows,
     loaded, and the columns left as text because a value did not cast -- or
-    None when the gate fails. Row counts are observed during the write, not by
-    a second scan.
+    None when the gate fails. Rows were counted by the one read.
     """
     gate = feeds.feed_gate(feeds.feed_completeness(spark, base_dir, [city])).first()
     if gate is None or not gate.passed:
         return None
     out = []
     for table in feeds.city_files(spark, base_dir, city):
-        df = feeds.read_feed(spark, f"{base_dir.rstrip('/')}/{city}/{table}.txt", table)
-        if not feeds.check_structure(df, table):
-            out.append((table, 0, False, ""))
-            continue
-        obs = Observation(f"rows_{city}_{table}")
-        observed = df.withColumn("city", F.lit(city)).observe(obs, F.count(F.lit(1)).alias("rows"))
-        write_table(observed, f"{store.rstrip('/')}/{table}")
-        known = FEED_SCHEMAS.get(table)
-        as_text = [f.name for f in known.fields if f.name in df.columns and df.schema[f.name].dataType != f.dataType] if known else []
-        out.append((table, int(obs.get["rows"]), True, ",".join(as_text)))
+        feed = feeds.store_feed(spark, f"{base_dir.rstrip('/')}/{city}/{table}.txt", table)
+        loaded = feed.rows > 0 and feeds.has_required(feed.df, table)
+        if loaded:
+            write_table(feed.df.withColumn("city", F.lit(city)), f"{store.rstrip('/')}/{table}")
+        as_text = [c for c in feed.df.columns if feed.rejects.get(c)] if loaded else []
+        out.append((table, feed.rows if loaded else 0, loaded, ",".join(as_text)))
     return spark.createDataFrame(out, "table_name string, rows bigint, loaded boolean, text_columns string")
 
 
+def written_order(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a written table with their ``place`` (from 1) over all files, in order of the files' numbers.
+
+    A file's rows count from what the files before it hold, one row a file.
+    """
+    rows = spark.read.parquet(path).select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    sizes = rows.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)  # names begin with padded numbers
+    starts = sizes.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return rows.join(starts, "_file").withColumn("place", F.col("_start") + F.col("_row") + 1).drop("_file", "_row", "_start")
+
+
 def write_results(results: dict[str, DataFrame], out_dir: str, fmt: str = "parquet") -> None:
     """Write each result table in full."""
     for name, df in results.items():

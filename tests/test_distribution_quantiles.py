@@ -44,8 +44,9 @@ def test_quantiles_with_coarse_sketches(spark, monkeypatch):
     vals = [1.0] * 3000 + rng.normal(5, 2, 4000).tolist() + [None] * 5 + [float("nan")] * 5
     df = spark.createDataFrame([(v,) for v in vals], "v double").repartition(7)
     s = pd.Series(vals, dtype=float).dropna()
-    for accuracy in (20, 100, 1000):
-        monkeypatch.setattr(quantiles, "ACCURACY", accuracy)
+    for size, margin in ((8, 2.0), (8, 0.001), (64, 0.1), (1024, 2.0)):  # too tight bounds are moved apart
+        monkeypatch.setattr(quantiles, "SKETCH", size)
+        monkeypatch.setattr(quantiles, "MARGIN", margin)
         got = {r.p: r.quantile for r in column_quantiles(df, ["v"], [0.01, 0.25, 0.5, 0.9]).collect()}
         assert all(abs(got[p] - s.quantile(p)) < 1e-9 for p in got) and len(got) == 4
 
