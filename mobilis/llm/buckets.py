@@ -60,18 +60,13 @@ class Buckets:
 
     def store(self, df: DataFrame, name: str, n: int) -> DataFrame:
         """``df``, which has the column b, written in n buckets of one file each and read back."""
-        path = scratch_path(self.spark, name)
-        table = path.rsplit("/", 1)[1].replace("-", "_")
-        (df.repartition(n, "b").write.bucketBy(n, "b").option("path", path).option("compression", "zstd")
-         .format("parquet").saveAsTable(table))
-        self.paths[name] = (table, path)
-        return self.spark.read.table(table)
+        return self.store_here(df.repartition(n, "b"), name, n)
 
     def store_here(self, df: DataFrame, name: str, n: int) -> DataFrame:
         """As ``store``, for rows that lie in their buckets already."""
         path = scratch_path(self.spark, name)
         table = path.rsplit("/", 1)[1].replace("-", "_")
-        df.write.bucketBy(n, "b").option("path", path).option("compression", "zstd").format("parquet").saveAsTable(table)
+        df.write.bucketBy(n, "b").option("path", path).format("parquet").saveAsTable(table)
         self.paths[name] = (table, path)
         return self.spark.read.table(table)
 
