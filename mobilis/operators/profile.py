@@ -11,12 +11,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mobilis.constants import WEEKDAY_COLUMNS
 from mobilis.operators.quantiles import Scanned, outliers, quantiles, scan, usable
+from mobilis.session import scratch_path
 
 KEYS = ["table_name", "column_name"]
 #: Distance of the outlier fences from the quartiles, in interquartile ranges.
@@ -159,21 +160,80 @@ def quality_issues(tables: dict[str, DataFrame]) -> DataFrame | None:
     return None if signs is None else signs.unionByName(outlier_issues(tables))
 
 
-def top_categories(tables: dict[str, DataFrame], k: int = 10) -> DataFrame:
-    """Top k values (count desc, value asc) of every text column per table."""
-    from pyspark.sql import Window
+#: Values a text column's summary keeps counters for.
+TRACKED = 10_000
+
+
+def heavy_hitters(tables: dict[str, DataFrame], k: int, tracked: int = TRACKED) -> tuple[DataFrame, DataFrame]:
+    """What one scan with bounded counters says about the top k values of text columns.
+
+    The first result has a row per column: table_name, column_name, n (rows), error (what a counter may be off) and ``known``: ``all`` when
+    every value has a counter that is exact, ``top`` when the top k are among
+    the values of the second result, ``none`` when the counters do not tell
+    them from the rest. The second one has (table_name, column_name, value,
+    estimate): all values of the former columns, the candidates of the latter.
+
+    A summary of m counters is off by at most 3.5 / m of the rows, however its
+    parts were merged, and lists every value that occurs more than twice that
+    often. A table with at most ``tracked`` rows never loses one.
+    """
     parts = []
     for t, df in tables.items():
         cols = text_columns(df)
         if not cols:
             continue
-        parts.append(df.select(*cols).unpivot([], cols, "column_name", "value")
-                       .where(F.col("value").isNotNull()).withColumn("table_name", F.lit(t)))
-    if not parts:
+        # Nulls take part in the summary, so its error follows all rows.
+        one = df.agg(*[F.struct(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(`{c}`, {tracked}, {tracked})").alias("items")).alias(c) for c in cols])
+        rows = F.array(*[F.struct(F.lit(t).alias("table_name"), F.lit(c).alias("column_name"), F.col(f"`{c}`.n").alias("n"),
+                                  F.col(f"`{c}`.items").alias("items")) for c in cols])
+        parts.append(one.select(F.explode(rows).alias("x")).select("x.*"))
+    summaries = _union(parts)
+    path = scratch_path(summaries.sparkSession, "heavy-hitters")
+    summaries.write.parquet(path)
+    summaries = summaries.sparkSession.read.schema(summaries.schema).parquet(path)
+    summaries = summaries.withColumn("items", F.filter("items", lambda x: x["item"].isNotNull()))
+    # The table of counters has at least tracked / 0.75 places.
+    error = F.when(F.col("n") <= tracked, 0).otherwise(F.ceil(F.col("n") * (3.5 * 0.75 / tracked)))
+    counts = F.array_sort(F.transform("items", lambda x: -x["count"]))
+    kth = F.when(F.size("items") >= k, -F.get(counts, F.lit(k - 1)))
+    judged = summaries.withColumn("error", error).withColumn("kth", kth).withColumn(
+        "known", F.when(F.col("n") <= tracked, "all").when(F.col("kth") > 3 * F.col("error"), "top").otherwise("none"))
+    items = judged.where("known <> 'none'").select(*KEYS, "known", "kth", "error", F.explode("items").alias("x"))
+    # A value whose true count may reach that of the k-th is a candidate; either counter may be off.
+    items = items.where((F.col("known") == "all") | (F.col("x.count") >= F.col("kth") - 2 * F.col("error")))
+    return judged.select(*KEYS, "n", "error", "known"), items.select(*KEYS, F.col("x.item").alias("value"), F.col("x.count").alias("estimate"))
+
+
+def top_categories(tables: dict[str, DataFrame], k: int = 10, tracked: int = TRACKED) -> DataFrame | None:
+    """Top k values (count desc, value asc) of every text column per table, with exact counts.
+
+    Counters of bounded size name the candidates, and only these are counted
+    again and shuffled. Columns whose counters are exact need no second look;
+    those whose values are too much alike to be told apart by counters (and
+    those with fewer than k candidates) are counted in full.
+    """
+    named = {t: df for t, df in tables.items() if text_columns(df)}
+    if not named:
         return None
-    counts = _union(parts).groupBy("table_name", "column_name", "value").agg(F.count(F.lit(1)).alias("count"))
-    w = Window.partitionBy("table_name", "column_name").orderBy(F.col("count").desc(), F.col("value").asc())
-    return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    columns, items = heavy_hitters(named, k, tracked)
+    known = {(r.table_name, r.column_name): r.known for r in columns.collect()}  # one row a column
+    exact = items.join(F.broadcast(columns.where("known = 'all'").select(*KEYS)), KEYS).select(*KEYS, "value", F.col("estimate").alias("count"))
+    parts = [exact]
+    again = {t: [c for c in text_columns(df) if known[t, c] != "all"] for t, df in named.items()}
+    values = [df.unpivot([], again[t], "column_name", "value").where(F.col("value").isNotNull()).withColumn("table_name", F.lit(t))
+              for t, df in named.items() if again[t]]
+    if values:
+        # Every value of a column without candidates, and the candidates of the others: at most ``tracked`` a column.
+        wanted = items.select(*KEYS, "value", F.lit(True).alias("_wanted"))
+        full = [F.struct(F.lit(t), F.lit(c)) for t, cs in again.items() for c in cs if known[t, c] == "none"]
+        rows = _union(values)
+        if any(x == "top" for x in known.values()):
+            rows = rows.join(F.broadcast(wanted), [*KEYS, "value"], "left")
+            keep = F.col("_wanted").isNotNull()
+            rows = rows.where(keep | F.struct("table_name", "column_name").isin(*full) if full else keep)
+        parts.append(rows.groupBy(*KEYS, "value").agg(F.count(F.lit(1)).alias("count")))
+    w = Window.partitionBy(*KEYS).orderBy(F.col("count").desc(), F.col("value").asc())
+    return _union(parts).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def table_size_comparison(tables: dict[str, DataFrame]) -> DataFrame:

@@ -774,6 +774,32 @@ measured AS (
   FROM totals)
 SELECT city, metric, round(value, {D}) AS value FROM measured UNPIVOT (value FOR metric IN ("AUC", "Accuracy", "F1"))
 """
+
+# ---------------------------------------------------------------- the text report
+def _body(key: str) -> str:
+    return SQL[key][len(_BASE):]
+
+
+SQL["profile_report"] = _BASE + f""",
+profile AS ({_body("profile_table")}),
+missing AS ({_body("missing_values")}),
+issues AS (SELECT * FROM ({_ISSUES}) WHERE count > 0)
+SELECT '' AS table_name, -1 AS section, 0 AS n, 'EDA Report - BINDINGS' AS line
+UNION ALL SELECT '', -1, 1, repeat('=', 50)
+UNION ALL SELECT table_name, 0, 0, upper(table_name) || ' ANALYSIS' FROM profile
+UNION ALL SELECT table_name, 0, 1, 'Records: ' || format('{{:,}}', n_rows) FROM profile
+UNION ALL SELECT table_name, 0, 2, 'Columns: ' || n_columns FROM profile
+UNION ALL SELECT table_name, 0, 4, 'Duplicates: ' || duplicates FROM profile
+UNION ALL SELECT table_name, 1, -1, CASE WHEN table_name IN (SELECT table_name FROM missing) THEN ' MISSING VALUES:' ELSE ' No missing values' END FROM profile
+UNION ALL SELECT table_name, 1, 0, '  ' || column_name || ': ' || format('{{:,}}', missing) || ' (' || format('{{:.1f}}', missing_pct) || '%)' FROM missing
+UNION ALL SELECT table_name, 3, -1,
+  CASE WHEN table_name IN (SELECT table_name FROM issues) THEN ' DATA QUALITY ISSUES:' ELSE ' No data quality issues' END FROM profile
+UNION ALL SELECT table_name, 3, CASE issue WHEN 'negative_values' THEN 0 WHEN 'zero_values' THEN 1 ELSE 2 END,
+  '  ' || issue || '_' || column_name || ': ' || format('{{:,}}', count) FROM issues
+"""
+SQL["off_peak_hour"] = qs("SELECT city, off_peak_hour FROM sprof")
+
+
 SQL |= file_oracle.statements(q, D, CITIES)
 
 

@@ -39,6 +39,9 @@ _DIALECT = {
 _DAY_SEC = "((l_partkey * 7919 + l_linenumber * 613 + l_orderkey * 31) % 93600)"
 _SEC = f"({_DAY_SEC} + case when l_orderkey % 2 = 1 and {_DAY_SEC} {{idiv}} 3600 between 2 and 4 then 10800 else 0 end)"
 
+# Expressions that several columns of a view use, computed once a row.
+_SHARED = {"stop_times": [("_sec", _SEC)]}
+
 # Column expressions per view, in output order: (alias, sql).
 # Time text: quantity 49 -> null, 50 -> 'n/a' (malformed), 48 -> hour not
 # zero-padded, 47 -> minutes shifted past 59 (accepted: not range-checked).
@@ -115,7 +118,7 @@ def _pad2(expr: str) -> str:
 
 def _render(expr: str, dialect: str) -> str:
     d = _DIALECT[dialect]
-    out = expr.replace("SEC", _SEC).replace("K", d["k"]).replace("{idiv}", d["idiv"])
+    out = expr.replace("SEC", "_sec").replace("K", d["k"]).replace("{idiv}", d["idiv"])
     while "P2(" in out:  # P2(x) -> lpad(cast(x as string), 2, '0'), balanced parentheses
         i = out.index("P2(") + 3
         depth, j = 1, i
@@ -129,6 +132,8 @@ def _render(expr: str, dialect: str) -> str:
 def view_sql(name: str, dialect: str = "duckdb") -> str:
     """SELECT statement of one view over the base table, in a dialect."""
     table, cols = _VIEWS[name]
+    shared = "".join(f", {_render(e, dialect)} AS {a}" for a, e in _SHARED.get(name, []))
+    table = f"(SELECT *{shared} FROM {table})" if shared else table
     select = ", ".join(f"{_render(e, dialect)} AS {_quote(a, dialect)}" for a, e in cols)
     if name in _PER_CITY:
         cities = ", ".join(f"('{c}')" for c in CITIES)
@@ -159,6 +164,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One binding view as a Spark DataFrame (lazy; column-pruned at the scan)."""
     table, cols = _VIEWS[name]
     base = read_table(spark, sf_dir, table)
+    if name in _SHARED:
+        base = base.selectExpr("*", *[f"{_render(e, 'spark')} AS {a}" for a, e in _SHARED[name]])
     if name in _PER_CITY:
         # Generated fan-out of a small dimension table, not a join.
         base = base.withColumn("city", F.explode(F.array(*[F.lit(c) for c in CITIES])))

@@ -92,6 +92,33 @@ def test_stats_of_columns_without_values(spark):
     assert PR.numeric_stats({"t": spark.createDataFrame([("x",)], "s string")}) is None
 
 
+# ---------------------------------------------------------------- heavy hitters
+@pytest.mark.parametrize("tracked", [64, 2000, 10_000])
+def test_top_values_of_a_hundred_thousand_distinct_ones(spark, tracked):
+    rng = np.random.default_rng(tracked)
+    skewed = [f"v{int(x)}" for x in np.minimum(rng.zipf(1.3, 150_000), 10 ** 9)]
+    even = [f"e{i}" for i in range(100_000)] + [f"e{i}" for i in range(50_000)]
+    few = [["a", "b", None][i % 3] for i in range(150_000)]
+    hot = [f"h{i % 20}" if i % 4 else f"x{i}" for i in range(150_000)]  # 20 hot values of equal count, a tie at rank 10
+    small = pd.DataFrame({"s": [f"s{i % 40}" if i % 7 else None for i in range(60)]})
+    big = pd.DataFrame({"skewed": skewed, "even": even, "few": few, "hot": hot, "number": range(150_000)})
+    frames = {"big": spark.createDataFrame(big).repartition(6), "small": spark.createDataFrame(small)}
+    got = {}
+    for r in PR.top_categories(frames, 10, tracked).collect():
+        got.setdefault((r.table_name, r.column_name), []).append((r["rank"], r.value, r["count"]))
+    assert set(got) == {("big", c) for c in ("skewed", "even", "few", "hot")} | {("small", "s")}
+    for (t, c), rows in got.items():
+        counts = {"big": big, "small": small}[t][c].dropna().value_counts()
+        want = sorted(counts.items(), key=lambda x: (-x[1], x[0].encode()))[:10]
+        assert sorted(rows) == [(i + 1, v, n) for i, (v, n) in enumerate(want)], (t, c)
+    columns, items = PR.heavy_hitters(frames, 10, tracked)
+    known = {(r.table_name, r.column_name): r.known for r in columns.collect()}
+    assert known["big", "even"] == "none" and known["small", "s"] == ("all" if tracked >= 60 else "none")
+    if tracked >= 2000:  # counted again and shuffled: a few values of 10 ** 5
+        assert known["big", "skewed"] == known["big", "hot"] == "top"
+        assert items.where("column_name in ('skewed', 'hot')").count() < 60
+
+
 # ---------------------------------------------------------------- areas
 def _km(a, b, c, d):
     p, q = math.radians(a), math.radians(c)
