@@ -227,7 +227,7 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, shard_bytes: int
     bounds = shard_bounds(records, shard_bytes, max_shards)
     verdicts = revisits(records, min_bytes).withColumn("payload", F.lit(None).cast("binary"))
     both = (rows.withColumn("refers_to", F.lit(None).cast("bigint")).unionByName(verdicts).withColumn("shard", _shard(bounds))
-            .repartition(max(1, len(bounds)), "shard")
+            .repartitionById(max(1, len(bounds)), F.col("shard"))  # a shard is a task
             .sortWithinPartitions("shard", *_order(), F.col("payload").isNotNull(), F.col("url").asc_nulls_first()))
     fs, root = _opened(path)
     fs.create_dir(root, recursive=True)
