@@ -19,13 +19,13 @@ WITH d AS (
 ), m AS (
   SELECT doc_id, host, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
          (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
-         (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+         (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, len(ls) AS n_lines,
          coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
   FROM d LEFT JOIN repeated USING (doc_id)
 ), j AS (
   SELECT *, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
          (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 10 * n_symbols > word_chars
-          OR n_dup_lines > 0.3 * n_words) AS failed
+          OR (n_lines > 0 AND n_dup_lines / n_lines > 3 / 10)) AS failed
   FROM m
 ), h AS (
   SELECT host, count(*) AS n, count_if(failed) AS f FROM j GROUP BY host

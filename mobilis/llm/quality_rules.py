@@ -67,11 +67,12 @@ def measures(docs: DataFrame) -> DataFrame:
     return (docs.select("doc_id", F.col("source").alias("host"), text.alias("_t"))
             .select("doc_id", "host", let(words(F.col("_t")), _by_words).alias("_w"),
                     (F.octet_length("_t") - F.octet_length(F.regexp_replace("_t", SYMBOLS + "+", ""))).cast("long").alias("n_symbols"),
-                    let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))
-            .select("doc_id", "host", "_w.n_words", "_w.word_chars", "n_symbols", "n_dup_lines", "_w.n_repeat_words")
+                    let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"),
+                                                  (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))).alias("_l"))
+            .select("doc_id", "host", "_w.n_words", "_w.word_chars", "n_symbols", "_l.n_lines", "_l.n_dup_lines", "_w.n_repeat_words")
             .withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
             .withColumn("failed", F.col("base_failed") | (10 * F.col("n_symbols") > F.col("word_chars"))
-                        | (F.col("n_dup_lines") > 0.3 * F.col("n_words"))))
+                        | (10 * F.col("n_dup_lines") > 3 * F.col("n_lines"))))
 
 
 def host_rates(rows: DataFrame) -> DataFrame:

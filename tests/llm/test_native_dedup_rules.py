@@ -25,6 +25,18 @@ def test_symbols_and_duplicate_lines(spark):
     assert r.n_symbols == 10 and r.n_dup_lines == 1
 
 
+def test_documents_of_repeated_lines_fail(spark):
+    """A third of the lines, not of the words: ten words a line and 90 of 100 lines repeated in changing order."""
+    import random
+
+    rng, lines = random.Random(1), [" ".join(f"w{i}x{k}" for k in range(6)) for i in range(10)]
+    bad = "\n".join(rng.choice(lines) for _ in range(40))
+    good = "\n".join(f"line {i} of words that differ" for i in range(30)) + "\nend\nend"
+    rows = {r.doc_id: r for r in measures(spark.createDataFrame([(1, bad, "s"), (2, good, "s")], DOCS)).collect()}
+    assert rows[1].n_lines == 40 and rows[1].n_dup_lines >= 30 and rows[1].failed
+    assert rows[2].n_lines == 32 and rows[2].n_dup_lines == 1 and not rows[2].failed
+
+
 def test_repeated_windows_count_each_word_once(spark):
     words = [f"w{i}" for i in range(30)]
     assert _measured(spark, " ".join(words)).n_repeat_words == 0
