@@ -41,7 +41,7 @@ def op2_minhash_dedup(spark, sf_dir):
 
 @register
 def op3_suffix_dedup(spark, sf_dir):
-    return suffix_dedup(table(spark, sf_dir, "documents"))
+    return suffix_dedup(table(spark, sf_dir, "documents")).withColumn("has_repeat", F.col("n_removed") > 0)
 
 
 @register
