@@ -19,15 +19,20 @@ def test_no_python_udf(spark, key):
 
 
 def test_fact_joins_by_key_and_prunes(spark):
-    df = queries()["route_stats"](spark, SF)
+    df = queries()["trip_stop_events"](spark, SF)
     p = _plan(df)
     # no job runs to choose a join, and no table is funnelled through one task to be counted
     assert "GlobalLimit" not in p and "CartesianProduct" not in p and "NestedLoop" not in p
     assert p.count("Join") == 3
-    # only the columns the metric needs are read from lineitem
+    # only the columns the fact needs are read from lineitem
     assert "l_extendedprice" not in p and "l_shipdate" not in p
 
 
+def test_clock_times_are_parsed_after_the_joins(spark):
+    plan = queries()["trip_stop_events"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" in plan.split("Join")[0] and "RLIKE" not in plan.split("Join", 1)[1]
+
+
 def test_pushdown_reaches_scan(spark):
     p = _plan(queries()["read_table"](spark, SF))
     assert "PartitionFilters: [isnotnull(city" in p and "= delhi)" in p
@@ -36,9 +41,11 @@ def test_pushdown_reaches_scan(spark):
 
 
 def test_headway_window_follows_collapse(spark):
-    df = queries()["headways"](spark, SF)
+    from mobilis.operators import transit as T
+    from mobilis.sources import bindings as B
+    df = T.headway_gaps(T.build_events(B.transit_feed(spark, SF)))
     plan = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
-    # right below the window: the aggregate that leaves one event per (route, stop, second)
+    # right below the window: the aggregate that leaves one row per (route, stop, second)
     at = next(i for i, x in enumerate(plan) if "Window" in x)
     below = next(x for x in plan[at + 1:] if "Project" not in x and "Filter" not in x)
     assert "Aggregate" in below and "arrival_total_seconds" in below
