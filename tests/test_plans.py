@@ -65,3 +65,22 @@ def test_order_independence(spark):
                       for r in T.route_stats(T.build_events(f)).collect())
     feed2 = {k: v.repartition(7) for k, v in feed.items()}
     assert rows(feed) == rows(feed2)  # equal up to float summation order
+
+
+def test_time_text_is_not_built_to_tell_whether_it_is_null(spark, tmp_dir):
+    from mobilis.operators.clean import present_stop_times
+    from mobilis.sources import bindings as B
+
+    quantities = [None, 1.0, 47.0, 48.0, 49.0, 50.0]
+    keys = [(1, 2, 3, 4), (2, 90, 3, 1), (None, 2, 3, 4), (1, None, 3, 4), (1, 2, None, 4), (1, 2, 3, None)]
+    rows = [(*k, q) for k in keys for q in quantities]
+    lineitem = spark.createDataFrame(rows, "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double")
+    lineitem.write.parquet(f"{tmp_dir}/lineitem.parquet")
+    lineitem.createOrReplaceTempView("lineitem")
+    stop_times = B.view(spark, tmp_dir, "stop_times")
+    as_written = spark.sql(B.view_sql("stop_times", "spark"))
+    assert sorted(map(str, stop_times.collect())) == sorted(map(str, as_written.collect()))
+    present = present_stop_times(stop_times)
+    assert sorted(map(str, present.collect())) == sorted(map(str, present_stop_times(as_written).collect()))
+    filters = [line for line in present._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in line]
+    assert filters and not any("lpad" in line for line in filters)
