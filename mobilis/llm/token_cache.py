@@ -17,11 +17,12 @@ from array import array
 from collections.abc import Callable, Iterable
 from typing import NamedTuple
 
-LIMIT = 80_000
+#: 250,000 saves a sixth of the time more where a fourth of the words are new, but takes an executor of 3 GB over its memory.
+LIMIT = 120_000
 
 _ENCODERS: dict[tuple, PieceEncoder] = {}
 _PLAIN = re.compile("[ \n]?[!-~\xa1-\xff]*")
-_STOPS = frozenset(".,;:!?")
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class Cutter(NamedTuple):
@@ -49,6 +50,7 @@ class _Pieces(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model, self.letters, self.cutter = self.tokenizer.model, byte_letters(), cutter
+        self.tokenize, self.lower = self.model.tokenize, cutter.lower
         self.older: dict[str, bytes] = {}
 
     def _ids(self, word: str) -> bytes:
@@ -57,26 +59,29 @@ class _Pieces(dict):
             shown = "\u0120" + word[1:] if word[:1] == " " else word  # U+0120 stands for a blank
         else:
             shown = word.encode().decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        return array("I", [t.id for t in self.tokenize(shown)]).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
-        if piece in self.older:
-            value = self.older[piece]
-        else:
-            text = piece.lower() if self.cutter.lower else piece
-            body = text[1:] if text[:1] == " " else text
-            if body.isascii() and body.isalpha():
-                value = self._ids(text)
-            elif body[-1:] in _STOPS and body[:-1].isascii() and body[:-1].isalpha():
-                value = self[text[:-1]] + self[text[-1]]
-            elif _PLAIN.fullmatch(piece):
-                words = self.cutter.pre_tokens(text)
-                value = self._ids(piece) if words == [piece] else b"".join([self[w] for w in words])
-            else:
-                value = array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+        value = self.older.get(piece)
+        if value is None:
+            value = self._new(piece)
         self[piece] = value
         return value
 
+    def _new(self, piece: str) -> bytes:
+        text = piece.lower() if self.lower else piece
+        body = text[1:] if text[:1] == " " else text
+        word = body.rstrip(_MARKS)  # letters alone are one pre-token, and so are the marks after them
+        if word.isalpha() and (word.isascii() or max(piece) <= "\xff"):
+            if len(word) == len(body):
+                return self._ids(text)
+            marks = len(word) - len(body)
+            return self[text[:marks]] + self[text[marks:]]
+        if _PLAIN.fullmatch(piece):
+            words = self.cutter.pre_tokens(text)
+            return self._ids(piece) if words == [piece] else b"".join([self[w] for w in words])
+        return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+
     def age(self) -> None:
         """Forgets what was not used since the last time, once there is much."""
         if len(self) > LIMIT:

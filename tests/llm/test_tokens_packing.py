@@ -146,3 +146,36 @@ def test_rounds_are_close_to_best_fit_decreasing(seed):
             bisect.insort(gaps, room)
     assert sum(n for _, _, n, _, _ in runs) == len(lengths)
     assert -(-lengths.sum() // 2048) <= used <= best * 1.01 + 1
+
+
+@pytest.mark.parametrize(("name", "cutter"), [("word_bpe_49k.json", LOWER_CASE), ("byte_bpe_50k.json", BYTE_LEVEL)])
+def test_words_with_marks_are_not_scanned(name, cutter):
+    def scanned(text):
+        raise AssertionError(text)
+
+    plain = Tokenizer.from_file(public_tokenizers.path(name))
+    words = ["Été", "naïve,", "Straße###", "über&&&", "don", "stop.", "éclair'", "ß", "_", "|", "...", "µm%%%"]
+    texts = [" ".join(words), *words]
+    got = PieceEncoder(public_tokenizers.path(name), cutter).encode(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    letters = PieceEncoder(public_tokenizers.path(name), cutter._replace(pre_tokens=scanned))
+    words = ["Été", "naïve", "Straße", "ß", "don"]
+    got = letters.encode(words)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [plain.encode(t, add_special_tokens=False).ids for t in words]
+
+
+def test_decoding_reads_lists_by_their_offsets(spark):
+    path, rows = MULTI, [(1, [300, 5]), (2, None), (3, []), (4, [7])]
+    tokens = spark.createDataFrame(rows, "doc_id long, ids array<int>").coalesce(1)
+    raw = bpe_codec.codec(path, PATTERN).raw
+    got = {r.doc_id: r.decoded for r in bpe_codec.decode(tokens, path, PATTERN).collect()}
+    assert {k: v if v is None else bytes(v) for k, v in got.items()} == {k: v if v is None else b"".join(raw[i] for i in v) for k, v in rows}
+
+
+def test_written_ids_are_read_once_and_without_pandas(spark, tmp_dir):
+    token_output.write_tokens(spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string"), tmp_dir + "/t",
+                              public_tokenizers.path("byte_bpe_50k.json"))
+    out = token_output.token_index(token_output.read_tokens(spark, tmp_dir + "/t"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "orc" not in plan.lower() and "PythonUDF" not in plan
+    assert sorted(r.n_tokens for r in out.collect()) == [1, 3]
