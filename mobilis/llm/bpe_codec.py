@@ -11,6 +11,7 @@ chunks in order. Decoding concatenates the raw bytes of the ids.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Window
@@ -39,14 +40,12 @@ class Codec:
         self.known: dict[str, bytes] = {}
 
     def ids(self, pieces: list[str]) -> bytes:
-        """Ids of the pre-tokens, as 32-bit little-endian integers."""
-        import numpy as np
-
+        """Ids of the pre-tokens, as 32-bit integers of this machine's (little-endian) order."""
         known = self.known
         if len(known) > LIMIT:
             known.clear()
         for piece in set(pieces).difference(known):
-            known[piece] = np.array(self.encoding.encode_ordinary(piece), "<i4").tobytes()
+            known[piece] = array("i", self.encoding.encode_ordinary(piece)).tobytes()
         return b"".join([known[p] for p in pieces])
 
     def between(self, text: str, start: int, end: int) -> list[str]:
@@ -170,10 +169,15 @@ def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator):
         import pyarrow as pa
 
-        raw = codec(path, pattern).raw
+        raw = codec(path, pattern).raw.__getitem__
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                out = [None if v is None else b"".join([raw[i] for i in v]) for v in part.column("ids").to_pylist()]
+                lists = part.column("ids")
+                ends, known = lists.offsets.to_pylist(), lists.is_valid().to_pylist()
+                first = ends[0]
+                ids = lists.values.slice(first, ends[-1] - first).to_numpy(zero_copy_only=False).tolist()
+                out = [b"".join(map(raw, ids[a - first:b - first])) if ok else None
+                       for a, b, ok in zip(ends[:-1], ends[1:], known, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], names=[*part.schema.names, "decoded"])
     return tokens.mapInArrow(run, T.StructType([*tokens.schema.fields, T.StructField("decoded", T.BinaryType())]))

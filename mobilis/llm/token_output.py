@@ -11,17 +11,19 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mobilis.llm.common import shuffle_partitions, text_batches
+from mobilis.llm.common import settings, shuffle_partitions, stored, text_batches
 from mobilis.llm.token_cache import BYTE_LEVEL, encoder
 
 END_ID = 2
+#: Rows that ORC writers and readers hold at a time.
+ROWS = 128
 ORC_OPTIONS = {
     "compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01",
     "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20),
+    "orc.row.batch.size": str(ROWS),
 }
 _SCHEMA = "doc_id bigint, part int, ids array<int>"
 
@@ -66,27 +68,36 @@ def read_tokens(spark: SparkSession, path: str, doc_ids: list[int] | None = None
     return rows if doc_ids is None else rows.where(F.col("doc_id").isin(doc_ids))
 
 
-def ids_crc32(ids: Column) -> Column:
-    """Unsigned CRC-32 of the ids as little-endian unsigned 32-bit integers."""
-    @F.pandas_udf("long")
-    def crc(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: zlib.crc32(v.astype("<u4").tobytes()))
+def _measured(batches: Iterator):
+    """Of (doc_id, part, ids): n_tokens and the unsigned CRC-32 of the ids as little-endian unsigned 32-bit integers."""
+    import numpy as np
+    import pyarrow as pa
 
-    return crc(ids)
+    for batch in batches:
+        ids = batch.column("ids")
+        ends = ids.offsets.to_numpy()
+        raw = memoryview(ids.values.to_numpy(zero_copy_only=False).astype("<i4", copy=False)).cast("B")
+        sums = [zlib.crc32(raw[4 * a:4 * b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("part"), pa.array(np.diff(ends).astype(np.int64)),
+                                          pa.array(sums, pa.int64())], names=["doc_id", "part", "n_tokens", "ids_crc32"])
 
 
 def token_index(tokens: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of written documents: where each lies in the id stream.
 
-    Running sums are taken inside each written part; a part's own start comes
-    from the totals of the parts, one row each. Copies of a row are in one
-    part and get different starts.
+    The ids are read once, a bounded number of documents at a time. Running
+    sums are taken inside each written part; a part's own start comes from the
+    totals of the parts, one row each. Copies of a row are in one part and get
+    different starts.
     """
-    rows = tokens.select("doc_id", "part", F.size("ids").cast("long").alias("n_tokens"), ids_crc32(F.col("ids")).alias("ids_crc32"))
+    # ORC readers hold whole batches of id lists, 4096 rows if not told otherwise.
+    with text_batches(tokens.sparkSession), settings(tokens.sparkSession, spark__sql__orc__columnarReaderBatchSize=str(ROWS)):
+        rows = stored(tokens.select("doc_id", "part", "ids").mapInArrow(_measured, "doc_id bigint, part int, n_tokens bigint, ids_crc32 bigint"),
+                      "token-index")
     inside = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first(), "ids_crc32")
     before = F.sum("n_tokens").over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    sizes = rows.groupBy("part").agg(F.sum("n_tokens").alias("_n"))
     rows = rows.withColumn("_in", F.coalesce(before, F.lit(0)))
-    sizes = tokens.groupBy("part").agg(F.sum(F.size("ids")).alias("_n"))
     sofar = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = sizes.select("part", F.coalesce(F.sum("_n").over(sofar), F.lit(0)).alias("_start"))
     return rows.join(parts, "part").select("doc_id", (F.col("_start") + F.col("_in")).alias("start"), "n_tokens", "ids_crc32")
