@@ -17,7 +17,7 @@ from array import array
 from collections.abc import Callable, Iterable
 from typing import NamedTuple
 
-#: 250,000 saves a sixth of the time more where a fourth of the words are new, but takes an executor of 3 GB over its memory.
+#: 250,000 saves a tenth of the time more where a fourth of the words are new, but takes an executor of 3 GB over its memory.
 LIMIT = 120_000
 
 _ENCODERS: dict[tuple, PieceEncoder] = {}
