@@ -9,11 +9,12 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from mobilis.llm import bpe_codec, packing, token_output
-from mobilis.llm.token_cache import BYTE_LEVEL, LOWER_CASE, PieceEncoder
+from mobilis.llm import bpe_codec, packing, token_cache, token_output
+from mobilis.llm.token_cache import BYTE_LEVEL, LOWER_CASE, PieceEncoder, encoder
 
 MULTI, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 ODD = ["", "\n", "  ", " x", "x ", "a\tb  c\n\n d", "don't we'll 'tis ''s it's!! …", "naïve ½ x² a1b2", "日本語 テスト", "İstanbul ΣΑΣ ς",
@@ -179,3 +180,24 @@ def test_written_ids_are_read_once_and_without_pandas(spark, tmp_dir):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "orc" not in plan.lower() and "PythonUDF" not in plan
     assert sorted(r.n_tokens for r in out.collect()) == [1, 3]
+
+
+def test_tasks_of_a_worker_share_one_encoder():
+    """A task unpickles a cutter of its own; its worker must not load the vocabulary and fill the cache again."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    for cutter in (BYTE_LEVEL, LOWER_CASE):
+        mine, other = (cloudpickle.loads(cloudpickle.dumps(cutter)) for _ in range(2))
+        assert encoder(path, mine) is encoder(path, other)
+    assert encoder(path, BYTE_LEVEL) is not encoder(path, LOWER_CASE)
+
+
+def test_cache_is_bounded_and_keeps_what_comes_again(monkeypatch):
+    monkeypatch.setattr(token_cache, "LIMIT", 40)
+    monkeypatch.setattr(token_cache, "KEPT", 30)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain, enc = Tokenizer.from_file(path), PieceEncoder(path, BYTE_LEVEL)
+    texts = [f"often again w{k} x{k}y z{k % 37}" for k in range(400)]
+    for text in texts:
+        assert np.frombuffer(enc.encode([text])[0], "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+        assert len(enc.known.kept) <= 30 + 40 + 20 and len(enc.known) <= 2 * (30 + 40 + 20)
+    assert " again" in enc.known
