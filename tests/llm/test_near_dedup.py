@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import sys
 
 import numpy as np
 import pytest
@@ -163,6 +164,23 @@ def test_compact_windows_are_the_wide_nodes_of_the_cartesian_tree():
     assert len(set(values.tolist())) == len(values)
 
 
+def test_aligned_takes_the_nearest_of_several_places_without_a_call_each():
+    rng = np.random.default_rng(7)
+    line = rng.integers(0, 1 << 60, 60, np.uint64)
+    a, b = np.tile(line, 20), np.concatenate([rng.integers(0, 1 << 60, 30, np.uint64), np.tile(line, 12)])
+    hits = [(60 * k + 5, 30 + 60 * m + 5) for k in (0, 3, 9) for m in (0, 4)]
+    calls = []
+    sys.setprofile(lambda frame, event, arg: calls.append(event) if event == "c_call" and "argmin" in str(arg) else None)
+    try:
+        found = aligned(a, b, hits, 46, 80)
+    finally:
+        sys.setprofile(None)
+    assert not calls  # one for each repeated shingle and hit before
+    assert found
+    for begin, end, left, right in found:
+        assert end - begin >= 46 and (b[begin:end] == a[left:right]).all()
+
+
 def test_aligned_finds_similar_stretches():
     rng = np.random.default_rng(2)
     a, passage = rng.integers(0, 2 ** 62, 200).astype(np.uint64), rng.integers(0, 2 ** 62, 80).astype(np.uint64)
