@@ -357,3 +357,52 @@ def test_buckets_do_not_depend_on_batches():
         count = collections.Counter(r[0] for r in rows)
         want = [(*r, *first[r[0]]) for r in rows if count[r[0]] > 1 or r[0] in (rows[0][0], rows[-1][0])]
         assert sorted(out) == sorted(want)
+
+
+def test_a_short_common_line_makes_no_pairs_and_no_table_stays(spark, monkeypatch):
+    import glob
+
+    from mobilis.llm import substring_dedup as module
+    from mobilis.session import checkpoint_root
+
+    rng, met, counts = random.Random(5), module._met, []
+    folder = checkpoint_root(spark).removeprefix("file:") + "/tables/passage-*"
+    before = set(glob.glob(folder))
+    monkeypatch.setattr(module, "_met", lambda pairs, agree: counts.append((out := met(pairs, agree)).count()) or out)
+    line, p = _words(rng, 13), _words(rng, 60)  # the line is shorter than any run that a passage must share
+    rows = [(i, " ".join(_words(rng, 70) + line + _words(rng, 70))) for i in range(80)] + [(100 + i, " ".join(_words(rng, 30) + p)) for i in range(2)]
+    found = repeated_passages(spark.createDataFrame(rows, DOCS))
+    left = set(glob.glob(folder)) - before
+    assert [(r.doc_id, r.source_doc_id, r.begin, r.end) for r in found.collect()] == [(101, 100, 30, 90)]
+    assert sum(counts) < 80  # 3,160 pairs of documents have the line
+    assert {n.rsplit("/", 1)[1].split("-")[1] for n in left} <= {"classes", "spans"}
+
+
+def test_nodes_of_many_texts_are_those_of_each():
+    from mobilis.llm.substring_dedup import nodes_of, thinned
+
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(0, 2 ** 63, n).astype(np.uint64) for n in (0, 30, 11, 12, 200, 5)] + [np.full(300, 9, np.uint64), np.tile(rng.integers(0, 2 ** 63, 3).astype(np.uint64), 70)]
+    value, text, node = nodes_of(np.concatenate(texts), np.cumsum([len(t) for t in texts]), 12, 2)
+    for k, t in enumerate(texts):
+        one, at, *_ = compact_windows(t, 12, 2)
+        got = set(zip(value[text == k].tolist(), node[text == k].tolist(), strict=True))
+        assert got <= set(zip(one.tolist(), at.tolist(), strict=True)) and {v for v, _ in got} == set(one.tolist())
+        assert len(got) == len(one) if k < 6 else len(got) < 60  # a streak has its ends and every 16th
+    assert thinned(np.array([1] * 40 + [2, 2, 3]), np.zeros(43, int)).sum() == 2 + 2 + 2 + 3
+
+
+def test_windows_are_shared_by_the_words_around_a_node(spark):
+    import pyarrow as pa
+
+    from mobilis.llm.substring_dedup import _grams, shares_window
+
+    rng = random.Random(6)
+    line = _words(rng, 16)
+    texts = [" ".join(_words(rng, 40) + line + _words(rng, 30)), " ".join(_words(rng, 9) + line), " ".join(line[:15] + _words(rng, 30)), " ".join(_words(rng, 20) + line[1:14])]
+    batch = pa.RecordBatch.from_pydict({"doc_id": [0, 1, 2, 3], "text": texts})
+    rows = [r for b in _grams(11, 6)(iter([batch])) for r in b.to_pylist()]
+    nodes = spark.createDataFrame([(r["value"], r["doc_id"], r["node"]) for r in rows], "value long, doc_id long, node long")
+    other = nodes.toDF("value", "hub", "hub_node")
+    both = nodes.join(other, "value").where((F.col("doc_id") < F.col("hub")) & shares_window(F.col("node"), F.col("hub_node"), 5))
+    assert {(r.doc_id, r.hub) for r in both.collect()} == {(0, 1)}
