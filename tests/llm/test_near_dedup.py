@@ -406,3 +406,46 @@ def test_windows_are_shared_by_the_words_around_a_node(spark):
     other = nodes.toDF("value", "hub", "hub_node")
     both = nodes.join(other, "value").where((F.col("doc_id") < F.col("hub")) & shares_window(F.col("node"), F.col("hub_node"), 5))
     assert {(r.doc_id, r.hub) for r in both.collect()} == {(0, 1)}
+
+
+def test_documents_that_share_a_line_alone_are_not_aligned(spark, monkeypatch):
+    """A line and a repeated word, each shorter than a passage, in many documents: every pair of them was aligned."""
+    from mobilis.llm import substring_dedup as module
+
+    rng, met, counts = random.Random(15), module._met, []
+    monkeypatch.setattr(module, "_met", lambda pairs, agree: counts.append((out := met(pairs, agree)).count()) or out)
+    line, p, q = _words(rng, 20), _words(rng, 35), _words(rng, 30)
+    rows = [(i, " ".join(_words(rng, 40) + line + _words(rng, 40) + ["again"] * (20 + i % 7) + _words(rng, 30))) for i in range(80)]
+    rows += [(100 + i, " ".join(_words(rng, 30) + line + p + _words(rng, 20))) for i in range(2)]  # the line is part of a passage
+    rows += [(200 + i, " ".join(_words(rng, 9) + ["again"] * 22 + q + _words(rng, 9))) for i in range(2)]
+    rows += [(300 + i, " ".join(_words(rng, 20) + ["again"] * (60 + 5 * i) + _words(rng, 20))) for i in range(2)]
+    found = {(r.doc_id, r.source_doc_id, r.begin, r.end) for r in repeated_passages(spark.createDataFrame(rows, DOCS)).collect()}
+    assert sum(counts) < 400  # 3,160 pairs of documents have the line, as many the word
+    assert {(101, 100, 30, 85), (201, 200, 9, 61)} <= found
+    assert any(f[0] == 301 and f[1] == 300 and f[3] - f[2] >= 60 for f in found) and {f[0] for f in found} <= {101, 201, 301}
+
+
+def test_may_match_keeps_what_is_similar():
+    from mobilis.llm.substring_dedup import may_match, near_shingles
+
+    rng, kept = np.random.default_rng(5), 0
+    for _ in range(150):
+        a = rng.integers(0, 1 << 63, int(rng.integers(60, 700))).astype(np.uint64)
+        b = a.copy()
+        b[rng.random(len(b)) < rng.choice([0.02, 0.05, 0.12])] = rng.integers(0, 1 << 63)
+        cut = int(rng.integers(0, 40))
+        b = np.concatenate([rng.integers(0, 1 << 63, 20).astype(np.uint64), b[cut:]])
+        same = [y for y in range(20, len(b) - 12) if (b[y:y + 12] == a[y - 20 + cut:y - 8 + cut]).all()]
+        if not same:
+            continue
+        y = int(rng.choice(same))
+        x = y - 20 + cut
+        spans = aligned(a, b, [(x, y)], 46, 80)
+        may = may_match(near_shingles(b, y, 12, 46)[None], near_shingles(a, x, 12, 46)[None], 12, 46, 80)
+        assert may.shape == (1, 1)
+        if any(s[0] <= y and y + 12 <= s[1] for s in spans):
+            kept += 1
+            assert may[0, 0]
+    assert kept > 50
+    alone = [np.concatenate([rng.integers(0, 1 << 63, 80).astype(np.uint64), np.arange(12, dtype=np.uint64) << np.uint64(50), rng.integers(0, 1 << 63, 80).astype(np.uint64)]) for _ in range(2)]
+    assert not may_match(*(near_shingles(t, 80, 12, 46)[None] for t in alone), 12, 46, 80).any()
